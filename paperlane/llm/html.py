@@ -157,7 +157,7 @@ def prices(found: list[Node]) -> list[tuple[int, int]]:
         density = n.link_chars / max(1, n.chars)
         longest = max(map(len, n.texts))
         content = 60 * article + (25 if longest >= 140 else 12 if longest >= 60 else 4) + (10 if any(t[-1] in ".!?…”\"" for t in n.texts) else 0)
-        boiler = 240 * hard + (60 if has_article and not article else 0) + (40 if density > 0.5 else 15 if density > 0.25 else 0) + (15 if n.chars < 40 else 0)
+        boiler = 240 * hard + (60 if has_article and not article else 0) + (40 if density > 0.5 else 15 if density > 0.25 else 0) + (0 if n.chars >= 40 else 15 if n.link_chars or n.texts[0][0] == "©" else 3)
         out.append((content, boiler))
     return out
 

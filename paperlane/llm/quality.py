@@ -28,10 +28,12 @@ BINS = 24
 ADDED = ("evidence", "path_rate", "p_good", "kept")
 #: Site tables up to so many rows are sent to every task; larger ones are joined by shuffle.
 SMALL = 200_000
+#: Documents below this probability are rejected. It is low because a good document lost costs more than a bad one kept.
+THRESHOLD = 0.01
 
 
 def features(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """Adds _bins: the bin of each measure."""
+    """Adds _bins, the bin of each measure, and _row."""
     d = rules.measures(docs, text_col)
     text = F.coalesce(F.col(text_col), F.lit(""))
     per_word = lambda c: F.when(F.col("n_words") > 0, c / F.col("n_words")).otherwise(F.lit(0.0))
@@ -51,7 +53,8 @@ def features(docs: DataFrame, text_col: str = "text") -> DataFrame:
     one = lambda i, v: (F.lit(i * (BINS + 1)) + F.when(F.col("n_words") == 0, BINS).otherwise(F.least(F.lit(BINS - 1), F.greatest(F.lit(0), F.floor(v * BINS))))).cast("int")
     bins = F.array(*[one(i, v) for i, v in enumerate(values.values())])
     measured = [c for c in d.columns if c not in docs.columns]
-    return d.withColumn("_bins", bins).drop(*[c for c in measured if c != "_bins"])
+    # The row number keeps Spark from moving a later filter below this projection, where it would spell out every measure again.
+    return d.withColumns({"_bins": bins, "_row": F.monotonically_increasing_id()}).drop(*measured)
 
 
 def labelled(rows: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality") -> DataFrame:
@@ -106,7 +109,7 @@ def _attach(rows: DataFrame, table: DataFrame, on: Column, few: bool) -> DataFra
     return rows.join(F.broadcast(table) if few else table, on, "left")
 
 
-def score(rows: DataFrame, train: DataFrame, host_col: str = "source", path_col: str = "lang", threshold: float = 0.5) -> DataFrame:
+def score(rows: DataFrame, train: DataFrame, host_col: str = "source", path_col: str = "lang", threshold: float = THRESHOLD) -> DataFrame:
     """Adds evidence, path_rate, p_good and kept to rows that have _bins."""
     rows = rows.drop(*ADDED)
     table = ratios(train)
@@ -130,18 +133,18 @@ def score(rows: DataFrame, train: DataFrame, host_col: str = "source", path_col:
     return rows.withColumn("kept", F.col("p_good") >= threshold)
 
 
-def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", path_col: str = "lang", label_col: str = "quality", threshold: float = 0.5) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", path_col: str = "lang", label_col: str = "quality", threshold: float = THRESHOLD) -> DataFrame:
     """Per row: the id, host, path, evidence, path_rate, p_good and kept. Texts are measured once and not moved."""
     rows = features(docs.select(id_col, text_col, host_col, path_col), text_col).drop(text_col)
-    rows = settle(rows, "quality-rows")
+    rows = settle(rows.drop("_row"), "quality-rows")
     return score(rows, settle(labelled(rows, labels, id_col, label_col), "quality-train"), host_col, path_col, threshold)
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", path_col: str = "lang", label_col: str = "quality", threshold: float = 0.5) -> DataFrame:
+def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", path_col: str = "lang", label_col: str = "quality", threshold: float = THRESHOLD) -> DataFrame:
     """The documents that classify() keeps, with their columns.
 
     Texts are measured twice, for training and for judging, instead of being shuffled to their measures.
     """
     train = features(docs.select(id_col, text_col, host_col, path_col), text_col).drop(text_col)
     train = settle(labelled(train, labels, id_col, label_col), "quality-train")
-    return score(features(docs, text_col), train, host_col, path_col, threshold).where("kept").select(*docs.columns)
+    return score(features(docs, text_col), train, host_col, path_col, threshold).where("kept and _row >= 0").select(*docs.columns)
