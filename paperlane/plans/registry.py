@@ -4,14 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import texts
+
+_PARTS = (texts,)
+
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return texts.pol_filter_types(spark, sf_dir)
 
 
 def queries() -> dict:
-    return {}
+    return {k: v for part in _PARTS for k, v in part.queries().items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: v for part in _PARTS for k, v in part.oracle_sql().items()}
