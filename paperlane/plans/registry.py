@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import texts
+from . import lists, texts
 
-_PARTS = (texts,)
+_PARTS = (texts, lists)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
