@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import lists, texts
+from . import fields, lists, models, texts
 
-_PARTS = (texts, lists)
+_PARTS = (texts, lists, models, fields)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
