@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fields, lists, models, texts
+from . import fields, lists, models, risk, texts
 
-_PARTS = (texts, lists, models, fields)
+_PARTS = (texts, lists, models, fields, risk)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
