@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fields, flow, lists, models, risk, texts
+from . import fields, flow, lists, models, more, risk, texts
 
-_PARTS = (texts, lists, models, fields, risk, flow)
+_PARTS = (texts, lists, models, fields, risk, flow, more)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
