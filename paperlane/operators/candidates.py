@@ -97,3 +97,23 @@ def occurrences(pages: DataFrame, values: DataFrame, known: DataFrame) -> DataFr
 def latest_by_turn(rows: DataFrame, keys: list[str], order: list, n: int) -> DataFrame:
     """The first n rows of each key."""
     return rows.withColumn("_t", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("_t") <= n).drop("_t")
+
+
+def near_numbers(text: Column, label: str, before: int = 120, after: int = 300) -> Column:
+    """Numbers around the first place of a label, in order; none without the label."""
+    at = F.locate(label.lower(), F.lower(text))
+    window = F.substr(text, F.greatest(F.lit(1), at - before), F.least(at - 1, F.lit(before)) + after)
+    found = F.filter(F.transform(F.regexp_extract_all(window, F.lit(r"\d[\d.,]*"), F.lit(0)), V.number), lambda x: x.isNotNull())
+    return F.when(at > 0, found).otherwise(F.array().cast("array<string>"))
+
+
+def repaired_evidence(value: Column, evidence: Column, chunk: Column, around: int = 300) -> Column:
+    """The evidence, or, where it lacks the value, what surrounds the value in the chunk; null if it isn't there either."""
+    at = F.instr(chunk, value)
+    return F.when(V.in_evidence(value, value, evidence), evidence).when(at > 0, F.substr(chunk, F.greatest(F.lit(1), at - around), F.least(at - 1, F.lit(around)) + F.length(value) + around))
+
+
+def clipped(chunk: Column, label: str, before: int = 1500, after: int = 800) -> Column:
+    """A chunk cut to the surroundings of a label's first place; the whole chunk without it."""
+    at = F.locate(label.lower(), F.lower(chunk))
+    return F.when(at > 0, F.substr(chunk, F.greatest(F.lit(1), at - before), F.least(at - 1, F.lit(before)) + after)).otherwise(chunk)

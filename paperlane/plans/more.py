@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import jsonrepair as J
 from ..functions import text as T
 from ..functions import values as V
+from ..operators import candidates as Cand
 from ..operators import catalog as C
 from ..operators import fraud as R
 from ..operators import rules
@@ -178,7 +179,22 @@ def prep_skip_signature(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.concat_ws(":", F.sha2("text", 256), F.lit(sign)).alias("cache_key"))
 
 
-_NAMES = "norm_text norm_tokens fx_search_terms fx_label_positions fx_label_context fx_same_line fx_neighbor_rule fx_candidate_normalize fx_regex_filter fx_fix_pages cls_rationale cls_scores_record js_schema_check js_merge js_parse_cascade fr_missing_verified snk_finalize rel_skip_crud rel_type_fields_crud src_batch st_cancel prep_skip_signature"
+def fx_near_value(spark, sf_dir):
+    return statements(spark, sf_dir).select("doc_id", F.size(Cand.near_numbers(F.col("text"), "Part")).alias("n"))
+
+
+def fx_evidence_repair(spark, sf_dir):
+    s = statements(spark, sf_dir)
+    e = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("IBAN: "), "iban")).otherwise("geen")
+    value = F.when(F.col("doc_id") % 5 == 0, F.lit("NL00NIET")).otherwise(F.col("iban"))
+    return s.select("doc_id", Cand.repaired_evidence(value, e, F.col("text"), 10).alias("evidence"))
+
+
+def fx_clip(spark, sf_dir):
+    return statements(spark, sf_dir).select("doc_id", Cand.clipped(F.col("text"), "boeking", 40, 60).alias("chunk"))
+
+
+_NAMES = "fx_near_value fx_evidence_repair fx_clip norm_text norm_tokens fx_search_terms fx_label_positions fx_label_context fx_same_line fx_neighbor_rule fx_candidate_normalize fx_regex_filter fx_fix_pages cls_rationale cls_scores_record js_schema_check js_merge js_parse_cascade fr_missing_verified snk_finalize rel_skip_crud rel_type_fields_crud src_batch st_cancel prep_skip_signature"
 
 
 def queries() -> dict:
@@ -190,6 +206,9 @@ def oracle_sql() -> dict[str, str]:
     n = lambda x: f"trim(regexp_replace(lower({x}), '[^a-z0-9]+', ' ', 'g'))"
     bands = "CASE WHEN risk >= 70 THEN 'CRITICAL' WHEN risk >= 50 THEN 'HIGH' WHEN risk >= 25 THEN 'MEDIUM' ELSE 'LOW' END"
     return {
+        "fx_near_value": rf"{stmt}, a AS (SELECT doc_id, text, strpos(lower(text), 'part') AS p FROM stmt) SELECT doc_id, CASE WHEN p = 0 THEN 0 ELSE len(regexp_extract_all(substr(text, greatest(1, p - 120), least(p - 1, 120) + 300), '\d[\d.,]*')) END AS n FROM a",
+        "fx_evidence_repair": f"{stmt} SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN NULL WHEN doc_id % 2 = 0 THEN concat('IBAN: ', iban) ELSE substr(text, greatest(1, strpos(text, iban) - 10), 10 + 18 + 10) END AS evidence FROM stmt",
+        "fx_clip": f"{stmt}, a AS (SELECT doc_id, text, strpos(lower(text), 'boeking') AS p FROM stmt) SELECT doc_id, CASE WHEN p = 0 THEN text ELSE substr(text, greatest(1, p - 40), least(p - 1, 40) + 60) END AS chunk FROM a",
         "norm_tokens": f"SELECT p_partkey, array_to_string(list_filter(string_split({n('p_name')}, ' '), lambda w: length(w) >= 2), ' ') AS words FROM part",
         "fx_search_terms": f"WITH t AS (SELECT p_partkey, list_distinct([{n(chr(39) + 'veld_' + chr(39) + ' || p_type')}, {n(chr(40) + 'p_name || ' + chr(39) + ' (' + chr(39) + ' || p_brand' + chr(41))}, {n('p_name')}]) AS l FROM part), u AS (SELECT p_partkey, unnest(l) AS term FROM t) SELECT p_partkey, string_agg(term, '|' ORDER BY length(term) DESC, term) AS terms FROM u GROUP BY p_partkey",
         "fx_label_positions": f"{stmt}, p AS (SELECT doc_id, lower(text) AS t, unnest(range(1, length(text) + 1)) AS i FROM stmt) SELECT doc_id, coalesce(string_agg(CAST(i - 1 AS VARCHAR), ',' ORDER BY i) FILTER (substr(t, i, 4) = 'part'), '') AS at FROM p GROUP BY doc_id",

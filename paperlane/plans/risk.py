@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import values as V
 from ..operators import fraud as R
 from ..sources.corpus import table
 from .fields import _AMOUNTS, _pick, _pick_sql
