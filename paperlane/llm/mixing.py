@@ -52,6 +52,14 @@ def targets(sizes: DataFrame, weights: tuple = (5.0, 2.0, 1.0), share: float = 1
     return per.select("source", "source_size", F.least(F.col("cap"), F.col("level") * F.col("w")).alias("target"))
 
 
+#: Tables of at most so many sources are sent to every task; with more, documents are joined to their source by shuffle.
+FEW = 100_000
+
+
+def _small(table: DataFrame, few: bool) -> DataFrame:
+    return F.broadcast(table) if few else table
+
+
 def _ranked(sizes: DataFrame, per: DataFrame) -> DataFrame:
     """Joins each row with its source's figures and ranks it."""
     odds = lambda p: p / (F.lit(1.0) - p)
@@ -81,12 +89,13 @@ def plan(sizes: DataFrame, weights: tuple = (5.0, 2.0, 1.0), share: float = 1.5,
     per = per.withColumn("whole", F.floor(r)).withColumn("pi", r - F.floor(r))
     per = per.withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size")).withColumn("base", F.lit(0).cast("long"))
     per = settle(per.coalesce(1), "mix-sources")
-    rows = _ranked(sizes, per)
+    few = per.count() <= FEW
+    rows = _ranked(sizes, _small(per, few))
     one = settle(_cell(rows, per, "b1"), "mix-cell")
     same = rows["source"].eqNullSafe(one["source"])
-    inside = rows.join(one, same & (rows["b1"] == one["cell"])).drop(one["source"]).withColumn("base", F.col("at")).drop("cell", "at")
+    inside = rows.join(_small(one, few), same & (rows["b1"] == one["cell"])).drop(one["source"]).withColumn("base", F.col("at")).drop("cell", "at")
     two = settle(_cell(inside, per, "b2"), "mix-cell")
-    fine = inside.join(two, inside["source"].eqNullSafe(two["source"]) & (inside["b2"] == two["cell"])).drop(two["source"])
+    fine = inside.join(_small(two, few), inside["source"].eqNullSafe(two["source"]) & (inside["b2"] == two["cell"])).drop(two["source"])
     fine = fine.groupBy("source", "xi").agg(F.sum("size").alias("tied"), F.first("at").alias("at"), F.first("rest").alias("rest"))
     before = Window.partitionBy("source").orderBy("xi").rowsBetween(Window.unboundedPreceding, -1)
     fine = fine.withColumn("at", F.col("at") + F.coalesce(F.sum("tied").over(before), F.lit(0)))
@@ -99,12 +108,13 @@ def plan(sizes: DataFrame, weights: tuple = (5.0, 2.0, 1.0), share: float = 1.5,
     per = per.join(cells, per["source"].eqNullSafe(F.col("s2")), "left").drop("s2")
     cut = cut.withColumnRenamed("source", "s3")
     per = per.join(cut, per["source"].eqNullSafe(F.col("s3")), "left").drop("s3", "base")
-    return per.withColumnsRenamed({"b1": "cut1", "b2": "cut2"})
+    per = settle(per.withColumnsRenamed({"b1": "cut1", "b2": "cut2"}).withColumn("base", F.lit(0).cast("long")).coalesce(1), "mix-plan")
+    return _small(per, few)
 
 
 def copies(per_source: DataFrame, sizes: DataFrame) -> DataFrame:
     """Adds `copies` to rows (source, size, u, ...)."""
-    rows = _ranked(sizes, per_source.withColumn("base", F.lit(0).cast("long")))
+    rows = _ranked(sizes, per_source)
     cell = F.struct("b1", "b2")
     cut = F.struct("cut1", "cut2")
     # Without a cell nothing is in excess: all ranked documents are taken (the rest is 0 or the whole source).
