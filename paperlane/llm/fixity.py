@@ -49,6 +49,8 @@ def tree(leaves: DataFrame) -> list[DataFrame]:
     for level in range(LEVELS + 1):
         parts = F.array_sort(F.collect_list(F.struct("at", "hash")))
         made = rows.groupBy("file", "node").agg(F.sha2(F.array_join(F.transform(parts, lambda x: x["hash"]), ""), 256).alias("hash"))
+        if level == 0:  # a row for each range; the levels above are made of it
+            made = settle(made, "fixity-ranges")
         out.append(made)
         up = F.floor(F.col("node") / F.lit(SPAN)) if level < LEVELS - 1 else F.lit(0).cast("long")
         rows = made.select("file", up.alias("node"), F.col("node").alias("at"), "hash")
@@ -65,11 +67,11 @@ def _differ(a: DataFrame, b: DataFrame, keys: list[str], hash_col: str) -> DataF
 def audit(ours: DataFrame, theirs: DataFrame) -> DataFrame:
     """From two tables of leaves: the damaged records (file, offset, length, digest_a, digest_b, status)."""
     up_a, up_b = tree(ours), tree(theirs)
-    bad = _differ(up_a[-1], up_b[-1], ["file", "node"], "hash").select("file", "node")
+    bad = settle(_differ(up_a[-1], up_b[-1], ["file", "node"], "hash").select("file", "node"), "fixity-bad")
     for level in range(LEVELS - 1, -1, -1):
         up = F.floor(F.col("node") / F.lit(SPAN)) if level < LEVELS - 1 else F.lit(0).cast("long")
         below = [t.withColumn("up", up).join(bad.select("file", F.col("node").alias("up")), ["file", "up"], "left_semi").drop("up") for t in (up_a[level], up_b[level])]
-        bad = _differ(*below, ["file", "node"], "hash").select("file", "node")
+        bad = settle(_differ(*below, ["file", "node"], "hash").select("file", "node"), "fixity-bad")
     node = F.floor(F.col("offset") / F.lit(RANGE))
     here = [t.withColumn("node", node).join(bad, ["file", "node"], "left_semi").select("file", "offset", "length", "digest") for t in (ours, theirs)]
     x = here[0].select("file", "offset", F.col("length").alias("la"), F.col("digest").alias("digest_a"))
