@@ -203,85 +203,142 @@ def hexadecimal(fp) -> F.Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-#: Wide fingerprints: bits, and the bits that name a shard. Two that agree on one of TABLES choices of these meet.
-WIDE, NAMED, TABLES = 256, 16, 32
+#: Bytes of a shingle's hash; documents sampled for how common shingles are, and so many counts are kept at most.
+HASH, SAMPLE, COMMON = 6, 16_384, 200_000
 
 
-def wide_fingerprint(text: str | None, shingle: int = 5) -> bytes:
-    """A fingerprint of WIDE bits, as the contract's but for its length: the share of differing bits tells the similarity."""
+def shingle_set(text: str | None, shingle: int = 5) -> np.ndarray:
+    """The hashes of the text's shingles, sorted, each once. A text of fewer words is one shingle, one without words none."""
     words = (text or "").encode().lower().split()
     if not words:
-        return bytes(WIDE // 8)
+        return np.empty(0, np.int64)
     whole = b" ".join(words)
     if len(words) <= shingle:
         spans = [(0, len(whole))]
     else:
         ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
         spans = zip([0, *ends[:-shingle].tolist()], (ends[shingle - 1 :] - 1).tolist(), strict=True)
-    digest, view = xxhash.xxh3_128_digest, memoryview(whole)
-    h = np.frombuffer(b"".join([digest(view[a:b], s) for a, b in spans for s in (1, 2)]), np.uint8).reshape(-1, WIDE // 8)
-    ones = np.zeros(WIDE, np.int64)
-    for i in range(0, len(h), 128):  # no more ones than fit a byte
-        ones += np.add.reduce(np.unpackbits(h[i : i + 128], axis=1), axis=0, dtype=np.uint8)
-    return np.packbits(2 * ones > len(h)).tobytes()
+    digest, view = xxhash.xxh64_intdigest, memoryview(whole)
+    return np.unique(np.array([digest(view[a:b], SEED) for a, b in spans], np.uint64) >> np.uint64(64 - 8 * HASH)).view(np.int64)
 
 
-def wide_radius(similarity: float) -> int:
-    """Bits in which texts of equal length and this Jaccard similarity differ on average."""
-    return round(WIDE * np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+def pack_set(values: np.ndarray) -> bytes:
+    return np.ascontiguousarray(values.astype("<i8").view(np.uint8).reshape(-1, 8)[:, :HASH]).tobytes()
 
 
-def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row the id and component_id by the similarity of shingles.
+def unpack_set(packed: bytes) -> np.ndarray:
+    out = np.zeros((len(packed) // HASH, 8), np.uint8)
+    out[:, :HASH] = np.frombuffer(packed, np.uint8).reshape(-1, HASH)
+    return out.view("<i8").reshape(-1)
 
-    At 0.8 two texts differ in 15 % of their bits, too many for blocks that must agree. So shards are
-    named by several random choices of bits (pairs at 0.8 miss all of them in 9 % of cases, pairs at
-    0.9 in 0.2 %), and the BK-trees are searched within the radius that the similarity implies.
-    """
-    spark = docs.sparkSession
-    small_batches(spark, 500)
-    radius = wide_radius(similarity)
 
-    def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _common(docs: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that several documents of a sample share, sorted, and in how many. It sets the order of shingles only, so any sample is right."""
+    n = docs.count()
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp = pa.array([wide_fingerprint(t, shingle) for t in b.column(1).to_pylist()], pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column(0), fp], ["id", "fp"])
+            for t in b.column(0).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(t, shingle))], ["token"])
+
+    part = docs.select("text").sample(min(1.0, SAMPLE / max(1, n)), 17)
+    found = part.mapInArrow(work, "token long").groupBy("token").count().where("count >= 4").orderBy(F.desc("count"), "token").limit(COMMON).collect()
+    found = np.array(sorted((r["token"], r["count"]) for r in found), np.int64).reshape(-1, 2)
+    return found[:, 0].copy(), found[:, 1].copy()
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(prints, "id long, fp binary")
-    rows = settle(rows, "similar-rows")
-    distinct = settle(rows.groupBy("fp").agg(F.min("id").alias("least")), "similar-distinct")
-    order = np.concatenate([np.random.Generator(np.random.PCG64([17, i])).permutation(WIDE) for i in range(TABLES * NAMED // WIDE)]).reshape(TABLES, NAMED)
-    weights = 1 << np.arange(NAMED)
 
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sets(docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Rows (id, th, fp, n, prefix, set) of documents (id, th, text): fp names the set of n shingles.
+
+    prefix has the shingles that come first, rare ones before common ones: two sets as similar as
+    wanted share one of them. Both are null where the task has given them with an earlier row.
+    """
+    tokens, counts = _common(docs, shingle)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for b in batches:
-            bits = np.unpackbits(np.frombuffer(b"".join(b.column(0).to_pylist()), np.uint8).reshape(-1, WIDE // 8), axis=1)
-            shard = (bits[:, order] * weights).sum(axis=2) + (np.arange(TABLES) << NAMED)
-            which = np.repeat(np.arange(len(bits)), TABLES)
-            yield pa.RecordBatch.from_arrays([pa.array(shard.reshape(-1).astype(np.int64)), b.column(0).take(pa.array(which))], ["shard", "fp"])
+            fps, sizes, prefixes, sets = [], [], [], []
+            for t in b.column(2).to_pylist():
+                s = shingle_set(t, shingle)
+                packed = pack_set(s)
+                fp = xxhash.xxh64_intdigest(packed, SEED)
+                new = fp not in seen
+                if new:
+                    if len(seen) >= 100_000:
+                        seen.clear()
+                    seen.add(fp)
+                    rank = np.zeros(len(s), np.int64)
+                    if len(tokens):
+                        at = np.minimum(np.searchsorted(tokens, s), len(tokens) - 1)
+                        rank = np.where(tokens[at] == s, counts[at], 0)
+                    most = len(s) - int(np.ceil(similarity * len(s) - 1e-9)) + 1
+                    prefixes.append(s[np.lexsort((s, rank))[:most]])
+                fps.append(fp)
+                sizes.append(len(s))
+                sets.append(packed if new else None)
+                if not new:
+                    prefixes.append(None)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(sets, pa.binary())], ["id", "th", "fp", "n", "prefix", "set"])
+
+    return docs.mapInArrow(work, "id long, th long, fp long, n int, prefix array<long>, set binary")
+
+
+def _verified(pairs: DataFrame, rows: DataFrame, similarity: float) -> DataFrame:
+    """Those pairs (a, b) of sets whose Jaccard similarity is as high as wanted."""
+    nodes = pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct()
+    sets = settle(rows.where("set is not null").select("fp", "set").join(nodes, "fp", "left_semi").groupBy("fp").agg(F.first("set").alias("set")), "similar-sets")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, fps = np.empty(0, np.int64), []
+        for b in batches:
+            keep = []
+            for x, y in zip(b.column(2), b.column(3), strict=True):
+                x, y = unpack_set(x.as_py()), unpack_set(y.as_py())
+                both = np.concatenate([x, y])
+                both.sort()
+                shared = int((both[1:] == both[:-1]).sum())
+                keep.append(shared / (len(both) - shared) >= similarity)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-        def ended(key: np.ndarray, fps: list) -> Iterator[pa.RecordBatch]:
-            starts = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.empty(0, int)
-            sizes = np.diff(np.append(starts, len(key)))
-            found = []
-            for s, m in zip(starts[sizes > 1].tolist(), sizes[sizes > 1].tolist(), strict=True):
-                found += shard_links(sorted(int.from_bytes(x, "big") for x in fps[s : s + m]), radius)
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array([p[i].to_bytes(WIDE // 8, "big") for p in found], pa.binary()) for i in (0, 1)], ["a", "b"])
+    with_a = pairs.join(sets.select(F.col("fp").alias("a"), F.col("set").alias("x")), "a")
+    return with_a.join(sets.select(F.col("fp").alias("b"), F.col("set").alias("y")), "b").select("a", "b", "x", "y").mapInArrow(work, "a long, b long")
 
-        for b in batches:
-            key, fps = np.concatenate([key, b.column(0).to_numpy()]), fps + b.column(1).to_pylist()
-            if len(key):
-                whole = int(np.searchsorted(key, key[-1]))
-                yield from ended(key[:whole], fps[:whole])
-                key, fps = key[whole:], fps[whole:]
-        yield from ended(key, fps)
 
-    met = distinct.select("fp").mapInArrow(spread, "shard long, fp binary").repartition("shard").sortWithinPartitions("shard").mapInArrow(work, "a binary, b binary")
-    return _named(rows, distinct, met, id_col).select(id_col, "component_id")
+def _similar(docs: DataFrame, shingle: int, similarity: float, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows (id, th, fp), distinct sets (fp, least) and links of sets that connect all pairs as similar as wanted.
+
+    Sets that share a shingle of their prefixes are compared. First each is compared with the least
+    and the greatest one that has the shingle, which links large groups without all their pairs.
+    Then all pairs that share a shingle and are not in one group yet are compared, so none is missed.
+    """
+    small_batches(docs.sparkSession, 500)
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
+    rows = settle(_sets(texts, shingle, similarity), "similar-rows")
+    distinct = settle(rows.groupBy("fp").agg(F.min("id").alias("least"), F.first("n").alias("n"), F.first("prefix", ignorenulls=True).alias("prefix")), "similar-distinct")
+    posts = distinct.select("fp", "n", F.posexplode("prefix").alias("pos", "token"))
+    ends = settle(posts.groupBy("token").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("lo < hi"), "similar-ends")
+    met = settle(posts.join(ends, "token"), "similar-met")
+    # What is left behind the first shingle shared bounds what two sets can share.
+    may = F.expr(f"{1 + similarity!r} * least(n - pos, n2 - pos2) >= {similarity!r} * (n + n2) - 1e-6")
+    pair = (F.least("fp", "fp2").alias("a"), F.greatest("fp", "fp2").alias("b"))
+    named2 = lambda d: d.select("token", *[F.col(c).alias(f"{c}2") for c in d.columns if c != "token"])
+    tips = named2(met.where("fp = lo or fp = hi").select("token", "fp", "n", "pos"))
+    first = settle(met.join(tips, "token").where(F.col("fp") != F.col("fp2")).where(may).select(*pair).distinct(), "similar-first")
+    links1 = settle(_verified(first, rows, similarity), "similar-links")
+    parts = settle(components(links1), "similar-parts")
+    tagged = settle(met.select("token", "fp", "n", "pos").join(parts, F.col("fp") == F.col("node"), "left").withColumn("group", F.coalesce("component", "fp")).select("token", "fp", "n", "pos", "group"), "similar-tagged")
+    several = settle(tagged.groupBy("token").agg(F.min("group").alias("g"), F.max("group").alias("h")).where("g < h").select("token"), "similar-several")
+    apart = settle(tagged.join(several, "token"), "similar-apart")
+    rest = apart.join(named2(apart), "token").where("group < group2").where(may).select(*pair).distinct()
+    rest = settle(rest.join(first, ["a", "b"], "left_anti"), "similar-rest")
+    links = settle(links1.union(_verified(rest, rows, similarity)), "similar-links")
+    return rows.select("id", "th", "fp"), distinct.select("fp", "least"), links
+
+
+def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row the id and component_id: the smallest id among the documents reachable by pairs of this Jaccard similarity of shingles or more."""
+    rows, distinct, met = _similar(docs, shingle, similarity, id_col, text_col)
+    return _named(rows.select("id", "fp"), distinct, met, id_col).select(id_col, "component_id")
 
 
 def keep_first(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

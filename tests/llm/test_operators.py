@@ -107,6 +107,34 @@ def test_similar_documents(spark):
     assert near >= 28 and all(got[i] == i for i in range(30))
 
 
+def _jaccard(a, b, k=5):
+    a, b = ({tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} if w else set() for w in ((t or "").encode().lower().split() for t in (a, b)))
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def _worn(text, n):
+    w = text.split()
+    for k in random.sample(range(len(w)), n):
+        w[k] = f"x{random.random()}"
+    return " ".join(w)
+
+
+def test_similar_threshold(spark):
+    """Around 0.8, the groups are those of brute force: no pair at 0.8 is missed, none below is linked."""
+    rows = [None, "", "a b c d", "a b c d e f g h", "a b c d e f g h i", "a b c d e f g h j", "A b  c d"]
+    for n in (40, 120, 400):
+        for _ in range(12):
+            t = _text(n)
+            rows += [t, _worn(t, max(1, n // 60)), _worn(t, max(1, n // 40)), _worn(t, n // 30), t + " " + _text(n // 4), " ".join(t.split()[: round(0.8 * n) + 1])]
+    rows = list(enumerate(rows))
+    links = [(i, j) for i in range(len(rows)) for j in range(i) if _jaccard(rows[i][1], rows[j][1]) >= 0.8]
+    near = [_jaccard(rows[i][1], rows[j][1]) for i in range(len(rows)) for j in range(i)]
+    assert sum(0.8 <= x < 0.82 for x in near) >= 5 and sum(0.75 <= x < 0.8 for x in near) >= 5
+    part = brute.grouped(len(rows), links)
+    got = {r.doc_id: r.component_id for r in simhash.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len({(p, got[i]) for i, p in enumerate(part)}) == len(set(part)) == len(set(got.values()))
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(0, 50)] + [(100, k) for k in range(101, 160)] + [(7, 7)]
     got = {r.node: r.component for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}
