@@ -135,6 +135,21 @@ def test_similar_threshold(spark):
     assert len({(p, got[i]) for i, p in enumerate(part)}) == len(set(part)) == len(set(got.values()))
 
 
+def test_similar_crowded(spark):
+    """A group of near copies with unlike fingerprints takes comparisons in proportion to its rows, not to their square."""
+    import glob
+
+    from paperlane.llm.shared import scratch_dir
+
+    base = _text(300)
+    rows = [(i, _worn(base, 3)) for i in range(400)] + [(1000 + i, _text(60)) for i in range(50)]
+    before = set(glob.glob(f"{scratch_dir(spark)}/similar-*"))
+    got = {r.doc_id: r.component_id for r in simhash.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {got[i] for i in range(400)} == {0} and all(got[1000 + i] == 1000 + i for i in range(50))
+    pairs = [spark.read.parquet(f).count() for f in set(glob.glob(f"{scratch_dir(spark)}/similar-*")) - before if "similar-rest" in f or "similar-first" in f]
+    assert len(pairs) == 2 and sum(pairs) <= 40 * 400
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(0, 50)] + [(100, k) for k in range(101, 160)] + [(7, 7)]
     got = {r.node: r.component for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}
