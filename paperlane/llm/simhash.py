@@ -342,14 +342,15 @@ def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8
 
 
 def keep_first(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of each group of similar documents: that of the smallest id, of repeated ids the first by text."""
-    from pyspark.sql.window import Window
-
-    groups = settle(similar_documents(docs, shingle, similarity, id_col, text_col), "similar-groups")
-    spare = groups.where(~F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_id")).distinct()
-    left = docs.join(spare, docs[id_col].eqNullSafe(F.col("_id")), "left_anti")
-    twice = groups.groupBy(id_col).count().where("count > 1").limit(1).count()
-    if not twice:
-        return left
-    turn = F.row_number().over(Window.partitionBy(id_col).orderBy(text_col))
-    return left.withColumn("_turn", turn).where("_turn = 1").drop("_turn")
+    """One row of each group of similar documents: that of the smallest id, null being the greatest, of repeated ids the first by the text's hash."""
+    rows, _, met = _similar(docs, shingle, similarity, id_col, text_col)
+    parts = settle(components(met), "similar-parts")
+    keys = rows.groupBy("id", "th", "fp").agg(F.count("*").alias("n"))
+    least = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "th", "n")).alias("w")
+    first = keys.join(parts, F.col("fp") == F.col("node"), "left").groupBy(F.coalesce("component", "fp").alias("group")).agg(least)
+    first = settle(first.select(F.col("w.id").alias("_id"), F.col("w.th").alias("_th"), F.col("w.n").alias("_n")), "similar-first")
+    kept = docs.join(first, docs[id_col].cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(docs[text_col]) == F.col("_th")))
+    if not first.where("_n > 1").limit(1).count():
+        return kept.select(*docs.columns)
+    again = kept.where("_n > 1").groupBy("_id", "_th").agg(F.min(F.struct(*docs.columns)).alias("_row")).select("_row.*")
+    return kept.where("_n = 1").select(*docs.columns).unionByName(again)

@@ -150,6 +150,14 @@ def test_similar_crowded(spark):
     assert len(pairs) == 2 and sum(pairs) <= 40 * 400
 
 
+def test_keep_first_rows(spark):
+    """Null and repeated ids: one row of each group stays, and every row that is no copy."""
+    t = [_text(80) for _ in range(9)]
+    rows = [(None, t[0]), (None, t[1]), (7, t[2]), (7, t[3]), (5, t[4]), (5, t[5]), (2, t[5]), (6, t[4]), (None, t[6]), (9, t[6]), (None, t[7]), (None, t[7]), (8, t[8]), (8, t[8])]
+    kept = sorted(tuple(r) for r in simhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string")).fillna(-1).collect())
+    assert kept == sorted([(-1, t[0]), (-1, t[1]), (7, t[2]), (7, t[3]), (5, t[4]), (2, t[5]), (9, t[6]), (-1, t[7]), (8, t[8])])
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(0, 50)] + [(100, k) for k in range(101, 160)] + [(7, 7)]
     got = {r.node: r.component for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}
