@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import functions as F
 
 from ..functions import jsonrepair as J
@@ -15,12 +18,21 @@ from ..sources.corpus import STATEMENTS_SQL, statements, table
 from .flow import MARKERS
 
 
+def ascii_fold(text):
+    """NFKD, then without what is beyond ASCII, in lower case; null stays null."""
+
+    @F.pandas_udf("string")
+    def fold(t: pd.Series) -> pd.Series:
+        return t.map(lambda x: unicodedata.normalize("NFKD", x).encode("ascii", "ignore").decode("ascii").lower(), na_action="ignore")
+
+    return fold(text)
+
+
 def norm_text(spark, sf_dir):
-    """Names as they are compared: accents dropped, other characters beyond ASCII removed, lower case."""
+    """Names as they are compared: characters taken apart, those beyond ASCII removed, lower case."""
     d = table(spark, sf_dir, "documents")
-    accents, plain = "áàâäãåéèêëíìîïóòôöõúùûüýÿçñÁÀÂÄÃÅÉÈÊËÍÌÎÏÓÒÔÖÕÚÙÛÜÝÇÑ", "aaaaaaeeeeiiiiooooouuuuyycnAAAAAAEEEEIIIIOOOOOUUUUYCN"
-    t = F.lower(F.regexp_replace(F.translate(F.substring("text", 1, 200), accents, plain), r"[^\x00-\x7F]", ""))
-    return d.select("doc_id", F.length(t).alias("n"), F.regexp_count(t, F.lit("[a-z]")).alias("letters"))
+    t = ascii_fold(F.col("text"))
+    return d.select("doc_id", t.alias("t")).select("doc_id", F.length("t").alias("n"), F.regexp_count("t", F.lit("[a-z]")).alias("letters"))
 
 
 def norm_tokens(spark, sf_dir):

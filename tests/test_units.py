@@ -149,3 +149,13 @@ def test_stream_equals_batch(spark, tmp_path):
     ingest.run_jobs(stream, lambda b: b.withColumn("status", F.lit("done")), gone, "id", str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
     got = sorted(r.id for r in spark.read.parquet(str(tmp_path / "out")).collect())
     assert got == [0, 1, 2, 4, 5, 6]
+
+
+def test_norm_text(spark, tmp_path):
+    """Whole texts by NFKD, as the reference does: the double acute, a ligature, full width, far beyond 200 characters."""
+    from paperlane.plans import more
+
+    rows = [(1, "Ő\ufb01 Ａb é ß"), (2, "x" * 300 + "É"), (3, None), (4, "")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.n, r.letters) for r in more.norm_text(spark, str(tmp_path)).collect()}
+    assert got == {1: (9, 6), 2: (301, 301), 3: (None, None), 4: (0, 0)}
