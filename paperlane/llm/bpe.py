@@ -3,17 +3,20 @@
 A rolling hash over the bytes of a text marks cuts, wherever they fall, so that passages shared by
 documents give the same chunks. A chunk's core, from its first blank to its last, is encoded once
 and kept by content. At each cut the join is repaired: the fragments on both sides are put
-together and encoded anew, and the span grows over further cuts until a blank bounds it on either
-side. There the encodings agree exactly with that of the whole text, because neither the
-vocabulary's normaliser (NFC, blanks to one space, lower case) nor its splitter carries anything
-over an ASCII blank, and no added token holds one; join_agrees() states this as a check. Words that
-come again in other chunks are encoded once too.
+together and encoded anew, and so is a window of them with the words next to them. If the window's
+encoding is not, token for token, that of its parts, the join grows: it takes in the cores on both
+sides, whole, and is encoded and compared again, until all joins agree or the text is one span.
+
+A core is made of its words' encodings, each word being encoded once (`units` gives cores to the
+library whole instead). That is exact where neither normaliser nor splitter carries anything over
+an ASCII blank and no added token holds one, which the windows check at every join.
 
 What is kept lives in the Python worker, is bounded by entries, and serves all its tasks. There is
 no shuffle: a chunk store shared by all executors would move every text twice.
 
 Null counts as the empty text: no tokens, no decoded text. Rows are never merged, so repeated rows
-and null ids give one row each. The decoder is the vocabulary's own.
+and null ids give one row each; other columns are ignored; an empty table gives an empty one. The
+decoder is the vocabulary's own.
 """
 
 from __future__ import annotations
@@ -89,22 +92,25 @@ def pieces(data: bytes, bits: int = 9) -> list[tuple[bool, bytes]]:
 
 
 class ChunkEncoder:
-    """Encodes texts through stores of chunks and words.
+    """Encodes texts through stores of chunks, joins and words.
 
-    An encoding is (number of tokens, decimal ids joined by spaces, decoded text).
+    An encoding is (number of tokens, decimal ids joined by spaces, decoded text). `counts` tells how
+    many cores were met and how many of them encoded, and how many joins were met, encoded and grown.
     """
 
-    def __init__(self, path: str, bits: int = 9, most_words: int = 400_000, most_chunks: int = 10_000):
+    def __init__(self, path: str, bits: int = 9, units: bool = False, most_words: int = 400_000, most_chunks: int = 40_000, most_joins: int = 200_000):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.bits, self.most_words, self.most_chunks = bits, most_words, most_chunks
+        self.bits, self.units, self.most_words, self.most_chunks, self.most_joins = bits, units, most_words, most_chunks, most_joins
         self.words: dict[bytes, tuple[int, str, str]] = {}
         self.chunks: dict[bytes, tuple[int, str, str]] = {}
+        self.joins: dict[bytes, bool] = {}
         self.silent = False  # whether any word gave no token
+        self.counts = dict.fromkeys(("cores", "encoded_cores", "joins", "encoded_joins", "grown_joins"), 0)
 
     def plain(self, texts: list[str]) -> list[tuple[int, str, str]]:
         """The library's own encodings."""
@@ -112,11 +118,6 @@ class ChunkEncoder:
         decode = self.tokenizer.decode
         return [(len(ids := e.ids), " ".join(map(str, ids)), decode(ids, skip_special_tokens=False)) for e in found]
 
-    def join_agrees(self, left: str, right: str) -> bool:
-        """Whether two neighbours encode as they do together."""
-        (a, b, both) = self.plain([left, right, left + right])
-        return self._together([a, b]) == both
-
     def _together(self, parts: list) -> tuple[int, str, str]:
         if self.silent:
             parts = [p for p in parts if p[0]]
@@ -127,30 +128,87 @@ class ChunkEncoder:
         n, ids, texts = zip(*parts, strict=True)
         return sum(n), " ".join(ids), " ".join(texts)
 
+    def _learn(self, met: set[bytes]) -> None:
+        fresh = list(met.difference(self.words))
+        found = self.plain([w.decode() for w in fresh])
+        self.silent = self.silent or not all(e[0] for e in found)
+        self.words.update(zip(fresh, found, strict=True))
+
+    @staticmethod
+    def _beside(doc: list[tuple[bool, bytes]], at: int) -> tuple[int, int]:
+        """The span of pieces around a join that has text on both sides, as far as the text goes."""
+        lo = at - 1 if at < 2 or doc[at - 1][1].strip() else at - 2
+        hi = at + 1 if at + 2 >= len(doc) or doc[at + 1][1].strip() else at + 2
+        return max(0, lo), min(len(doc) - 1, hi)
+
+    def _windows(self, doc: list[tuple[bool, bytes]]) -> Iterator[tuple[bytes, ...]]:
+        """Each join with the words next to it."""
+        for i, (core, data) in enumerate(doc):
+            if not core:
+                lo, hi = self._beside(doc, i)
+                left = doc[lo][1].rsplit(None, 1)[-1:] if lo < i else []
+                right = doc[hi][1].split(None, 1)[:1] if hi > i else []
+                yield (*left, data, *right)
+
+    def _check(self, windows: set[tuple[bytes, ...]]) -> None:
+        """Encodes windows anew and notes whether they agree with their parts."""
+        fresh = [w for w in windows if w not in self.joins]
+        self._learn({part for w in fresh for part in w})
+        words = self.words
+        for w, whole in zip(fresh, self.plain([b" ".join(w).decode() for w in fresh]), strict=True):
+            self.joins[w] = self._together([words[part] for part in w]) == whole
+        self.counts["encoded_joins"] += len(fresh)
+
+    def _grown(self, doc: list[tuple[bool, bytes]]) -> tuple[int, str, str]:
+        """A text with joins that do not agree: spans grow over the cores beside them until all do."""
+        spans: dict[bytes, tuple[int, str, str]] = {}
+        at = 0
+        while at < len(doc):
+            lo, hi = self._beside(doc, at)
+            beside = [d for _, d in doc[lo : hi + 1]]
+            if doc[at][0] or self._together(self.plain([d.decode() for d in beside if d.strip()])) == self.plain([b"".join(beside).decode()])[0]:
+                at += 1
+                continue
+            self.counts["grown_joins"] += 1
+            span = b"".join(beside)
+            spans[span] = self.plain([span.decode()])[0]
+            doc = [*doc[:lo], (False, span), *doc[hi + 1 :]]
+            at = max(0, lo - 2)
+        return self._together([self.chunks[d] if core and d in self.chunks else spans.get(d) or self.plain([d.decode()])[0] for core, d in doc])
+
     def encode(self, texts: list[str | None]) -> list[tuple[int, str, str]]:
-        if len(self.words) > self.most_words:
-            self.words = {}
-        if len(self.chunks) > self.most_chunks:
-            self.chunks = {}
-        words, chunks = self.words, self.chunks
+        for store, most in ((self.words, self.most_words), (self.chunks, self.most_chunks), (self.joins, self.most_joins)):
+            if len(store) > most:
+                store.clear()
+        words, chunks, counts = self.words, self.chunks, self.counts
         split = [pieces(folded(t.encode()), self.bits) if t else [] for t in texts]
         new_chunks: dict[bytes, list[bytes]] = {}
         met: set[bytes] = set()
         for doc in split:
             for core, data in doc:
+                counts["cores"] += core
                 if not core:
                     met.add(data)
                 elif data not in chunks and data not in new_chunks:
-                    new_chunks[data] = own = data.split()
+                    new_chunks[data] = own = [] if self.units else data.split()
                     met.update(own)
-        fresh = list(met.difference(words))
-        found = self.plain([w.decode() for w in fresh])
-        self.silent = self.silent or not (all(e[0] for e in found) and all(new_chunks.values()))
-        words.update(zip(fresh, found, strict=True))
-        for data, own in new_chunks.items():
-            chunks[data] = self._together([words[w] for w in own])
-        out = [self._together([chunks[d] if core else words[d] for core, d in doc]) for doc in split]
-        for d in [d for d in fresh if len(d) > 64]:  # long ones seldom come again
+        before = set(words)
+        self._learn(met)
+        counts["encoded_cores"] += len(new_chunks)
+        if self.units:
+            found = self.plain([d.decode() for d in new_chunks])
+            self.silent = self.silent or not all(e[0] for e in found)
+            chunks.update(zip(new_chunks, found, strict=True))
+        else:
+            self.silent = self.silent or not all(new_chunks.values())
+            for data, own in new_chunks.items():
+                chunks[data] = self._together([words[w] for w in own])
+        windows = [list(self._windows(doc)) for doc in split]
+        counts["joins"] += sum(map(len, windows))
+        self._check({w for some in windows for w in some})
+        agreed = self.joins
+        out = [self._together([chunks[d] if core else words[d] for core, d in doc]) if all(agreed[w] for w in some) else self._grown(doc) for doc, some in zip(split, windows, strict=True)]
+        for d in [d for d in set(words) - before if len(d) > 64]:  # long ones seldom come again
             del words[d]
         for d in [d for d in new_chunks if len(d) > 8192]:
             del chunks[d]
