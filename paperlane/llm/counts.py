@@ -8,12 +8,16 @@ what the next character does. They are the transducer's states; a transition car
 change in the number of tokens. Transitions are compiled when first met, and the machine is
 dropped and begun anew when it has grown to its bound.
 
-No piece holds a word mark after another character, so a word mark after one resets the machine:
-a chunk's map from entry state to (exit state, tokens) is constant but for the part before its
-first reset. Chunk maps therefore compose as (head, tokens, tail), and long texts are cut into
-chunks whose maps are combined by a prefix scan.
-
-Null counts as the empty text. One row comes out for each row, repeated rows and null ids included.
+No piece holds a line end, nor a word mark after another character, so there the machine returns to
+its first state. A text is cut into chunks. A chunk is a map from the state at its entry to the
+state at its exit and the tokens between: up to its first return the entry state decides, and
+behind it nothing does, so a map is kept as the characters before the first return, and the tokens
+and the exit state behind it. Maps are composed by pairs in a scan, without reading chunks again.
+Chunks met before have their map already: cuts are made at returns, by content, so that passages
+that texts share give the same chunks.
+
+Null counts as the empty text. One row comes out for each row, repeated rows and null ids included;
+other columns are ignored; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -31,16 +35,25 @@ from .shared import small_batches
 MARK = "▁"
 #: Stretches that encode apart: the line end is no piece's part, so it splits them as well.
 STRETCH = re.compile(f"{MARK}+[^{MARK}\n]*|\n+|[^{MARK}\n]+")
-RESET = re.compile(f"(?<=[^{MARK}]){MARK}")
+#: Where the machine is in its first state again.
+RETURN = re.compile(f"(?<=[^{MARK}])(?={MARK})|(?<=[^\n])(?=\n)|(?<=\n)(?=[^\n])")
+INSIDE = re.compile(f"[^{MARK}]{MARK}")
+
+
+class Entry(NamedTuple):
+    """Where the machine is: its state, and the last character read, None at the begin."""
+
+    state: State
+    last: str | None
 
 
 class ChunkMap(NamedTuple):
-    """What a chunk does: head goes to the state at entry; if resets, tokens lie between, and tail is open."""
+    """What a chunk does: head is read from the entry; if returns, tokens come behind it and exit is where the machine then is."""
 
     head: str
-    resets: bool = False
+    returns: bool = False
     tokens: int = 0
-    tail: str = ""
+    exit: Entry | None = None
 
 
 class State(dict):
@@ -62,23 +75,24 @@ class State(dict):
 
 
 class Transducer:
-    def __init__(self, path: str, most: int = 300_000, stretches: int = 600_000):
+    def __init__(self, path: str, most: int = 1_000_000):
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
         special = lambda i: sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i)
         self.score = {sp.id_to_piece(i): sp.get_score(i) for i in range(sp.get_piece_size()) if not special(i)}
-        if any(RESET.search(p) for p in self.score) or any("\n" in p for p in self.score):
+        if any(INSIDE.search(p) for p in self.score) or any("\n" in p for p in self.score):
             raise ValueError("pieces that hold a word mark or a line end inside")
         self.longest = max(map(len, self.score))
         self.begun = {p[:i] for p in self.score for i in range(1, len(p))}
-        self.most, self.split, self.counts = most, {}, Counts(self, stretches)
+        self.most, self.split = most, {}
         self.forget()
 
     def forget(self) -> None:
         """The empty machine."""
         self.start = State(self, "", ("",), (0,))
         self.states = {("", ("",), (0,)): self.start}
+        self.pairs: dict[tuple[str, str], bool] = {}
         self.moves = 0
 
     def merged(self, text: str) -> tuple[list[str], tuple[str, str] | None]:
@@ -104,7 +118,14 @@ class Transducer:
         return found
 
     def follows(self, u: str, t: str) -> bool:
-        """Whether u and t encode as (u, t) together.
+        """Whether u and t encode as (u, t) together."""
+        found = self.pairs.get((u, t))
+        if found is None:
+            found = self.pairs[u, t] = self._follows(u, t)
+        return found
+
+    def _follows(self, u: str, t: str) -> bool:
+        """Tries it.
 
         The merges that made them are taken back, the latest first. If what then faces each other
         at the seam would have been joined before the merge taken back, they do not.
@@ -152,41 +173,51 @@ class Transducer:
         self.moves += 1
         return found, change
 
-    def run(self, text: str) -> int:
-        """Tokens of a stretch, read from the start state."""
-        if self.moves >= self.most:
-            self.forget()
-        state, total = self.start, 0
-        for c in text:
+    def run(self, state: State, stretch: str) -> tuple[State, int]:
+        """Reads part of a stretch from a state: the state it leads to and the tokens that come to those before."""
+        total = 0
+        for c in stretch:
             state, change = state[c]
             total += change
-        return total
+        return state, total
 
-    def map(self, text: str) -> ChunkMap:
-        found = [m.start() for m in RESET.finditer(text)]
-        if not found:
-            return ChunkMap(text)
-        return ChunkMap(text[: found[0]], True, self.total(text[found[0] : found[-1]]), text[found[-1] :])
-
-    def total(self, text: str) -> int:
-        return sum(map(self.counts.__getitem__, STRETCH.findall(text)))
+    def read(self, entry: Entry, text: str) -> tuple[Entry, int]:
+        """Reads a text from where the machine is."""
+        if not text:
+            return entry, 0
+        state, last, total = entry.state, entry.last, 0
+        for stretch in STRETCH.findall(text):
+            first = stretch[0]
+            if last is None or first == "\n" or last == "\n" or first == MARK and last != MARK:
+                state = self.start
+            if first == "\n":
+                total += len(stretch)
+            else:
+                state, n = self.run(state, stretch)
+                total += n
+            last = stretch[-1]
+        return Entry(state, last), total
+
+    def map(self, chunk: str) -> ChunkMap:
+        """A chunk's map."""
+        at = RETURN.search(chunk)
+        if at is None:
+            return ChunkMap(chunk)
+        exit_, tokens = self.read(Entry(self.start, None), chunk[at.start() :])
+        return ChunkMap(chunk[: at.start()], True, tokens, exit_)
 
     def compose(self, a: ChunkMap, b: ChunkMap) -> ChunkMap:
         """First a, then b."""
-        open_ = a.tail if a.resets else a.head
-        joint = self.map(open_ + b.head)  # what was open on both sides may hold a reset
-        if not joint.resets:
-            if not b.resets:
-                return a._replace(tail=joint.head) if a.resets else joint
-            if not a.resets:
-                return ChunkMap(joint.head, True, b.tokens, b.tail)
-            return ChunkMap(a.head, True, a.tokens + self.total(joint.head) + b.tokens, b.tail)
-        head, tokens, tail = joint.head, joint.tokens, joint.tail
-        if a.resets:
-            head, tokens = a.head, a.tokens + self.total(head) + tokens
-        if b.resets:
-            tokens, tail = tokens + self.total(tail) + b.tokens, b.tail
-        return ChunkMap(head, True, tokens, tail)
+        if not a.returns:
+            whole = a.head + b.head
+            at = RETURN.search(whole)
+            if at is None:
+                # The seam itself may be a return that neither half shows.
+                return b._replace(head=whole)
+            exit_, tokens = self.read(Entry(self.start, None), whole[at.start() :])
+            return ChunkMap(whole[: at.start()], True, tokens + b.tokens, b.exit if b.returns else exit_)
+        exit_, tokens = self.read(a.exit, b.head)
+        return ChunkMap(a.head, True, a.tokens + tokens + b.tokens, b.exit if b.returns else exit_)
 
     def scan(self, maps: list[ChunkMap]) -> ChunkMap:
         """The product of the maps, by pairs, as a parallel scan takes them."""
@@ -194,32 +225,15 @@ class Transducer:
             maps = [self.compose(*maps[i : i + 2]) if i + 1 < len(maps) else maps[i] for i in range(0, len(maps), 2)]
         return maps[0]
 
-    def count(self, text: str | None, chunk: int = 1 << 16) -> int:
-        """Tokens of a whole text."""
+    def count(self, text: str | None, chunk: int = 1 << 12) -> int:
+        """Tokens of a whole text, read in chunks of so many characters."""
         if not text:
             return 0
+        if self.moves >= self.most:
+            self.forget()
         s = MARK + text.replace(" ", MARK)
-        if len(s) <= chunk:
-            return self.total(s)
         whole = self.scan([self.map(s[i : i + chunk]) for i in range(0, len(s), chunk)])
-        return self.total(whole.head) + whole.tokens + self.total(whole.tail)
-
-
-class Counts(dict):
-    """Tokens of the stretches met, up to a bound."""
-
-    def __init__(self, machine: Transducer, most: int):
-        self.machine, self.most = machine, most
-
-    def __missing__(self, stretch: str) -> int:
-        if stretch[0] == "\n":
-            return len(stretch)
-        n = self.machine.run(stretch)
-        if len(stretch) <= 64:
-            if len(self) >= self.most:
-                self.clear()
-            self[stretch] = n
-        return n
+        return self.read(Entry(self.start, None), whole.head)[1] + whole.tokens
 
 
 _machines: dict[str, Transducer] = {}
