@@ -1,15 +1,18 @@
 """Mixing sources to target weights by Pareto order sampling, with DataFrame operations only.
 
-A source's target is spread evenly over its documents, so each expects r = target / size copies.
-floor(r) whole copies are certain. The rest is an order sample: a document's rank is
-odds(u) / odds(pi), with u a uniform number hashed from its id and pi = r - floor(r); the
-documents of lowest rank are taken until the words still missing are reached. The cut falls at
-the document that crosses the middle, so a source ends within half a document of its target.
+Of each document floor(target / size of its source) whole copies are certain. The rest is an order
+sample with unequal probabilities: a document's rank is odds(u) / odds(pi), with u a uniform number
+hashed from its id and pi its chance of one more copy. pi falls with the document's length, as
+1 / (binary digits of its size) up to 1, so that the same words come from more documents; it is
+scaled so that the words expected are those still missing. Where pi is 1 the copy is certain too.
+The sample's size is fixed, in words: documents are taken by rank until the missing words are
+reached. The cut falls at the document that crosses the middle, so a source ends within half a
+document of its target.
 
 No source is ever sorted in one task: ranks are counted in two levels of 1,024 bins, and only the
 documents of the one cell that holds the cut are ordered. A repeated row shares its rank with its
 twin, and both are taken or neither. A null text has size 0, a null source is a source of its own
-(last), an empty table gives an empty result. Other columns are ignored.
+(last), an empty table gives an empty result. Null ids share one number u. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -60,11 +63,35 @@ def _small(table: DataFrame, few: bool) -> DataFrame:
     return F.broadcast(table) if few else table
 
 
+def digits(size: Column) -> Column:
+    """Binary digits of a size, 1 for none."""
+    return F.length(F.bin(size))
+
+
+def chances(sizes: DataFrame, per: DataFrame) -> DataFrame:
+    """Adds to sources (source, source_size, rest, ...) the map `pis` from a document's digits to its chance of one more copy.
+
+    Per source there is a row for each number of digits. The scale is found like the level of
+    targets(): of the scales reached by giving the shortest documents a chance of 1, it is the greatest.
+    """
+    kinds = sizes.groupBy("source", digits(F.col("size")).alias("digits")).agg(F.sum("size").alias("words"))
+    kinds = kinds.withColumnRenamed("source", "s0").join(per.select("source", "rest"), F.col("s0").eqNullSafe(F.col("source"))).drop("s0")
+    order = Window.partitionBy("source").orderBy("digits")
+    before, after = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(0, Window.unboundedFollowing)
+    left = F.col("rest") - F.coalesce(F.sum("words").over(before), F.lit(0))
+    shares = F.sum(F.col("words") / F.col("digits")).over(after)
+    kinds = kinds.withColumn("scale", F.max(F.when(shares > 0, left / shares)).over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    pi = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.coalesce("scale", F.lit(0.0))) / F.col("digits"))
+    maps = kinds.groupBy(F.col("source").alias("s0")).agg(F.map_from_entries(F.collect_list(F.struct("digits", pi.alias("pi")))).alias("pis"))
+    return per.join(maps, F.col("source").eqNullSafe(F.col("s0")), "left").drop("s0")
+
+
 def _ranked(sizes: DataFrame, per: DataFrame) -> DataFrame:
     """Joins each row with its source's figures and ranks it."""
     odds = lambda p: p / (F.lit(1.0) - p)
     j = sizes.join(per, sizes["source"].eqNullSafe(per["source"]), "left").drop(per["source"])
-    xi = F.when(F.col("pi") > 0, odds(F.col("u")) / odds(F.col("pi")))
+    j = j.withColumn("pi", F.try_element_at("pis", digits(F.col("size")))).drop("pis")
+    xi = F.when(F.col("pi") >= 1, F.lit(0.0)).when(F.col("pi") > 0, odds(F.col("u")) / odds(F.when(F.col("pi") < 1, F.col("pi"))))
     j = j.withColumn("xi", xi)
     z = F.col("xi") / (F.lit(1.0) + F.col("xi")) * BINS
     return j.withColumn("b1", F.floor(z).cast("int")).withColumn("b2", F.floor((z - F.floor(z)) * BINS).cast("int"))
@@ -86,9 +113,8 @@ def plan(sizes: DataFrame, weights: tuple = (5.0, 2.0, 1.0), share: float = 1.5,
     """
     per = targets(sizes, weights, share, most)
     r = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    per = per.withColumn("whole", F.floor(r)).withColumn("pi", r - F.floor(r))
-    per = per.withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size")).withColumn("base", F.lit(0).cast("long"))
-    per = settle(per.coalesce(1), "mix-sources")
+    per = per.withColumn("whole", F.floor(r)).withColumn("rest", F.col("target") - F.floor(r) * F.col("source_size")).withColumn("base", F.lit(0).cast("long"))
+    per = settle(chances(sizes, settle(per, "mix-targets")), "mix-sources")
     few = per.count() <= FEW
     rows = _ranked(sizes, _small(per, few))
     one = settle(_cell(rows, per, "b1"), "mix-cell")
@@ -108,7 +134,7 @@ def plan(sizes: DataFrame, weights: tuple = (5.0, 2.0, 1.0), share: float = 1.5,
     per = per.join(cells, per["source"].eqNullSafe(F.col("s2")), "left").drop("s2")
     cut = cut.withColumnRenamed("source", "s3")
     per = per.join(cut, per["source"].eqNullSafe(F.col("s3")), "left").drop("s3", "base")
-    per = settle(per.withColumnsRenamed({"b1": "cut1", "b2": "cut2"}).withColumn("base", F.lit(0).cast("long")).coalesce(1), "mix-plan")
+    per = settle(per.withColumnsRenamed({"b1": "cut1", "b2": "cut2"}).withColumn("base", F.lit(0).cast("long")), "mix-plan")
     return _small(per, few)
 
 
@@ -139,8 +165,8 @@ def repeat_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """
     sizes = docs.select(F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), uniform(F.col(id_col), seed).alias("u"))
     per = plan(settle(sizes, "mix-sizes"), weights, share, most)
-    whole = docs.select(F.col(source_col).alias("source"), uniform(F.col(id_col), seed).alias("u"), F.struct(*[docs[c] for c in docs.columns]).alias("row"))
-    out = copies(per, whole.withColumn("size", F.lit(0)))
+    whole = docs.select(F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), uniform(F.col(id_col), seed).alias("u"), F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    out = copies(per, whole)
     return out.withColumn("copy", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int")))).select("row.*")
 
 
@@ -155,9 +181,15 @@ s2 AS (SELECT *, (1.5::DOUBLE * sum(source_size) OVER () - coalesce(sum(cap) OVE
     / sum(w) OVER (ORDER BY cap / w, source ASC NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM s1),
 s3 AS (SELECT source, source_size, least(cap, max(level) OVER () * w) AS target FROM s2),
 s4 AS (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0::DOUBLE END AS r FROM s3),
-s5 AS (SELECT *, floor(r) AS whole, r - floor(r) AS pi, target - floor(r) * source_size AS rest FROM s4),
-j AS (SELECT d.*, source_size, target, whole, rest, CASE WHEN pi > 0 THEN (u / (1.0::DOUBLE - u)) / (pi / (1.0::DOUBLE - pi)) END AS xi
-  FROM d JOIN s5 ON d.source IS NOT DISTINCT FROM s5.source),
+s5 AS (SELECT *, floor(r) AS whole, target - floor(r) * source_size AS rest FROM s4),
+k0 AS (SELECT source, length(bin(size)) AS digits, CAST(sum(size) AS BIGINT) AS words FROM d GROUP BY ALL),
+k1 AS (SELECT k0.*, rest - coalesce(sum(words) OVER (PARTITION BY k0.source ORDER BY digits ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS missing,
+    sum(words / digits::DOUBLE) OVER (PARTITION BY k0.source ORDER BY digits ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS shares
+  FROM k0 JOIN s5 ON k0.source IS NOT DISTINCT FROM s5.source),
+k2 AS (SELECT *, max(CASE WHEN shares > 0 THEN missing / shares END) OVER (PARTITION BY source) AS scale FROM k1),
+k3 AS (SELECT source, digits, least(1.0::DOUBLE, greatest(0.0::DOUBLE, coalesce(scale, 0.0::DOUBLE)) / digits) AS pi FROM k2),
+j AS (SELECT d.*, source_size, target, whole, rest, CASE WHEN pi >= 1 THEN 0.0::DOUBLE WHEN pi > 0 THEN (u / (1.0::DOUBLE - u)) / (pi / (1.0::DOUBLE - pi)) END AS xi
+  FROM d JOIN s5 ON d.source IS NOT DISTINCT FROM s5.source JOIN k3 ON d.source IS NOT DISTINCT FROM k3.source AND length(bin(d.size)) = k3.digits),
 g AS (SELECT source, xi, sum(size) AS tied, any_value(rest) AS rest FROM j WHERE xi IS NOT NULL GROUP BY source, xi),
 h AS (SELECT *, coalesce(sum(tied) OVER (PARTITION BY source ORDER BY xi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM g),
 c AS (SELECT source, max(xi) AS last FROM h WHERE before + tied / 2.0 <= rest GROUP BY source)
