@@ -58,7 +58,7 @@ def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
-    return d.select("doc_id", "source", "lang", "evidence", "path_rate", "p_good", "kept")
+    return d.select("doc_id", "source", "lang", *[F.round(c, 6).alias(c) for c in ("evidence", "path_rate", "p_good")], "kept")
 
 
 def op10_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,5 +84,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op6_mix_sources": mixing.OP6_SQL,
         "op7_quality_rules": rules.OP7_SQL,
+        "op9_quality_classifier": quality.OP9_SQL,
         "op10_warc_fixity": fixity.OP10_SQL,
     }

@@ -114,13 +114,14 @@ def _holds(rules: tuple = RULES) -> str:
     return " AND ".join(parts)
 
 
-OP7_SQL = rf"""
-WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+#: The counts and ratios of every document, numbered by r, as measures() has them.
+MEASURES_SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, source, lang, coalesce(text, '') AS text FROM documents),
 w AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d),
 p AS (SELECT r, unnest(range(1, len(words) - 6)) AS i, words FROM w WHERE len(words) >= 8),
 q AS (SELECT r, i, count(*) OVER (PARTITION BY r, array_to_string(words[i:i + 7], ' ')) AS c FROM p),
 k AS (SELECT r, count(DISTINCT i + o) AS n_repeat_words FROM q, (SELECT unnest(range(0, 8)) AS o) WHERE c >= 2 GROUP BY r),
-m AS (SELECT doc_id, len(words)::BIGINT AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars,
+m AS (SELECT r, doc_id, source, lang, text, len(words)::BIGINT AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars,
     len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols, len(lines)::BIGINT AS n_lines, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
     coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words,
     len(list_filter(words, lambda x: lower(x) IN ({_quoted(STOP_WORDS)}))) AS stops,
@@ -129,5 +130,5 @@ m AS (SELECT doc_id, len(words)::BIGINT AS n_words, length(regexp_replace(text,
 n AS (SELECT *, CASE WHEN n_words > 0 THEN word_chars / n_words ELSE 0.0 END AS mean_word_length, CASE WHEN n_words > 0 THEN n_symbols / n_words ELSE 0.0 END AS symbol_ratio,
     CASE WHEN n_words > 0 THEN stops / n_words ELSE 0.0 END AS stop_word_ratio, CASE WHEN n_words > 0 THEN alphas / n_words ELSE 0.0 END AS alpha_word_ratio,
     CASE WHEN n_lines > 0 THEN n_dup_lines / n_lines ELSE 0.0 END AS dup_line_ratio, (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AS base_failed FROM m)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, (NOT base_failed AND {_holds()}) AS kept FROM n
 """
+OP7_SQL = f"{MEASURES_SQL} SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, (NOT base_failed AND {_holds()}) AS kept FROM n"
