@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import settle
+from .shared import discard, settle
 
 
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
@@ -23,12 +23,15 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
         # Large star: both directions; every greater neighbour is joined to the node's minimum.
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = settle(both.groupBy("a").agg(F.min("b").alias("low")).select("a", F.least("a", "low").alias("low")), "links")
+        old = [now, low]
         big = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("low").alias("b")).distinct()
         big = settle(big, "links")
         # Small star: smaller neighbours (all are, now) and the node itself are joined to the smallest.
         low = settle(big.groupBy("a").agg(F.min("b").alias("low")), "links")
+        old += [big, low]
         rest = big.join(low, "a").where("b <> low").select(F.col("b").alias("a"), F.col("low").alias("b"))
         now = settle(rest.union(low.select("a", F.col("low").alias("b"))).distinct(), "links")
+        discard(*old)
         found = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
         if mark == (found.n, found.h):
             break

@@ -8,6 +8,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,9 +29,11 @@ def words_of(text: Column) -> Column:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a local one where it is unset (tests, local mode)."""
+    """The folder all executors share, spark.checkpoint.dir; in local mode, where it is unset, one of this machine."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         where = tempfile.mkdtemp(prefix="paperlane-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
@@ -48,9 +51,23 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Keep Arrow batches small, as texts may be long."""
+def discard(*tables: DataFrame) -> None:
+    """Delete settled tables that nothing will read again. What cannot be reached from here stays."""
+    for t in tables:
+        files = t.inputFiles()
+        if files:
+            folder = files[0].rpartition("/")[0]
+            try:
+                fs, path = pa.fs.FileSystem.from_uri(folder.replace("file:///", "/"))
+                fs.delete_dir(path)
+            except (OSError, ValueError, NotImplementedError):  # left behind, as it would be without this
+                continue
+
+
+def small_batches(spark: SparkSession, rows: int = 1000, size: int = 1 << 25) -> None:
+    """Keep Arrow batches small, by rows and bytes, as texts may be long."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
 
 
 class Rows:
@@ -79,10 +96,16 @@ class Rows:
         self.parts, self.n = [], 0
 
 
-def runs(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
-    """Tables of the rows that share the key columns, from batches sorted by them."""
+def runs(batches: Iterable[pa.RecordBatch], keys: list[str], least: int = 1) -> Iterator[pa.Table]:
+    """Tables of the rows that share the key columns, from batches sorted by them; runs of fewer than least rows are passed over."""
     held: list[pa.RecordBatch] = []
     last = None
+
+    def ended() -> Iterator[pa.Table]:
+        if sum(h.num_rows for h in held) >= least:
+            yield pa.Table.from_batches(held)
+        held.clear()
+
     for batch in batches:
         n = batch.num_rows
         if not n:
@@ -91,17 +114,13 @@ def runs(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Tabl
         change = np.zeros(n, bool)
         for c in cols:
             change[1:] |= c[1:] != c[:-1]
-        first = tuple(c[0] for c in cols)
-        change[0] = last is not None and first != last
-        starts = np.flatnonzero(change)
-        at = 0
-        for s in starts:
-            if s > at:
-                held.append(batch.slice(at, s - at))
-            if held:
-                yield pa.Table.from_batches(held)
-            held, at = [], s
-        held.append(batch.slice(at))
+        change[0] = last is not None and tuple(c[0] for c in cols) != last
+        starts = np.append(np.flatnonzero(change), n)
+        if starts[0] > 0:
+            held.append(batch.slice(0, starts[0]))
+        for s, e in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+            yield from ended()
+            if e - s >= least or e == n:
+                held.append(batch.slice(s, e - s))
         last = tuple(c[-1] for c in cols)
-    if held:
-        yield pa.Table.from_batches(held)
+    yield from ended()
