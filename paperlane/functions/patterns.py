@@ -50,3 +50,32 @@ MIME_BY_EXTENSION = {"pdf": "application/pdf", "png": "image/png", "jpg": "image
 RISK_WEIGHTS = {"LOW": 10, "MEDIUM": 30, "HIGH": 60, "CRITICAL": 100}
 EVIDENCE_SCORES = {"exact_label": 60, "table_context": 40, "nearby_label": 30, "semantic": 10, "ambiguous": 0}
 ROLE_SCORES = {"primary": 10, "unknown": 0, "secondary": -20, "example": -20, "background": -20}
+#: Names in a picture's software tags, in the order in which they are tried, with risk level and confidence.
+EDITING_SOFTWARE = (
+    ("photoshop", "HIGH", 0.90),
+    ("lightroom", "HIGH", 0.85),
+    ("illustrator", "HIGH", 0.85),
+    ("affinity photo", "HIGH", 0.80),
+    ("gimp", "HIGH", 0.85),
+    ("inkscape", "MEDIUM", 0.70),
+    ("paint.net", "MEDIUM", 0.70),
+    ("pixelmator", "MEDIUM", 0.65),
+    ("canva", "MEDIUM", 0.65),
+    ("snapseed", "MEDIUM", 0.60),
+    ("paint ", "MEDIUM", 0.65),
+    ("acrobat", "MEDIUM", 0.55),
+    ("irfanview", "LOW", 0.50),
+    ("preview", "LOW", 0.40),
+)
+#: Words in a field's names that call for further search terms, and these terms.
+SYNONYMS = (
+    (("m2", "oppervlakte", "area"), ("m2", "m 2", "oppervlakte", "vloeroppervlak", "gebruiksoppervlakte", "floor area", "area")),
+    (("bouwjaar", "construction year", "built year"), ("bouw jaar", "bouwjaar", "construction year", "built", "built year")),
+    (("energielabel", "energie label"), ("energielabel", "energie label", "energieklasse", "energieprestatie", "energie certificaat", "epc", "duurzaamheid", "energieprestatie-indicatoren", "nta 8800", "energieklasse woning")),
+    (("exploitatielasten", "exploitatie lasten"), ("exploitatielasten", "totale exploitatielasten", "exploitatiekosten", "exploitatie kosten", "kapitalisatiefactoren", "bar nar kapitalisatie", "barinar kapitalisatie")),
+    (("locatie_beoordeling", "locatie beoordeling"), ("ligging", "locatie", "beoordeling locatie", "locatiebeoordeling", "bereikbaarheid", "omgeving", "locatie beoordeling")),
+    (("vastgoedtype", "type vastgoed", "vastgoed type"), ("vastgoedtype", "type vastgoed", "bedrijfsruimte", "gebruik", "bestemming", "object type", "soort vastgoed", "bedrijfsverzamelgebouw", "appartementsrecht")),
+)
+#: Sections without values, and words of explanations.
+GENERIC_SECTIONS = ("inhoudsopgave", "table of contents", "disclaimer", "definities", "definitions", "bijlage index", "appendix index")
+EXPLANATION = r"\b(is|betekent|wordt|hiermee|uitleg|explanation|means|defined|definition)\b"

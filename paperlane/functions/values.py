@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import patterns as P
@@ -25,8 +25,9 @@ def compact(value: Column) -> Column:
 def in_evidence(value: Column, normalized: Column, evidence: Column) -> Column:
     """Whether the value or its normal form occurs in the evidence, as it stands or without punctuation."""
     e = F.coalesce(evidence, F.lit(""))
-    one = lambda v: ~is_empty(v) & (F.lower(e).contains(F.lower(F.trim(v))) | ((compact(v) != "") & compact(e).contains(compact(v))))
-    return F.coalesce(one(value), F.lit(False)) | F.coalesce(one(normalized), F.lit(False))
+    bare = lambda v: F.transform(F.array(compact(v)), lambda c: (c != "") & compact(e).contains(c))[0]
+    one = lambda v: F.when(is_empty(v), False).when(F.lower(e).contains(F.lower(F.trim(v))), True).otherwise(bare(v))
+    return F.coalesce(one(value), F.lit(False)) | F.coalesce(F.when(normalized != value, one(normalized)), F.lit(False))
 
 
 def number(value: Column) -> Column:
@@ -113,11 +114,16 @@ def field_kind(field_type: Column, key: Column, label: Column) -> Column:
 
 def label_context(key: Column, label: Column, evidence: Column) -> Column:
     """Whether the evidence has the field's label or key, or two label words within ten words."""
-    e, l, k = search_text(evidence), search_text(label), search_text(key)
-    words = F.filter(F.split(l, " "), lambda w: F.length(w) >= 2)
-    at = F.transform(words, lambda w: F.array_position(F.split(e, " "), w))
-    near = (F.size(words) >= 2) & (F.array_min(at) > 0) & (F.array_max(at) - F.array_min(at) <= 10)
-    return (e != "") & (((l != "") & e.contains(l)) | ((k != "") & e.contains(k)) | near)
+    texts = F.array(F.struct(search_text(evidence).alias("e"), search_text(label).alias("l"), search_text(key).alias("k")))
+
+    def found(x: Column) -> Column:
+        e, l, k = x["e"], x["l"], x["k"]
+        at = F.transform(F.filter(F.split(l, " "), lambda w: F.length(w) >= 2), lambda w: F.array_position(F.split(e, " "), w))
+        near = F.transform(F.array(at), lambda p: (F.size(p) >= 2) & (F.array_min(p) > 0) & (F.array_max(p) - F.array_min(p) <= 10))[0]
+        return F.when(e == "", False).when((l != "") & e.contains(l), True).when((k != "") & e.contains(k), True).otherwise(near)
+
+    # Bound to a name, so that each text is normalised once.
+    return F.transform(texts, found)[0]
 
 
 def _near(evidence: Column, value: Column, words: tuple, distance: int) -> Column:
@@ -129,18 +135,36 @@ def _near(evidence: Column, value: Column, words: tuple, distance: int) -> Colum
     return (v > 0) & out
 
 
-def validate(kind: Column, value: Column, evidence: Column, unit: Column, enum_values: Column, year: int) -> Column:
-    """STRUCT<valid, reason, normalized>: the first check of the value's kind that fails. year: the present one."""
-    v, e = F.trim(value), search_text(evidence)
-    n, y = number(v), v.try_cast("int")
-    digits = F.regexp_replace(v, r"\D", "")
+YEAR_CLASHES = (("year_evidence_has_date_label", ("datum", "date"), 30), ("year_evidence_has_document_number_label", ("documentnummer", "document number", "nummer", "number", "reference", "referentie", "id"), 35))
+
+
+def kind_reason(kind: str, v: Column, e: Column, unit: Column, year: int) -> Column:
+    """Why a trimmed value is no year or area, beside its evidence in search_text() form; null if it may be."""
     post = e.rlike(r"\b\d{4}\s?[a-z]{2}\b")
-    low = F.lower(v)
-    by = F.when(is_empty(value), "empty_or_placeholder_value")
-    year_reason = F.when(v.rlike(r"\d+[/-]\d+"), "year_value_looks_like_date").when(~v.rlike(r"^\d{4}$"), "year_must_be_four_digits").when((y < 1600) | (y > year + 1), "year_out_of_range").when(_near(e, v, ("datum", "date"), 30), "year_evidence_has_date_label").when(post, "year_evidence_has_postcode").when(_near(e, v, ("documentnummer", "document number", "nummer", "number", "reference", "referentie", "id"), 35), "year_evidence_has_document_number_label")
-    area_reason = F.when(n.isNull(), "area_not_numeric").when(e.rlike("eur|euro|amount|bedrag|prijs|price"), "area_looks_like_amount").when(F.length(digits) >= 7, "area_looks_like_phone_or_document_number").when(post, "area_evidence_has_postcode").when(~F.concat_ws(" ", e, search_text(unit)).rlike("|".join(AREA_WORDS)), "area_missing_unit_or_context")
-    enum_bad = (F.size(enum_values) > 0) & ~F.exists(enum_values, lambda x: F.lower(F.trim(x)) == low)
+    if kind == "year":
+        y = v.try_cast("int")
+        (by_date, date_words, date_near), (by_number, number_words, number_near) = YEAR_CLASHES
+        return F.when(v.rlike(r"\d+[/-]\d+"), "year_value_looks_like_date").when(~v.rlike(r"^\d{4}$"), "year_must_be_four_digits").when((y < 1600) | (y > year + 1), "year_out_of_range").when(_near(e, v, date_words, date_near), by_date).when(post, "year_evidence_has_postcode").when(_near(e, v, number_words, number_near), by_number)
+    return F.when(number(v).isNull(), "area_not_numeric").when(e.rlike("eur|euro|amount|bedrag|prijs|price"), "area_looks_like_amount").when(F.length(F.regexp_replace(v, r"\D", "")) >= 7, "area_looks_like_phone_or_document_number").when(post, "area_evidence_has_postcode").when(~F.concat_ws(" ", e, search_text(unit)).rlike("|".join(AREA_WORDS)), "area_missing_unit_or_context")
+
+
+def checked(rows: DataFrame, kind: Column, value: Column, evidence: Column, unit: Column, enum_values: Column, year: int, pattern: Column | None = None) -> DataFrame:
+    """Adds check_reason, the first check of the value's kind that fails, and check_normalized, its normal form. year: the present one.
+
+    pattern: what a sound value must hold, whatever the case. A null pattern asks for nothing.
+    What several checks need is a column first, so that it is worked out once for a row.
+    """
+    d = rows.withColumns({"_kind": kind, "_value": value, "_v": F.trim(value), "_low": F.lower(F.trim(value)), "_e": search_text(evidence), "_unit": unit, "_enum": enum_values, "_pattern": F.lit(None).cast("string") if pattern is None else pattern})
+    kind, v, e, low = F.col("_kind"), F.col("_v"), F.col("_e"), F.col("_low")
+    d = d.withColumn("_n", F.when(kind.isin("number", "area"), number(v)))
+    n = F.col("_n")
+    year_reason, area_reason = (kind_reason(k, v, e, F.col("_unit"), year) for k in ("year", "area"))
+    enum_bad = (F.size("_enum") > 0) & ~F.exists("_enum", lambda x: F.lower(F.trim(x)) == low)
     yes, no = low.isin("true", "yes", "ja", "waar", "1"), low.isin("false", "no", "nee", "onwaar", "0")
-    reason = by.when(kind == "year", year_reason).when((kind == "number") & n.isNull(), "number_invalid").when(kind == "area", area_reason).when((kind == "enum") & enum_bad, "enum_value_not_allowed").when((kind == "boolean") & ~yes & ~no, "boolean_not_explicit").when((kind == "date") & iso_date(v).isNull(), "date_invalid").when((kind == "iban") & ~iban_valid(v), "iban_invalid")
+    reason = F.when(is_empty(F.col("_value")), "empty_or_placeholder_value").when(kind == "year", year_reason).when((kind == "number") & n.isNull(), "number_invalid").when(kind == "area", area_reason).when((kind == "enum") & enum_bad, "enum_value_not_allowed").when((kind == "boolean") & ~yes & ~no, "boolean_not_explicit").when((kind == "date") & iso_date(v).isNull(), "date_invalid").when((kind == "iban") & ~iban_valid(v), "iban_invalid")
+    d = d.withColumn("check_reason", reason)
+    mismatch = F.col("_pattern").isNotNull() & (F.col("_pattern") != "") & ~F.coalesce(F.regexp(v, F.concat(F.lit("(?i)"), F.col("_pattern"))), F.lit(True))
+    d = d.withColumn("check_reason", F.coalesce("check_reason", F.when(mismatch, "regex_mismatch")))
     normal = F.when(kind.isin("number", "area"), n).when(kind == "boolean", yes.cast("string")).otherwise(v)
-    return F.struct(reason.isNull().alias("valid"), reason.alias("reason"), F.when(reason.isNull(), normal).alias("normalized"))
+    d = d.withColumn("check_normalized", F.when(F.col("check_reason").isNull(), normal))
+    return d.drop("_kind", "_value", "_v", "_low", "_e", "_unit", "_enum", "_pattern", "_n")

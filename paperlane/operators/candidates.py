@@ -10,20 +10,27 @@ from ..functions import patterns as P
 from ..functions import values as V
 
 
-def reject_reason(c: DataFrame, year: int) -> Column:
-    """Why a candidate is rejected, in the order of the checks; null if it stands. c: a table of candidates with the fields' columns."""
+def judged(candidates: DataFrame, year: int) -> DataFrame:
+    """Adds to candidates, which have their fields' columns (field_type, label, enum_values, and regex if fields have patterns): reason, selected and context.
+
+    reason says why a candidate is rejected, in the order of the checks; null if it stands. selected
+    is its value as the checks leave it, context whether its evidence has the field's label.
+    """
+    c = candidates.withColumn("_selected", F.when(V.is_empty(F.col("normalized_value")), F.col("value")).otherwise(F.col("normalized_value")))
     kind = V.field_kind(F.col("field_type"), F.col("field_key"), F.col("label"))
-    v = V.validate(kind, F.col("value"), F.col("evidence"), F.col("unit"), F.col("enum_values"), year)
-    return (
+    c = V.checked(c, kind, F.col("_selected"), F.col("evidence"), F.col("unit"), F.col("enum_values"), year, F.col("regex") if "regex" in c.columns else None)
+    reason = (
         F.when(V.is_empty(F.col("value")), "empty_value")
         .when(V.is_empty(F.col("normalized_value")), "empty_normalized_value")
         .when(V.evidence_invalid(F.col("evidence")), "invalid_evidence")
-        .when(~F.col("evidence_type").isin(list(P.EVIDENCE_SCORES)), "invalid_evidence_type")
-        .when(~F.col("record_role").isin(list(P.ROLE_SCORES)), "invalid_record_role")
-        .when(F.col("confidence") <= 0, "non_positive_confidence")
-        .when(~v["valid"], v["reason"])
-        .when(~V.in_evidence(F.col("value"), F.col("normalized_value"), F.col("evidence")), "value_not_in_evidence")
+        .when(~F.coalesce(F.col("evidence_type").isin(list(P.EVIDENCE_SCORES)), F.lit(False)), "invalid_evidence_type")
+        .when(~F.coalesce(F.col("record_role").isin(list(P.ROLE_SCORES)), F.lit(False)), "invalid_record_role")
+        .when(F.coalesce(F.col("confidence"), F.lit(0)) <= 0, "non_positive_confidence")
+        .when(F.col("check_reason").isNotNull(), F.col("check_reason"))
+        .when(~V.in_evidence(F.col("value"), F.col("check_normalized"), F.col("evidence")), "value_not_in_evidence")
     )
+    c = c.withColumns({"reason": reason, "selected": F.col("check_normalized")}).drop("_selected", "check_reason", "check_normalized")
+    return c.withColumn("context", F.when(F.col("reason").isNull(), V.label_context(F.col("field_key"), F.col("label"), F.col("evidence"))))
 
 
 def _lookup(values: dict, column: Column) -> Column:
@@ -31,24 +38,27 @@ def _lookup(values: dict, column: Column) -> Column:
 
 
 def score() -> Column:
-    """60, and the points of evidence type, role, label context, confidence and position."""
-    context = F.when(V.label_context(F.col("field_key"), F.col("label"), F.col("evidence")), 60).otherwise(0)
-    return F.lit(60.0) + _lookup(P.EVIDENCE_SCORES, F.col("evidence_type")) + _lookup(P.ROLE_SCORES, F.col("record_role")) + context + F.least(F.lit(20.0), F.greatest(F.lit(0.0), F.col("confidence") / 5)) + F.greatest(F.lit(0), 5 - F.least(F.col("chunk_index"), F.lit(5)))
+    """Of judged candidates: 60, and the points of evidence type, role, label context, confidence and position; null for the rejected."""
+    points = F.lit(60.0) + _lookup(P.EVIDENCE_SCORES, F.col("evidence_type")) + _lookup(P.ROLE_SCORES, F.col("record_role")) + F.when(F.col("context"), 60).otherwise(0) + F.least(F.lit(20.0), F.greatest(F.lit(0.0), F.col("confidence") / 5)) + F.greatest(F.lit(0), 5 - F.least(F.col("chunk_index"), F.lit(5)))
+    return F.when(F.col("reason").isNull(), points)
 
 
 def resolve(candidates: DataFrame, year: int, threshold: float = 100) -> DataFrame:
-    """Per document and field: the accepted value with its score, and the numbers of valid and rejected candidates.
+    """Per document and field: the accepted value with its score, the numbers of valid and rejected candidates, and `rejected`.
 
     The best score wins, then label context, then the earlier chunk, then the order of arrival (ord).
-    Groups are reduced to a maximum, so a field with many candidates is no burden.
+    rejected lists all candidates but the accepted one with their reason, which is null for those
+    that only scored less; scored ones come first, the best before, then by chunk and arrival. A
+    group holds one document's candidates for one field.
     """
-    c = candidates.withColumn("reason", reject_reason(candidates, year))
-    c = c.withColumn("score", F.when(F.col("reason").isNull(), score()))
-    context = V.label_context(F.col("field_key"), F.col("label"), F.col("evidence")).cast("int")
-    best = F.max(F.when(F.col("score").isNotNull(), F.struct("score", context.alias("context"), (-F.col("chunk_index")).alias("chunk"), (-F.col("ord")).alias("ord"), "normalized_value")))
-    out = c.groupBy("doc_id", "field_key").agg(best.alias("b"), F.count("score").alias("n_valid"), F.count("reason").alias("n_rejected"))
-    ok = F.coalesce(F.col("b.score") >= threshold, F.lit(False))
-    return out.select("doc_id", "field_key", F.when(ok, F.col("b.normalized_value")).alias("value"), F.col("b.score").alias("score"), "n_valid", "n_rejected")
+    c = judged(candidates, year).withColumn("score", score())
+    turn = F.struct((-F.coalesce("score", F.lit(-1e9))).alias("turn"), (~F.coalesce("context", F.lit(False))).alias("far"), F.col("chunk_index").alias("chunk_index"), F.col("ord").alias("ord"), F.col("selected").alias("selected"), F.col("value").alias("value"), F.col("reason").alias("reason"), F.col("score").alias("score"))
+    g = c.groupBy("doc_id", "field_key").agg(F.array_sort(F.collect_list(turn)).alias("all"), F.max("score").alias("score"), F.count("score").alias("n_valid"), F.count("reason").alias("n_rejected"))
+    g = g.withColumn("ok", F.coalesce(F.col("score") >= threshold, F.lit(False)))
+    others = F.when(F.col("ok"), F.slice("all", 2, F.size("all"))).otherwise(F.col("all"))
+    rejected = F.array_sort(F.transform(others, lambda x: F.struct(x["turn"].alias("turn"), x["chunk_index"].alias("chunk_index"), x["ord"].alias("ord"), x["value"].alias("value"), x["reason"].alias("reason"), x["score"].alias("score"))))
+    rejected = F.transform(rejected, lambda x: F.struct(x["value"].alias("value"), x["reason"].alias("reason"), x["score"].alias("score"), x["chunk_index"].alias("chunk_index")))
+    return g.select("doc_id", "field_key", F.when(F.col("ok"), F.get("all", F.lit(0))["selected"]).alias("value"), "score", "n_valid", "n_rejected", rejected.alias("rejected"))
 
 
 def find_span(pages: DataFrame, quotes: DataFrame) -> DataFrame:
@@ -99,14 +109,6 @@ def latest_by_turn(rows: DataFrame, keys: list[str], order: list, n: int) -> Dat
     return rows.withColumn("_t", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("_t") <= n).drop("_t")
 
 
-def near_numbers(text: Column, label: str, before: int = 120, after: int = 300) -> Column:
-    """Numbers around the first place of a label, in order; none without the label."""
-    at = F.locate(label.lower(), F.lower(text))
-    window = F.substr(text, F.greatest(F.lit(1), at - before), F.least(at - 1, F.lit(before)) + after)
-    found = F.filter(F.transform(F.regexp_extract_all(window, F.lit(r"\d[\d.,]*"), F.lit(0)), V.number), lambda x: x.isNotNull())
-    return F.when(at > 0, found).otherwise(F.array().cast("array<string>"))
-
-
 def repaired_evidence(value: Column, evidence: Column, chunk: Column, around: int = 300) -> Column:
     """The evidence, or, where it lacks the value, what surrounds the value in the chunk; null if it isn't there either."""
     at = F.instr(chunk, value)

@@ -87,10 +87,39 @@ def legacy_score(producer: Column, anomaly_: Column, inconsistent: Column, low_o
 
 
 def ela(size: Column, is_jpeg: Column, mean: Column, std: Column, most: Column, bright: Column) -> Column:
-    """Error levels of a resaved image as a signal: gates on size and kind, then on spread, peak and share of bright points."""
+    """Error levels of a resaved image as a signal: gates on size and kind, then on spread, peak and share of bright points.
+
+    The confidence is the greatest of three parts, between 0.5 and 0.95: how far spread and peak lie
+    above their thresholds, and the share of bright points. Small images (under 300) count for 0.8 of it.
+    """
     hit = (size >= 150) & is_jpeg & ((std > 2) | (most > 10) | (bright > 0.01))
-    base = F.least(F.lit(0.95), F.lit(0.5) + std / 40 + bright)
-    return signal(hit, "ela_anomaly", F.when((std > 20) | (most > 50), "HIGH").otherwise("MEDIUM"), F.when(size < 300, base * 0.8).otherwise(base), "ela_manipulation")
+    spread, peak = (std - 2) / 20, (most - 10) / 40 * 0.8
+    glow = F.when(bright > 0.01, F.least(F.lit(1.0), bright / 0.1) * 0.7).otherwise(0.0)
+    base = F.greatest(F.lit(0.5), F.least(F.lit(0.95), F.greatest(spread, peak, glow)))
+    return signal(hit, "ela_manipulation_detected", F.when((std > 20) | (most > 50), "HIGH").otherwise("MEDIUM"), F.when(size < 300, base * 0.8).otherwise(base), "manipulation")
+
+
+def exif(software: Column, processing: Column, modified: Column, original: Column, digitized: Column, gps: Column, make: Column, model: Column) -> Column:
+    """Signals of a picture's tags, each with a detail: editing software named by either software tag, more than a day between taking and changing it, a place (gps), and a camera.
+
+    Dates have the form yyyy:MM:dd HH:mm:ss; the day digitized stands in for an original that is missing or no date.
+    """
+    out = []
+    for tag in (software, processing):
+        found = F.lit(None)
+        for key, level_, confidence in reversed(P.EDITING_SOFTWARE):
+            one = F.struct(F.lit("image_editing_software").alias("name"), F.lit(level_).alias("risk_level"), F.lit(confidence).alias("confidence"), F.lit("manipulation").alias("category"), tag.alias("detail"))
+            found = F.when(F.contains(F.lower(tag), F.lit(key)), one).otherwise(found)
+        out.append(found)
+    at = lambda c: F.try_to_timestamp(c, F.lit("yyyy:MM:dd HH:mm:ss"))
+    apart = F.floor((F.unix_timestamp(at(modified)) - F.unix_timestamp(F.coalesce(at(original), at(digitized)))) / 86400)
+    days = F.abs(apart)
+    out.append(F.when(days > 1, F.struct(F.lit("exif_date_mismatch").alias("name"), F.when(days > 30, "HIGH").otherwise("MEDIUM").alias("risk_level"), F.lit(0.8).alias("confidence"), F.lit("manipulation").alias("category"), days.cast("string").alias("detail"))))
+    tags = lambda name, confidence, detail: F.struct(F.lit(name).alias("name"), F.lit("LOW").alias("risk_level"), F.lit(confidence).alias("confidence"), F.lit("metadata").alias("category"), detail.alias("detail"))
+    camera = F.concat_ws(" ", F.nullif(F.trim(make), F.lit("")), F.nullif(F.trim(model), F.lit("")))
+    out.append(F.when(gps, tags("exif_gps_present", 0.5, F.lit("gps"))))
+    out.append(F.when(camera != "", tags("exif_camera_metadata", 0.4, camera)))
+    return F.array_compact(F.array(*out))
 
 
 def amount_range(field: str, value: Column, low: float | None, high: float | None) -> Column:

@@ -90,31 +90,3 @@ def words_near(words: Column, wanted: Column, window: int = 10) -> Column:
     """Two or more wanted words all occur, their first places no more than the window apart."""
     at = F.transform(wanted, lambda w: F.array_position(words, w))
     return (F.size(wanted) >= 2) & F.coalesce((F.array_min(at) > 0) & (F.array_max(at) - F.array_min(at) <= window), F.lit(False))
-
-
-def chunk_score(chunk: Column, terms: list[str], regex: str | None = None) -> Column:
-    """Relevance of a chunk to a field: 100 for its label, else 30 a term; 5 for its pattern; 20 for a number; less for short or number-heavy chunks."""
-    low = F.lower(chunk)
-    numbers = F.regexp_count(chunk, F.lit(r"\d+"))
-    s = F.when(low.contains(terms[0].lower()), 100).otherwise(sum((F.when(low.contains(t.lower()), 30).otherwise(0) for t in terms[1:]), F.lit(0)))
-    s = s + (F.when(chunk.rlike(java_pattern(regex) or "a^"), 5).otherwise(0) if regex else F.lit(0))
-    return s + F.when(numbers > 0, 20).otherwise(0) - F.when(F.length(chunk) < 50, 20).otherwise(0) - F.when(numbers >= 20, 40).otherwise(0)
-
-
-def pack(scored: DataFrame, budget: int = 20_000) -> DataFrame:
-    """Chunks (doc_id, part, chunk, score) of each document taken by score while they fit the budget.
-
-    Taking is greedy and skips what does not fit, so it needs an order: it runs in one group for each
-    document, whose size is that of the document.
-    """
-    import pandas as pd
-
-    def take(g: pd.DataFrame) -> pd.DataFrame:
-        left, keep = budget, []
-        for r in g.sort_values(["score", "part"], ascending=[False, True]).itertuples():
-            fits = r.size <= left
-            left -= r.size * fits
-            keep.append((r.doc_id, r.part, bool(fits)))
-        return pd.DataFrame(keep, columns=["doc_id", "part", "taken"])
-
-    return scored.select("doc_id", "part", "score", F.length("chunk").alias("size")).groupBy("doc_id").applyInPandas(take, "doc_id long, part int, taken boolean")

@@ -121,8 +121,10 @@ def fx_validate_value(spark, sf_dir):
     l = _lines(spark, sf_dir)
     kind = _pick(["number", "date", "boolean", "enum", "year"])
     value = F.when(kind == "number", F.col("l_quantity").cast("string")).when(kind == "date", F.date_format("l_shipdate", "yyyy-MM-dd")).when(kind == "boolean", F.when(F.col("l_returnflag") == "A", "Ja").when(F.col("l_returnflag") == "N", "nee").otherwise("misschien")).when(kind == "enum", F.col("l_returnflag")).otherwise((F.col("l_partkey") + 1500).cast("string"))
-    v = V.validate(kind, value, F.lit("bouw in 19 xx"), F.lit(None).cast("string"), F.array(F.lit("a"), F.lit("N")), YEAR)
-    return l.select("l_orderkey", "l_linenumber", "l_partkey", v["valid"].alias("valid"), v["reason"].alias("reason"), v["normalized"].alias("normalized"))
+    evidence = F.when(F.col("l_suppkey") % 4 == 0, F.concat(F.lit("datum "), value)).when(F.col("l_suppkey") % 4 == 1, F.concat(F.lit("postcode 1234 AB, "), value)).otherwise("bouw in 19 xx")
+    pattern = F.when(F.col("l_linenumber") % 2 == 0, "^[12ajn]")
+    l = V.checked(l.withColumns({"k": kind, "v": value, "e": evidence, "p": pattern}), F.col("k"), F.col("v"), F.col("e"), F.lit(None).cast("string"), F.array(F.lit("a"), F.lit("N")), YEAR, F.col("p"))
+    return l.select("l_orderkey", "l_linenumber", "l_partkey", F.col("check_reason").isNull().alias("valid"), F.col("check_reason").alias("reason"), F.col("check_normalized").alias("normalized"))
 
 
 _KIND = _pick_sql(["number", "date", "boolean", "enum", "year"])
@@ -134,28 +136,28 @@ def _candidates(spark, sf_dir):
     return l.select(
         F.col("l_orderkey").alias("doc_id"), F.when(F.col("l_returnflag") == "R", "gewicht").otherwise("aantal").alias("field_key"), F.when(F.col("l_returnflag") == "R", "Gewicht").otherwise("Aantal stuks").alias("label"), F.lit("number").alias("field_type"),
         value.alias("value"), value.alias("normalized_value"), F.lit(None).cast("string").alias("unit"), F.when(F.col("l_linestatus") == "O", F.concat(F.lit("Aantal: "), value)).otherwise(F.concat(F.lit("regel "), value)).alias("evidence"), F.lit(None).cast("array<string>").alias("enum_values"),
-        F.col("l_linenumber").alias("chunk_index"), F.col("l_quantity").alias("confidence"), F.when(F.col("l_suppkey") % 3 == 0, "exact_label").when(F.col("l_suppkey") % 3 == 1, "semantic").otherwise("guess").alias("evidence_type"), F.when(F.col("l_linenumber") % 2 == 0, "primary").otherwise("background").alias("record_role"), (F.col("l_partkey") * 100000 + F.col("l_suppkey")).alias("ord"),
+        F.col("l_linenumber").alias("chunk_index"), F.col("l_quantity").alias("confidence"), F.when(F.col("l_suppkey") % 2 == 0, "^[1-4]").alias("regex"), F.when(F.col("l_suppkey") % 3 == 0, "exact_label").when(F.col("l_suppkey") % 3 == 1, "semantic").otherwise("guess").alias("evidence_type"), F.when(F.col("l_linenumber") % 2 == 0, "primary").otherwise("background").alias("record_role"), (F.col("l_partkey") * 100000 + F.col("l_suppkey")).alias("ord"),
     )
 
 
-_CAND = """cd AS (SELECT l_orderkey AS doc_id, CASE WHEN l_returnflag = 'R' THEN 'gewicht' ELSE 'aantal' END AS field_key, CASE WHEN l_linenumber % 5 = 4 THEN 'n/a' ELSE CAST(l_partkey AS VARCHAR) END AS value, l_linestatus = 'O' AS labelled, l_linenumber AS chunk, l_quantity AS confidence,
+_CAND = """cd AS (SELECT l_orderkey AS doc_id, CASE WHEN l_returnflag = 'R' THEN 'gewicht' ELSE 'aantal' END AS field_key, CASE WHEN l_linenumber % 5 = 4 THEN 'n/a' ELSE CAST(l_partkey AS VARCHAR) END AS value, l_linestatus = 'O' AS labelled, l_suppkey % 2 = 0 AND l_partkey::VARCHAR NOT SIMILAR TO '[1-4].*' AS amiss, l_linenumber AS chunk, l_quantity AS confidence,
  CASE l_suppkey % 3 WHEN 0 THEN 'exact_label' WHEN 1 THEN 'semantic' ELSE 'guess' END AS et, CASE WHEN l_linenumber % 2 = 0 THEN 'primary' ELSE 'background' END AS rr, l_partkey * 100000 + l_suppkey AS ord FROM lineitem),
-cr AS (SELECT *, CASE WHEN value = 'n/a' THEN 'empty_value' WHEN et = 'guess' THEN 'invalid_evidence_type' WHEN confidence <= 0 THEN 'non_positive_confidence' END AS reason, field_key = 'aantal' AND labelled AS ctx FROM cd),
+cr AS (SELECT *, CASE WHEN value = 'n/a' THEN 'empty_value' WHEN et = 'guess' THEN 'invalid_evidence_type' WHEN confidence <= 0 THEN 'non_positive_confidence' WHEN amiss THEN 'regex_mismatch' END AS reason, field_key = 'aantal' AND labelled AS ctx FROM cd),
 cs AS (SELECT *, CASE WHEN reason IS NULL THEN 60.0::DOUBLE + CASE et WHEN 'exact_label' THEN 60 ELSE 10 END + CASE rr WHEN 'primary' THEN 10 ELSE -20 END + CASE WHEN ctx THEN 60 ELSE 0 END + least(20.0::DOUBLE, greatest(0, confidence / 5)) + greatest(0, 5 - least(chunk, 5)) END AS score FROM cr)"""
 
 
 def fx_candidate_validate(spark, sf_dir):
-    c = _candidates(spark, sf_dir)
-    return c.select("doc_id", "chunk_index", "ord", C.reject_reason(c, YEAR).alias("reason"))
+    return C.judged(_candidates(spark, sf_dir), YEAR).select("doc_id", "chunk_index", "ord", "reason")
 
 
 def fx_candidate_score(spark, sf_dir):
-    c = _candidates(spark, sf_dir)
-    return c.withColumn("reason", C.reject_reason(c, YEAR)).where("reason is null").select("doc_id", "chunk_index", "ord", C.score().alias("score"))
+    return C.judged(_candidates(spark, sf_dir), YEAR).where("reason is null").select("doc_id", "chunk_index", "ord", C.score().alias("score"))
 
 
 def fx_resolve(spark, sf_dir):
-    return C.resolve(_candidates(spark, sf_dir), YEAR)
+    r = C.resolve(_candidates(spark, sf_dir), YEAR)
+    one = F.transform("rejected", lambda x: F.concat_ws(":", x["chunk_index"], x["value"], F.coalesce(x["reason"], F.lit("scored less"))))
+    return r.withColumn("rejected", F.array_join(one, ","))
 
 
 def fx_required_resolved(spark, sf_dir):
@@ -164,7 +166,8 @@ def fx_required_resolved(spark, sf_dir):
 
 
 _RES = f"""WITH {_CAND}, rk AS (SELECT *, row_number() OVER (PARTITION BY doc_id, field_key ORDER BY score DESC NULLS LAST, ctx DESC, chunk, ord, value DESC) AS r FROM cs),
-rs AS (SELECT doc_id, field_key, max(value) FILTER (r = 1) AS v, max(score) AS score, count(score) AS n_valid, count(reason) AS n_rejected FROM rk GROUP BY ALL)"""
+rs AS (SELECT doc_id, field_key, max(value) FILTER (r = 1) AS v, max(score) AS score, count(score) AS n_valid, count(reason) AS n_rejected,
+ coalesce(string_agg(concat(chunk, ':', value, ':', coalesce(reason, 'scored less')), ',' ORDER BY score DESC NULLS LAST, chunk, ord, value) FILTER (r > 1 OR coalesce(best, 0) < 100), '') AS rejected FROM (SELECT *, max(score) OVER (PARTITION BY doc_id, field_key) AS best FROM rk) GROUP BY ALL)"""
 
 
 def _pages(spark, sf_dir):
@@ -260,11 +263,14 @@ def oracle_sql() -> dict[str, str]:
         "fx_field_kind": f"WITH f AS (SELECT {_pick_sql(['number', 'date', 'string', 'enum', 'bool', 'iban', 'money'])} AS type, {_pick_sql(['bouwjaar', 'oppervlakte_m2', 'bedrag', 'start_year', 'naam'], 'l_linenumber * 3')} AS key FROM lineitem) SELECT type, key, count(*) AS n, CASE WHEN type = 'bool' THEN 'boolean' WHEN type IN ('enum', 'date') THEN type WHEN key IN ('bouwjaar', 'start_year') THEN 'year' WHEN key = 'oppervlakte_m2' THEN 'area' WHEN type IN ('number', 'iban') THEN type ELSE 'string' END AS kind FROM f GROUP BY ALL",
         "fx_hard_validators": f"SELECT l_orderkey, l_linenumber, l_partkey, concat_ws(',', CASE WHEN {bad_days} THEN 'invalid_date:ship_date' END, CASE WHEN a = 'geen' THEN 'invalid_amount:total_amount' END) AS errors FROM (SELECT *, {_pick_sql(_DATES)} AS v, {_pick_sql(_AMOUNTS)} AS a FROM lineitem)",
         "fx_consistency": "SELECT c_custkey, concat_ws(',', CASE WHEN c_acctbal < 0 THEN 'total_amount:negative' END, CASE WHEN c_custkey > c_acctbal THEN 'vat_exceeds_total' END) AS errors FROM customer",
-        "fx_validate_value": f"""WITH k AS (SELECT *, {_KIND} AS kind FROM lineitem), r AS (SELECT *, CASE WHEN kind = 'boolean' AND l_returnflag = 'R' THEN 'boolean_not_explicit' WHEN kind = 'enum' AND l_returnflag = 'R' THEN 'enum_value_not_allowed' WHEN kind = 'year' AND l_partkey + 1500 < 1600 THEN 'year_out_of_range' WHEN kind = 'year' AND l_partkey + 1500 > 9999 THEN 'year_must_be_four_digits' WHEN kind = 'year' AND l_partkey + 1500 > {YEAR + 1} THEN 'year_out_of_range' END AS reason FROM k)
+        "fx_validate_value": f"""WITH k0 AS (SELECT *, {_KIND} AS kind FROM lineitem),
+ k1 AS (SELECT *, CASE kind WHEN 'number' THEN CAST(l_quantity AS VARCHAR) WHEN 'date' THEN strftime(l_shipdate, '%Y-%m-%d') WHEN 'boolean' THEN CASE l_returnflag WHEN 'A' THEN 'Ja' WHEN 'N' THEN 'nee' ELSE 'misschien' END WHEN 'enum' THEN l_returnflag ELSE CAST(l_partkey + 1500 AS VARCHAR) END AS v FROM k0),
+ k AS (SELECT *, l_linenumber % 2 = 0 AND NOT regexp_matches(lower(v), '^[12ajn]') AS amiss FROM k1), r AS (SELECT *, CASE WHEN kind = 'boolean' AND l_returnflag = 'R' THEN 'boolean_not_explicit' WHEN kind = 'enum' AND l_returnflag = 'R' THEN 'enum_value_not_allowed' WHEN kind = 'year' AND l_partkey + 1500 < 1600 THEN 'year_out_of_range' WHEN kind = 'year' AND l_partkey + 1500 > 9999 THEN 'year_must_be_four_digits' WHEN kind = 'year' AND l_partkey + 1500 > {YEAR + 1} THEN 'year_out_of_range'
+   WHEN kind = 'year' AND l_suppkey % 4 = 0 THEN 'year_evidence_has_date_label' WHEN kind = 'year' AND l_suppkey % 4 = 1 THEN 'year_evidence_has_postcode' WHEN amiss THEN 'regex_mismatch' END AS reason FROM k)
  SELECT l_orderkey, l_linenumber, l_partkey, reason IS NULL AS valid, reason, CASE WHEN reason IS NULL THEN CASE kind WHEN 'number' THEN CAST(l_quantity AS VARCHAR) WHEN 'date' THEN strftime(l_shipdate, '%Y-%m-%d') WHEN 'boolean' THEN CASE WHEN l_returnflag = 'A' THEN 'true' ELSE 'false' END WHEN 'enum' THEN l_returnflag ELSE CAST(l_partkey + 1500 AS VARCHAR) END END AS normalized FROM r""",
         "fx_candidate_validate": f"WITH {_CAND} SELECT doc_id, chunk AS chunk_index, ord, reason FROM cr",
         "fx_candidate_score": f"WITH {_CAND} SELECT doc_id, chunk AS chunk_index, ord, score FROM cs WHERE reason IS NULL",
-        "fx_resolve": f"{_RES} SELECT doc_id, field_key, CASE WHEN score >= 100 THEN v END AS value, score, n_valid, n_rejected FROM rs",
+        "fx_resolve": f"{_RES} SELECT doc_id, field_key, CASE WHEN score >= 100 THEN v END AS value, score, n_valid, n_rejected, rejected FROM rs",
         "fx_required_resolved": f"{_RES} SELECT doc_id, bool_and(coalesce(score >= 100, FALSE)) AS complete FROM rs GROUP BY doc_id",
         "fx_required_errors": f"{_RES} SELECT doc_id, concat('missing_required_field:', field_key) AS error FROM rs WHERE NOT coalesce(score >= 100, FALSE)",
         "fx_find_span": f"{stmt} SELECT doc_id, 1 AS page, 6 AS start FROM stmt",

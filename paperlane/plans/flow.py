@@ -62,16 +62,6 @@ def norm_search(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", T.search_text(F.concat(F.lit("Één_m² "), F.col("p_name"), F.lit("--"), F.col("p_brand"))).alias("text"))
 
 
-def fx_chunk_score(spark, sf_dir):
-    c = P.chunks(statements(spark, sf_dir), 200, 20)
-    return c.select("doc_id", "part", P.chunk_score(F.col("chunk"), ["iban", "boeking", "part 1"], r"\d{2}-\d{2}-\d{4}").alias("score"))
-
-
-def fx_chunk_select(spark, sf_dir):
-    c = P.chunks(table(spark, sf_dir, "documents"), 500, 50)
-    return P.pack(c.withColumn("score", P.chunk_score(F.col("chunk"), ["license", "the", "of"])), 2000)
-
-
 def _messages(spark, sf_dir):
     return table(spark, sf_dir, "conversations")
 
@@ -206,7 +196,7 @@ def ui_signal_split(spark, sf_dir):
     return s.select("doc_id", F.array_join(F.array_sort(F.map_keys(F.map_filter("signals", lambda k, v: v > 0))), ",").alias("matched"))
 
 
-_NAMES = "prep_sample prep_skip_marker prep_skip_training chunk_split chunk_pages fx_path_split table_like words_within_window norm_search fx_chunk_score fx_chunk_select llm_tokens llm_safe_max llm_budget_vllm llm_roles js_null_strings js_repair js_extract_objects st_sse st_progress st_queue st_job st_reprocess snk_webhook src_dispatch src_sanitize_filename src_train_dir src_combine_pages src_artifact_guard src_image_ocr ui_fields_view ui_evidence_by_page ui_signal_split"
+_NAMES = "prep_sample prep_skip_marker prep_skip_training chunk_split chunk_pages fx_path_split table_like words_within_window norm_search llm_tokens llm_safe_max llm_budget_vllm llm_roles js_null_strings js_repair js_extract_objects st_sse st_progress st_queue st_job st_reprocess snk_webhook src_dispatch src_sanitize_filename src_train_dir src_combine_pages src_artifact_guard src_image_ocr ui_fields_view ui_evidence_by_page ui_signal_split"
 
 
 def queries() -> dict:

@@ -40,23 +40,6 @@ def norm_tokens(spark, sf_dir):
     return p.select("p_partkey", F.array_join(F.filter(F.split(T.search_text(F.col("p_name")), " "), lambda w: F.length(w) >= 2), " ").alias("words"))
 
 
-def fx_search_terms(spark, sf_dir):
-    """Terms that name a field: key, label, label without brackets; longest first. Parts stand for fields."""
-    p = table(spark, sf_dir, "part")
-    label = F.concat("p_name", F.lit(" ("), "p_brand", F.lit(")"))
-    terms = F.array_distinct(F.array(T.search_text(F.concat(F.lit("veld_"), F.col("p_type"))), T.search_text(label), T.search_text(F.regexp_replace(label, r"\([^)]*\)", ""))))
-    one = p.select("p_partkey", F.explode(terms).alias("term")).select("p_partkey", "term", F.struct((-F.length("term")).alias("n"), "term").alias("o"))
-    return one.groupBy("p_partkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list("o")), lambda x: x["term"]), "|").alias("terms"))
-
-
-def fx_label_positions(spark, sf_dir):
-    """Where a label stands in a text, whatever the case: all offsets in characters."""
-    s = statements(spark, sf_dir)
-    parts = F.split(F.lower("text"), "part")
-    ends = F.transform(parts, lambda x, i: F.aggregate(F.slice(parts, 1, i + 1), F.lit(0), lambda a, y: a + F.length(y) + 4) - 4)
-    return s.select("doc_id", F.array_join(F.transform(F.slice(ends, 1, F.size(ends) - 1), lambda x: x.cast("string")), ",").alias("at"))
-
-
 def fx_label_context(spark, sf_dir):
     s = statements(spark, sf_dir)
     c = lambda k, l: V.label_context(F.lit(k), F.lit(l), F.col("text"))
@@ -70,14 +53,6 @@ def fx_same_line(spark, sf_dir):
     return s.select("doc_id", "line", v.alias("value")).where("value <> ''").where((F.length("value") <= 60) & (F.size(F.split("value", r"\s+")) <= 6) & V.iban_valid(F.col("value")))
 
 
-def fx_neighbor_rule(spark, sf_dir):
-    """Whether a chunk's neighbour is wanted: it ends mid-sentence or in a table, or its match lies near an edge."""
-    s = statements(spark, sf_dir)
-    at, n = F.instr(F.lower("text"), "part 1") - 1, F.length("text")
-    open_ = ~F.substr("text", n, F.lit(1)).isin(".", "!", "?", ":", ";", "\n")
-    return s.select("doc_id", (open_ | ((at >= 0) & ((at <= 800) | (at >= n - 150)))).alias("wanted"))
-
-
 def fx_candidate_normalize(spark, sf_dir):
     """Answers in several shapes as candidate rows: a list of objects, one object, a bare value."""
     e = table(spark, sf_dir, "events")
@@ -191,10 +166,6 @@ def prep_skip_signature(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.concat_ws(":", F.sha2("text", 256), F.lit(sign)).alias("cache_key"))
 
 
-def fx_near_value(spark, sf_dir):
-    return statements(spark, sf_dir).select("doc_id", F.size(Cand.near_numbers(F.col("text"), "Part")).alias("n"))
-
-
 def fx_evidence_repair(spark, sf_dir):
     s = statements(spark, sf_dir)
     e = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("IBAN: "), "iban")).otherwise("geen")
@@ -206,7 +177,7 @@ def fx_clip(spark, sf_dir):
     return statements(spark, sf_dir).select("doc_id", Cand.clipped(F.col("text"), "boeking", 40, 60).alias("chunk"))
 
 
-_NAMES = "fx_near_value fx_evidence_repair fx_clip norm_text norm_tokens fx_search_terms fx_label_positions fx_label_context fx_same_line fx_neighbor_rule fx_candidate_normalize fx_regex_filter fx_fix_pages cls_rationale cls_scores_record js_schema_check js_merge js_parse_cascade fr_missing_verified snk_finalize rel_skip_crud rel_type_fields_crud src_batch st_cancel prep_skip_signature"
+_NAMES = "fx_evidence_repair fx_clip norm_text norm_tokens fx_label_context fx_same_line fx_candidate_normalize fx_regex_filter fx_fix_pages cls_rationale cls_scores_record js_schema_check js_merge js_parse_cascade fr_missing_verified snk_finalize rel_skip_crud rel_type_fields_crud src_batch st_cancel prep_skip_signature"
 
 
 def queries() -> dict:
@@ -218,15 +189,11 @@ def oracle_sql() -> dict[str, str]:
     n = lambda x: f"trim(regexp_replace(lower({x}), '[^a-z0-9]+', ' ', 'g'))"
     bands = "CASE WHEN risk >= 70 THEN 'CRITICAL' WHEN risk >= 50 THEN 'HIGH' WHEN risk >= 25 THEN 'MEDIUM' ELSE 'LOW' END"
     return {
-        "fx_near_value": rf"{stmt}, a AS (SELECT doc_id, text, strpos(lower(text), 'part') AS p FROM stmt) SELECT doc_id, CASE WHEN p = 0 THEN 0 ELSE len(regexp_extract_all(substr(text, greatest(1, p - 120), least(p - 1, 120) + 300), '\d[\d.,]*')) END AS n FROM a",
         "fx_evidence_repair": f"{stmt} SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN NULL WHEN doc_id % 2 = 0 THEN concat('IBAN: ', iban) ELSE substr(text, greatest(1, strpos(text, iban) - 10), 10 + 18 + 10) END AS evidence FROM stmt",
         "fx_clip": f"{stmt}, a AS (SELECT doc_id, text, strpos(lower(text), 'boeking') AS p FROM stmt) SELECT doc_id, CASE WHEN p = 0 THEN text ELSE substr(text, greatest(1, p - 40), least(p - 1, 40) + 60) END AS chunk FROM a",
         "norm_tokens": f"SELECT p_partkey, array_to_string(list_filter(string_split({n('p_name')}, ' '), lambda w: length(w) >= 2), ' ') AS words FROM part",
-        "fx_search_terms": f"WITH t AS (SELECT p_partkey, list_distinct([{n(chr(39) + 'veld_' + chr(39) + ' || p_type')}, {n(chr(40) + 'p_name || ' + chr(39) + ' (' + chr(39) + ' || p_brand' + chr(41))}, {n('p_name')}]) AS l FROM part), u AS (SELECT p_partkey, unnest(l) AS term FROM t) SELECT p_partkey, string_agg(term, '|' ORDER BY length(term) DESC, term) AS terms FROM u GROUP BY p_partkey",
-        "fx_label_positions": f"{stmt}, p AS (SELECT doc_id, lower(text) AS t, unnest(range(1, length(text) + 1)) AS i FROM stmt) SELECT doc_id, coalesce(string_agg(CAST(i - 1 AS VARCHAR), ',' ORDER BY i) FILTER (substr(t, i, 4) = 'part'), '') AS at FROM p GROUP BY doc_id",
         "fx_label_context": f"{stmt} SELECT doc_id, TRUE AS label, contains(lower(text), 'boeking') AS key, FALSE AS far FROM stmt",
         "fx_same_line": f"{stmt} SELECT doc_id, 1 AS line, iban AS value FROM stmt",
-        "fx_neighbor_rule": f"{stmt} SELECT doc_id, TRUE AS wanted FROM stmt",
         "fx_candidate_normalize": "SELECT event_id, props->>'$.k' AS value, CASE WHEN event_id % 3 = 0 THEN 80.0::DOUBLE ELSE 0.0 END AS confidence FROM events UNION ALL SELECT event_id, 'x', 0.0 FROM events WHERE event_id % 3 = 0",
         "fx_regex_filter": f"{stmt} SELECT doc_id, iban AS value FROM stmt",
         "fx_fix_pages": f"{stmt} SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 1 ELSE 0 END AS page FROM stmt",

@@ -82,7 +82,7 @@ def _images(spark, sf_dir):
 
 def fr_ela(spark, sf_dir):
     i = _images(spark, sf_dir)
-    return i.withColumn("s", R.ela(F.col("size"), F.col("jpeg"), F.lit(0.0), F.col("std"), F.col("most"), F.col("bright"))).where("s is not null").select("l_orderkey", "l_linenumber", "l_partkey", F.col("s.risk_level").alias("risk_level"), F.round("s.confidence", 6).alias("confidence"))
+    return i.withColumn("s", R.ela(F.col("size"), F.col("jpeg"), F.lit(0.0), F.col("std"), F.col("most"), F.col("bright"))).where("s is not null").select("l_orderkey", "l_linenumber", "l_partkey", "s.name", "s.category", "s.risk_level", F.round("s.confidence", 6).alias("confidence"))
 
 
 def fr_pdf_image_pick(spark, sf_dir):
@@ -92,15 +92,39 @@ def fr_pdf_image_pick(spark, sf_dir):
     return best.select("l_orderkey", F.col("b.jpeg").alias("jpeg"), F.col("b.size").alias("size"), (-F.col("b.turn")).alias("part"))
 
 
-_SOFT = ["Adobe Photoshop 24", "GIMP 2.10", "Canon firmware", None]
+#: Software tags, and what each is to give.
+_SOFT = {
+    "Adobe Photoshop 24": ("HIGH", 0.9),
+    "GIMP 2.10": ("HIGH", 0.85),
+    "Canon firmware": None,
+    None: None,
+    "Lightroom Classic": ("HIGH", 0.85),
+    "Adobe Illustrator": ("HIGH", 0.85),
+    "Affinity Photo 2": ("HIGH", 0.8),
+    "Affinity Designer": None,
+    "Inkscape 1.2": ("MEDIUM", 0.7),
+    "Paint.NET 5": ("MEDIUM", 0.7),
+    "Pixelmator Pro": ("MEDIUM", 0.65),
+    "Canva": ("MEDIUM", 0.65),
+    "Snapseed": ("MEDIUM", 0.6),
+    "MS Paint 11": ("MEDIUM", 0.65),
+    "MS Paint": None,
+    "Adobe Acrobat Pro": ("MEDIUM", 0.55),
+    "IrfanView 4": ("LOW", 0.5),
+    "Preview": ("LOW", 0.4),
+    "Photoshop via Preview": ("HIGH", 0.9),
+}
 
 
 def fr_exif(spark, sf_dir):
-    """Editing software, and days between taking and changing a picture."""
+    """Signals of pictures' tags, one row for each; lines of orders stand for pictures."""
     l = table(spark, sf_dir, "lineitem")
-    soft, days = _pick(_SOFT), F.datediff(F.lit(AS_OF).cast("date"), "l_shipdate")
-    edited = F.regexp_extract(F.lower(soft), "(photoshop|gimp|lightroom|affinity|pixelmator|snapseed)", 1)
-    return l.select("l_orderkey", "l_linenumber", "l_partkey", F.coalesce(edited, F.lit("")).alias("editor"), F.when(days > 30, "HIGH").when(days > 1, "MEDIUM").alias("date_level"))
+    at = lambda days: F.concat(F.date_format(F.date_add(F.to_date("l_shipdate"), days), "yyyy:MM:dd"), F.lit(" 12:00:00"))
+    taken = F.when(F.col("l_linenumber") % 3 == 0, at((F.col("l_partkey") % 45).cast("int"))).when(F.col("l_linenumber") % 3 == 1, F.lit("geen datum"))
+    digitized = F.when(F.col("l_suppkey") % 2 == 0, at(-(F.col("l_partkey") % 5).cast("int")))
+    soft = list(_SOFT)
+    s = R.exif(_pick(soft), F.when(F.col("l_suppkey") % 7 == 0, _pick(soft, "l_linenumber * 5")), at(F.lit(0)), taken, digitized, F.col("l_suppkey") % 5 == 0, F.when(F.col("l_tax") > 0.05, "Canon "), F.when(F.col("l_returnflag") == "A", "EOS").when(F.col("l_returnflag") == "N", " "))
+    return l.select("l_orderkey", "l_linenumber", "l_partkey", F.explode(s).alias("s")).select("l_orderkey", "l_linenumber", "l_partkey", "s.*")
 
 
 def _rules(spark, sf_dir):
@@ -235,6 +259,7 @@ def oracle_sql() -> dict[str, str]:
     verdict = "CASE WHEN producer IN ('Adobe Acrobat', 'LibreOffice') THEN 'legitimate' WHEN producer IN ('FPDF 1.8', 'Python reportlab') THEN 'programmatic' WHEN producer = 'iLovePDF' THEN 'suspicious' END"
     word = r"[\p{L}\p{M}\p{N}_]"
     bad = [a for a in _AMOUNTS if a in ("99", "1.500")]
+    soft = ", ".join(f"('{k}', '{v[0]}', {v[1]}::DOUBLE)" for k, v in _SOFT.items() if v)
     return {
         "fr_unicode": "SELECT doc_id, 2 AS count, 'Zero-width karakters,Soft hyphen (onzichtbaar)' AS kinds, CASE WHEN doc_id % 10 < 6 THEN 'MEDIUM' ELSE 'LOW' END AS risk_level, CASE WHEN doc_id % 10 < 6 THEN 0.6::DOUBLE ELSE 0.4 END AS confidence FROM documents WHERE doc_id % 3 = 0",
         "fr_repetition": rf"WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '{word}{{4,}}')) AS word FROM documents), c AS (SELECT doc_id, word, count(*) AS count FROM w GROUP BY ALL), t AS (SELECT *, (sum(count) OVER (PARTITION BY doc_id))::BIGINT AS total FROM c) SELECT * FROM t WHERE count > 10 AND count / total > 0.05",
@@ -245,9 +270,17 @@ def oracle_sql() -> dict[str, str]:
         "fr_pdf_metadata": f"WITH {_PDF} SELECT {key}, concat_ws(',', CASE WHEN producer IN ('FPDF 1.8', 'wkhtmltopdf') THEN 'suspicious_pdf_creator' END, CASE WHEN created <> modified THEN 'pdf_date_mismatch' END, CASE WHEN author IS NULL THEN 'missing_metadata' END) AS signals FROM p",
         "fr_pdf_producer_legacy": f"WITH {_PDF} SELECT {key}, {verdict} AS verdict FROM p",
         "fr_legacy_score": f"WITH {_PDF} SELECT {key}, least(100, CASE WHEN {verdict} IN ('programmatic', 'suspicious') THEN 30 ELSE 0 END + CASE WHEN l_partkey % 100 > 30 THEN floor((l_partkey % 100) / 100.0::DOUBLE * 40) ELSE 0 END + CASE WHEN created <> modified THEN 20 ELSE 0 END + CASE WHEN author IS NOT NULL THEN 50 ELSE 0 END)::INT AS score FROM p",
-        "fr_ela": f"WITH i AS (SELECT {key}, l_partkey % 500 AS size, l_quantity / 2 AS std, l_tax * 1000 AS most, l_discount AS bright FROM lineitem WHERE l_returnflag <> 'A'), c AS (SELECT *, least(0.95::DOUBLE, 0.5::DOUBLE + std / 40 + bright) AS base FROM i WHERE size >= 150 AND (std > 2 OR most > 10 OR bright > 0.01)) SELECT {key}, CASE WHEN std > 20 OR most > 50 THEN 'HIGH' ELSE 'MEDIUM' END AS risk_level, round(CASE WHEN size < 300 THEN base * 0.8::DOUBLE ELSE base END, 6) AS confidence FROM c",
+        "fr_ela": f"""WITH i AS (SELECT {key}, l_partkey % 500 AS size, l_quantity / 2 AS std, l_tax * 1000 AS most, l_discount AS bright FROM lineitem WHERE l_returnflag <> 'A'),
+ c AS (SELECT *, greatest(0.5::DOUBLE, least(0.95::DOUBLE, greatest((std - 2) / 20, (most - 10) / 40 * 0.8::DOUBLE, CASE WHEN bright > 0.01 THEN least(1.0::DOUBLE, bright / 0.1::DOUBLE) * 0.7::DOUBLE ELSE 0 END))) AS base FROM i WHERE size >= 150 AND (std > 2 OR most > 10 OR bright > 0.01))
+ SELECT {key}, 'ela_manipulation_detected' AS name, 'manipulation' AS category, CASE WHEN std > 20 OR most > 50 THEN 'HIGH' ELSE 'MEDIUM' END AS risk_level, round(CASE WHEN size < 300 THEN base * 0.8::DOUBLE ELSE base END, 6) AS confidence FROM c""",
         "fr_pdf_image_pick": "WITH i AS (SELECT l_orderkey, l_returnflag <> 'A' AS jpeg, l_partkey % 500 AS size, l_partkey FROM lineitem WHERE l_partkey % 500 >= 150) SELECT l_orderkey, jpeg, size, l_partkey AS part FROM i QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY jpeg DESC, size DESC, l_partkey) = 1",
-        "fr_exif": f"SELECT {key}, CASE {_pick_sql(_SOFT)} WHEN 'Adobe Photoshop 24' THEN 'photoshop' WHEN 'GIMP 2.10' THEN 'gimp' ELSE '' END AS editor, CASE WHEN d > 30 THEN 'HIGH' WHEN d > 1 THEN 'MEDIUM' END AS date_level FROM (SELECT *, date_diff('day', CAST(l_shipdate AS DATE), DATE '{AS_OF}') AS d FROM lineitem)",
+        "fr_exif": f"""WITH t(tag, level, conf) AS (VALUES {soft}),
+ x AS (SELECT *, {_pick_sql(list(_SOFT))} AS s1, CASE WHEN l_suppkey % 7 = 0 THEN {_pick_sql(list(_SOFT), 'l_linenumber * 5')} END AS s2,
+  CASE WHEN l_linenumber % 3 = 0 THEN l_partkey % 45 WHEN l_suppkey % 2 = 0 THEN l_partkey % 5 END AS days, trim(concat_ws(' ', CASE WHEN l_tax > 0.05 THEN 'Canon' END, CASE WHEN l_returnflag = 'A' THEN 'EOS' END)) AS camera FROM lineitem)
+ SELECT {key}, 'image_editing_software' AS name, level AS risk_level, conf AS confidence, 'manipulation' AS category, tag AS detail FROM (SELECT * FROM x JOIN t ON s1 = tag UNION ALL SELECT * FROM x JOIN t ON s2 = tag)
+ UNION ALL SELECT {key}, 'exif_date_mismatch', CASE WHEN days > 30 THEN 'HIGH' ELSE 'MEDIUM' END, 0.8, 'manipulation', CAST(days AS VARCHAR) FROM x WHERE days > 1
+ UNION ALL SELECT {key}, 'exif_gps_present', 'LOW', 0.5, 'metadata', 'gps' FROM x WHERE l_suppkey % 5 = 0
+ UNION ALL SELECT {key}, 'exif_camera_metadata', 'LOW', 0.4, 'metadata', camera FROM x WHERE camera <> ''""",
         "fr_rule_amount_range": f"WITH {_RULES} SELECT {key}, CASE WHEN a < 10000 THEN 'bedrag_below_minimum' ELSE 'bedrag_above_maximum' END AS name, 'MEDIUM' AS risk_level, 0.8::DOUBLE AS confidence FROM x WHERE a < 10000 OR a > 50000",
         "fr_rule_date_max_age": f"WITH {_RULES}, y AS (SELECT *, date_diff('day', d, DATE '{AS_OF}') AS o FROM x) SELECT {key}, 'datum_too_old' AS name, CASE WHEN o > 1400 THEN 'HIGH' ELSE 'MEDIUM' END AS risk_level, 0.9::DOUBLE AS confidence FROM y WHERE o > 700",
         "fr_rule_ratio": f"WITH {_RULES}, y AS (SELECT *, a::DOUBLE / b AS r FROM x WHERE b <> 0) SELECT {key}, CASE WHEN r < 1000 THEN 'bedrag_ratio_too_low' ELSE 'bedrag_ratio_too_high' END AS name, CASE WHEN r < 1000 THEN 'HIGH' ELSE 'MEDIUM' END AS risk_level, CASE WHEN r < 1000 THEN 0.85::DOUBLE ELSE 0.75 END AS confidence FROM y WHERE r < 1000 OR r > 1900",

@@ -62,12 +62,16 @@ def test_iban_and_numbers(spark):
     assert one(spark, V.first_amount(F.col("v")), v="1.234,56") == 1.234 and one(spark, V.rule_amount(F.col("v")), v="3.5") == 35
 
 
-def check_value(spark, kind, value, evidence="", unit=None):
-    r = one(spark, V.validate(F.lit(kind), F.col("v"), F.col("e"), F.lit(unit).cast("string"), F.array(F.lit("A"), F.lit("B")), 2025), v=value, e=evidence)
-    return (r.valid, r.reason, r.normalized)
+def check_value(spark, kind, value, evidence="", unit=None, pattern=None):
+    d = spark.createDataFrame([(value, evidence, pattern)], "v string, e string, p string")
+    r = V.checked(d, F.lit(kind), F.col("v"), F.col("e"), F.lit(unit).cast("string"), F.array(F.lit("A"), F.lit("B")), 2025, F.col("p")).first()
+    return (r.check_reason is None, r.check_reason, r.check_normalized)
 
 
 def test_validate(spark):
+    assert check_value(spark, "string", "INV-12", pattern=r"^inv-\d+$") == (True, None, "INV-12")
+    assert check_value(spark, "string", "factuur", pattern=r"^inv-\d+$")[1] == "regex_mismatch"
+    assert check_value(spark, "year", "98", pattern="x")[1] == "year_must_be_four_digits"
     assert check_value(spark, "year", "1998", "gebouwd in 1998") == (True, None, "1998")
     assert check_value(spark, "year", "01-02-1998")[1] == "year_value_looks_like_date"
     assert check_value(spark, "year", "1998", "datum 1998")[1] == "year_evidence_has_date_label"
