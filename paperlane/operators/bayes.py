@@ -20,46 +20,58 @@ def tokens(text: Column, stop_words: bool = True, normalize: bool = True) -> Col
     return F.filter(found, lambda x: ~x.isin(P.DUTCH_STOP_WORDS)) if stop_words else found
 
 
-def token_counts(docs: DataFrame, token_array: Column) -> DataFrame:
-    """Rows (doc_id, token, n)."""
-    return docs.select("doc_id", F.explode(token_array).alias("token")).groupBy("doc_id", "token").agg(F.count("*").alias("n"))
+#: Labels of a model at most, as each is a column of the prediction.
+MOST_LABELS = 1000
 
 
-def train(counts: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """From token counts and (doc_id, label): tables (label, docs, total, vocabulary, all_docs) and (label, token, c).
+def token_lists(docs: DataFrame, token_array: Column) -> DataFrame:
+    """Rows (doc_id, tokens)."""
+    return docs.select("doc_id", token_array.alias("tokens"))
 
-    Documents without tokens do not train.
+
+def train(tokens_: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """From rows (doc_id, tokens) and (doc_id, label): tables (label, docs, total, vocabulary, all_docs) and (label, token, c).
+
+    Documents without tokens do not train. Texts are read once: a document counts at its first
+    token, and the counts, a row for each label and token, are kept for what reads them again.
     """
-    rows = counts.join(labels, "doc_id")
-    by_token = rows.groupBy("label", "token").agg(F.sum("n").alias("c"))
-    docs = rows.select("doc_id", "label").distinct().groupBy("label").agg(F.count("*").alias("docs"))
-    classes = by_token.groupBy("label").agg(F.sum("c").alias("total")).join(docs, "label")
-    vocabulary = by_token.agg(F.countDistinct("token").alias("vocabulary"))
-    all_docs = docs.agg(F.sum("docs").alias("all_docs"))
-    return classes.crossJoin(F.broadcast(vocabulary)).crossJoin(F.broadcast(all_docs)), by_token
+    rows = tokens_.join(labels, "doc_id").select("label", F.posexplode("tokens").alias("pos", "token"))
+    by_token = rows.groupBy("label", "token").agg(F.count("*").alias("c"), F.count_if(F.col("pos") == 0).alias("docs")).persist()
+    classes = by_token.groupBy("label").agg(F.sum("docs").alias("docs"), F.sum("c").alias("total"))
+    whole = by_token.agg(F.countDistinct("token").alias("vocabulary"), F.sum("docs").alias("all_docs"))  # one row
+    return classes.crossJoin(F.broadcast(whole)).select("label", "total", "docs", "vocabulary", "all_docs"), by_token.select("label", "token", "c")
 
 
-def predict_all(counts: DataFrame, classes: DataFrame, by_token: DataFrame) -> DataFrame:
-    """Probabilities (doc_id, label, p) of every label; none where there are fewer than two labels or no tokens.
+def predict_all(tokens_: DataFrame, classes: DataFrame, by_token: DataFrame, allowed: list | None = None) -> DataFrame:
+    """Probabilities (doc_id, label, p) of every label, or of those allowed; none where these are fewer than two or a text has no tokens.
 
-    With alpha 1 a token a label never saw adds ln(1) and needs no row; the denominator comes from
-    the document's length.
+    The model is turned into a row for each token with a column for each label, which Spark sends to
+    every task if it is small and joins by shuffle, splitting frequent tokens, if not. With alpha 1
+    a token a label never saw adds ln(1); the denominator comes from the document's length.
     """
-    length = counts.groupBy("doc_id").agg(F.sum("n").alias("length"))
-    k = classes.agg(F.count("*").alias("k"))
-    seen = counts.join(by_token, "token").groupBy("doc_id", "label").agg(F.sum(F.col("n") * F.log(F.col("c") + ALPHA)).alias("seen"))
-    grid = length.crossJoin(F.broadcast(classes)).crossJoin(F.broadcast(k)).where("k >= 2")
-    score = F.coalesce("seen", F.lit(0.0)) - F.col("length") * F.log(F.col("total") + ALPHA * F.col("vocabulary")) + F.log((F.col("docs") + ALPHA) / (F.col("all_docs") + ALPHA * F.col("k")))
-    s = grid.join(seen, ["doc_id", "label"], "left").select("doc_id", "label", score.alias("score"))
-    w = Window.partitionBy("doc_id")
-    e = s.withColumn("e", F.exp(F.col("score") - F.max("score").over(w)))
-    return e.select("doc_id", "label", (F.col("e") / F.sum("e").over(w)).alias("p"))
+    info = classes.limit(MOST_LABELS + 1).collect()
+    if len(info) > MOST_LABELS:
+        raise ValueError(f"a model of more than {MOST_LABELS} labels")
+    info = sorted((r for r in info if allowed is None or r.label in allowed), key=lambda r: str(r.label))
+    label_type = classes.schema["label"].dataType.simpleString()
+    empty = tokens_.select("doc_id", F.lit(None).cast(label_type).alias("label"), F.lit(0.0).alias("p")).where("false")
+    if len(info) < 2:
+        return empty
+    logs = [F.log(F.coalesce(F.sum(F.when(F.col("label").eqNullSafe(F.lit(r.label)), F.col("c"))), F.lit(0)) + ALPHA).alias(f"w{i}") for i, r in enumerate(info)]
+    model = by_token.groupBy("token").agg(*logs)
+    seen = tokens_.select("doc_id", F.explode("tokens").alias("token")).join(model, "token", "left")
+    sums = seen.groupBy("doc_id").agg(F.count("*").alias("length"), *[F.coalesce(F.sum(f"w{i}"), F.lit(0.0)).alias(f"s{i}") for i in range(len(info))])
+    score = lambda i, r: F.col(f"s{i}") - F.col("length") * F.log(F.lit(r.total + ALPHA * r.vocabulary)) + F.log(F.lit((r.docs + ALPHA) / (r.all_docs + ALPHA * len(info))))
+    scores = sums.select("doc_id", F.array(*[score(i, r) for i, r in enumerate(info)]).alias("s"))
+    scores = scores.select("doc_id", F.transform("s", lambda x: F.exp(x - F.array_max("s"))).alias("e")).withColumn("sum", F.aggregate("e", F.lit(0.0), lambda a, x: a + x))
+    named = F.arrays_zip(F.array(*[F.lit(r.label) for r in info]).alias("label"), F.col("e"))
+    return scores.select("doc_id", "sum", F.explode(named).alias("x")).select("doc_id", F.col("x.label").alias("label"), (F.col("x.e") / F.col("sum")).alias("p"))
 
 
 def predict(probabilities: DataFrame, threshold: float | None = None) -> DataFrame:
     """The best label of each document with its probability; of equals the first by name. Below a threshold the label is null."""
-    best = probabilities.groupBy("doc_id").agg(F.max(F.struct("p", F.lit(0))).alias("m"), F.max("p").alias("p"))
-    first = probabilities.join(best.select("doc_id", F.col("p").alias("top")), "doc_id").where("p = top").groupBy("doc_id").agg(F.min("label").alias("label"), F.first("p").alias("p"))
+    best = probabilities.groupBy("doc_id").agg(F.min(F.struct((-F.col("p")).alias("turn"), "label")).alias("b"))
+    first = best.select("doc_id", F.col("b.label").alias("label"), (-F.col("b.turn")).alias("p"))
     return first if threshold is None else first.withColumn("label", F.when(F.col("p") >= threshold, F.col("label")))
 
 

@@ -111,9 +111,9 @@ _ENG = f"""WITH {STATEMENTS_SQL}, {_L}, o AS (SELECT doc_id, low, [
 
 def _model(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
-    counts = B.token_counts(d, B.tokens(F.col("text")))
-    classes, by_token = B.train(counts, d.select("doc_id", F.col("lang").alias("label")))
-    return counts, classes, by_token
+    tokens = B.token_lists(d, B.tokens(F.col("text")))
+    classes, by_token = B.train(tokens, d.select("doc_id", F.col("lang").alias("label")))
+    return tokens, classes, by_token
 
 
 _STOP = ", ".join(f"'{w}'" for w in dict.fromkeys(P.DUTCH_STOP_WORDS))
@@ -163,8 +163,8 @@ def nb_hints_from_tokens(spark, sf_dir):
 
 def nb_merge_models(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
-    counts = B.token_counts(d, B.tokens(F.col("text"))).join(d.select("doc_id", "source", F.col("lang").alias("label")), "doc_id")
-    models = counts.groupBy(F.col("source").alias("model"), "label", "token").agg(F.sum("n").alias("c"))
+    rows = d.select(F.col("source").alias("model"), F.col("lang").alias("label"), F.explode(B.tokens(F.col("text"))).alias("token"))
+    models = rows.groupBy("model", "label", "token").agg(F.count("*").alias("c"))
     return B.merged(models, 50).select("label", "token", "c", "rank")
 
 
