@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fields, flow, lists, models, more, relevance, risk, texts
+from . import fields, flow, lists, models, more, relevance, results, risk, texts
 
-_PARTS = (texts, lists, models, fields, risk, flow, more, relevance)
+_PARTS = (texts, lists, models, fields, risk, flow, more, relevance, results)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
