@@ -115,3 +115,20 @@ def latest_by_id(first: DataFrame, second: DataFrame) -> DataFrame:
     both = first.withColumn("_o", F.lit(0)).unionByName(second.withColumn("_o", F.lit(1)))
     cols = [c for c in first.columns if c != "id"]
     return both.groupBy("id").agg(F.max_by(F.struct(*cols), "_o").alias("r")).select("id", "r.*")
+
+
+def types_by_policy(types: DataFrame, has_policy: bool | None = None) -> DataFrame:
+    """Document types (slug, name, policy, ...) in the order of their names: all, those with a policy, or those without; an empty object counts as none."""
+    has = F.col("policy").isNotNull() & (F.col("policy") != "{}")
+    d = types if has_policy is None else types.where(has if has_policy else ~has | F.col("policy").isNull())
+    return d.withColumn("with_policy", F.coalesce(has, F.lit(False))).orderBy("name")
+
+
+def taken(checks: DataFrame, types: DataFrame) -> DataFrame:
+    """For each (name, except_slug) how many types bear the name, whatever its case, under another slug; a null slug excepts none."""
+    c = checks.select("name", "except_slug", F.lower("name").alias("_n"))
+    # Counted per name and per name and slug, so that no pair of types is made.
+    per = types.groupBy(F.lower("name").alias("_n")).agg(F.count("*").alias("all"))
+    own = types.groupBy(F.lower("name").alias("_m"), F.col("slug").alias("_s")).agg(F.count("*").alias("own"))
+    j = c.join(per, "_n", "left").join(own, (F.col("_n") == F.col("_m")) & (F.col("except_slug") == F.col("_s")), "left")
+    return j.select("name", "except_slug", (F.coalesce("all", F.lit(0)) - F.coalesce("own", F.lit(0))).alias("n"))

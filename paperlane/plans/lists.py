@@ -68,9 +68,11 @@ _DUP = "SELECT doc_id AS id, CASE WHEN count(*) OVER w > 1 THEN CASE WHEN doc_id
 
 
 def rel_get_document(spark, sf_dir):
+    """One document's view: status, risk, missing fields, and the oldest other one with the same content; orders stand for files, equal in customer and type."""
     d = documents(spark, sf_dir)
     m = rel_missing_required(spark, sf_dir)
-    return d.join(m, "id").select("id", "status", "risk", "missing", C.risk_band(F.col("risk")).alias("level"))
+    twins = C.duplicate_of(d.select("id", F.sha2(F.concat_ws("|", "subject_id", "doc_type"), 256).alias("sha256"))).select("id", "duplicate_of")
+    return d.join(m, "id").join(twins, "id", "left").select("id", "status", "risk", "missing", "duplicate_of", C.risk_band(F.col("risk")).alias("level"))
 
 
 def rel_subject_search(spark, sf_dir):
@@ -129,14 +131,20 @@ def rel_list_signals(spark, sf_dir):
 
 
 def rel_list_types_policy(spark, sf_dir):
+    """The list of types asked for all, with and without a policy; a type's name gives its policy: none, an empty one or a real one."""
     f = _fields(spark, sf_dir).groupBy("slug").agg(F.array_join(F.array_sort(F.collect_list("key")), ",").alias("fields"))
     n = documents(spark, sf_dir).groupBy(F.col("doc_type").alias("slug")).agg(F.count("*").alias("n_documents"))
-    return f.join(n, "slug", "left").where("fields is not null").orderBy("slug")
+    policy = F.when(F.col("slug").startswith("1") | F.col("slug").startswith("3"), '{"requirements": []}').when(F.col("slug").startswith("2"), "{}")
+    types = f.join(n, "slug", "left").withColumns({"name": F.substr("slug", F.lit(3)), "policy": policy})
+    asked = [C.types_by_policy(types, has).withColumn("asked", F.lit(word)) for has, word in ((None, "all"), (True, "with"), (False, "without"))]
+    return asked[0].unionByName(asked[1]).unionByName(asked[2]).select("asked", "slug", "name", "fields", "n_documents", "with_policy")
 
 
 def rel_unique_checks(spark, sf_dir):
-    s = subjects(spark, sf_dir)
-    return s.groupBy(F.lower("name").alias("name")).agg(F.count("*").alias("n")).groupBy(F.col("n").alias("same_name")).agg(F.count("*").alias("names"))
+    """Names as they would be checked on writing: how many other types bear them. Customers stand for types, their segments for names."""
+    t = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("slug"), F.when(F.col("c_custkey") % 2 == 0, F.lower("c_mktsegment")).otherwise(F.concat("c_mktsegment", (F.col("c_custkey") % 50).cast("string"))).alias("name"))
+    checks = t.select(F.upper("name").alias("name"), F.when(F.col("slug") % 3 != 0, F.col("slug")).alias("except_slug"))
+    return C.taken(checks, t)
 
 
 def rel_delete_guard(spark, sf_dir):
@@ -236,7 +244,7 @@ def oracle_sql() -> dict[str, str]:
         "rel_by_reference": f"WITH {_S}, {_D} SELECT d.id, name AS subject_name, created_at FROM d LEFT JOIN s ON subject_id = s.id WHERE doc_type = '1-URGENT' ORDER BY created_at DESC, d.id DESC LIMIT 20",
         "rel_missing_required": _MISSING,
         "rel_duplicate_of": _DUP,
-        "rel_get_document": f"WITH {_D}, m AS ({_MISSING}) SELECT id, status, risk, missing, {band} AS level FROM d JOIN m USING (id)",
+        "rel_get_document": f"WITH {_D}, m AS ({_MISSING}), t AS (SELECT id, CASE WHEN id > min(id) OVER w THEN min(id) OVER w ELSE min(id) OVER (PARTITION BY subject_id, doc_type ORDER BY id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) END AS duplicate_of FROM d WINDOW w AS (PARTITION BY subject_id, doc_type)) SELECT id, status, risk, missing, duplicate_of, {band} AS level FROM d JOIN m USING (id) JOIN t USING (id)",
         "rel_subject_search": f"WITH {_S} SELECT id, name, context FROM s WHERE name_normalized LIKE '%customer#0000001_%' AND context = 'BUILDING' ORDER BY name, id LIMIT 20",
         "rel_subject_by_name_grouped": f"WITH {_S} SELECT context, count(*) AS n, string_agg(name, ',' ORDER BY name, id) AS names FROM s WHERE name_normalized LIKE '%9%' GROUP BY context",
         "rel_subject_documents": f"WITH {_S}, {_D} SELECT d.id, name AS subject_name, created_at FROM d JOIN s ON subject_id = s.id WHERE subject_id = (SELECT min(id) FROM s) ORDER BY created_at DESC, d.id DESC LIMIT 50",
@@ -248,8 +256,8 @@ def oracle_sql() -> dict[str, str]:
         "rel_high_risk_default": f"WITH {_D} SELECT id, risk, {band} AS level FROM d WHERE risk >= 50 ORDER BY risk DESC, created_at DESC, id DESC LIMIT 100",
         "risk_band": f"WITH {_D} SELECT id, {_BAND.format('CASE WHEN risk <> 7 THEN risk END')} AS band FROM d",
         "rel_list_signals": "SELECT CASE WHEN event_type IN ('click', 'view') THEN 'builtin' ELSE 'user' END AS source, event_type AS key, count(*) AS n, count(*) FILTER (value > 10) AS n_large FROM events GROUP BY ALL",
-        "rel_list_types_policy": "SELECT o_orderpriority AS slug, CASE WHEN o_orderpriority = '1-URGENT' THEN 'iban,status,total' ELSE 'status,total' END AS fields, count(*) AS n_documents FROM orders GROUP BY ALL",
-        "rel_unique_checks": "SELECT n AS same_name, count(*) AS names FROM (SELECT lower(c_name), count(*) AS n FROM customer GROUP BY ALL) GROUP BY ALL",
+        "rel_list_types_policy": "WITH t AS (SELECT o_orderpriority AS slug, substr(o_orderpriority, 3) AS name, CASE WHEN o_orderpriority = '1-URGENT' THEN 'iban,status,total' ELSE 'status,total' END AS fields, count(*) AS n_documents, substr(o_orderpriority, 1, 1) IN ('1', '3') AS with_policy FROM orders GROUP BY ALL) SELECT 'all' AS asked, * FROM t UNION ALL SELECT CASE WHEN with_policy THEN 'with' ELSE 'without' END, * FROM t",
+        "rel_unique_checks": "WITH t AS (SELECT c_custkey AS slug, CASE WHEN c_custkey % 2 = 0 THEN lower(c_mktsegment) ELSE concat(c_mktsegment, c_custkey % 50) END AS name FROM customer), n AS (SELECT *, count(*) OVER (PARTITION BY lower(name)) AS n FROM t) SELECT upper(name) AS name, CASE WHEN slug % 3 <> 0 THEN slug END AS except_slug, n - CASE WHEN slug % 3 <> 0 THEN 1 ELSE 0 END AS n FROM n",
         "rel_delete_guard": "SELECT n_name AS name, count(s_suppkey) AS used, count(s_suppkey) = 0 AS may_delete FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey GROUP BY n_name",
         "rel_signals_crud": _UPSERT,
         "cfg_import": "SELECT c_custkey AS key FROM customer WHERE c_custkey % 2 = 0 AND c_custkey % 3 <> 0 AND c_custkey % 5 = 0",
