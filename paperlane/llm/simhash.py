@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import Rows, settle, small_batches
+from .shared import Rows, discard, settle, small_batches
 
 SEED, RADIUS, CROWDED = 42, 3, 2000
 
@@ -43,10 +43,14 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
     starts = np.concatenate([[0], ends[:-shingle]]).tolist()
     digest, view = xxhash.xxh64_intdigest, memoryview(whole)
-    h = np.array([digest(view[a:b], SEED) for a, b in zip(starts, (ends[shingle - 1 :] - 1).tolist(), strict=True)], "<u8")
+    return majority(np.array([digest(view[a:b], SEED) for a, b in zip(starts, (ends[shingle - 1 :] - 1).tolist(), strict=True)], np.uint64))
+
+
+def majority(h: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes."""
     ones = np.zeros(64, np.int64)
     for i in range(0, len(h), 65_536):
-        ones += np.unpackbits(h[i : i + 65_536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        ones += np.unpackbits(h[i : i + 65_536].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int.from_bytes(np.packbits(2 * ones > len(h), bitorder="little").tobytes(), "little")
 
 
@@ -203,15 +207,15 @@ def hexadecimal(fp) -> F.Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-#: Bytes of a shingle's hash; documents sampled for how common shingles are, and so many counts are kept at most.
-HASH, SAMPLE, COMMON = 6, 16_384, 200_000
+#: Bytes of a shingle's hash in sets and keys; bits of a set's mask; documents sampled for how common shingles are, and so many counts are kept at most.
+HASH, MASK, SAMPLE, COMMON, CHUNK = 6, 1024, 16_384, 200_000, 1 << 20
 
 
-def shingle_set(text: str | None, shingle: int = 5) -> np.ndarray:
-    """The hashes of the text's shingles, sorted, each once. A text of fewer words is one shingle, one without words none."""
+def shingle_hashes(text: str | None, shingle: int = 5) -> np.ndarray:
+    """The 64-bit hashes of the text's shingles, repeats included. A text of fewer words is one shingle, one without words none."""
     words = (text or "").encode().lower().split()
     if not words:
-        return np.empty(0, np.int64)
+        return np.empty(0, np.uint64)
     whole = b" ".join(words)
     if len(words) <= shingle:
         spans = [(0, len(whole))]
@@ -219,7 +223,12 @@ def shingle_set(text: str | None, shingle: int = 5) -> np.ndarray:
         ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
         spans = zip([0, *ends[:-shingle].tolist()], (ends[shingle - 1 :] - 1).tolist(), strict=True)
     digest, view = xxhash.xxh64_intdigest, memoryview(whole)
-    return np.unique(np.array([digest(view[a:b], SEED) for a, b in spans], np.uint64) >> np.uint64(64 - 8 * HASH)).view(np.int64)
+    return np.array([digest(view[a:b], SEED) for a, b in spans], np.uint64)
+
+
+def shingle_set(hashes: np.ndarray) -> np.ndarray:
+    """The hashes' leading 48 bits, sorted, each once."""
+    return np.unique(hashes >> np.uint64(64 - 8 * HASH)).view(np.int64)
 
 
 def pack_set(values: np.ndarray) -> bytes:
@@ -232,6 +241,11 @@ def unpack_set(packed: bytes) -> np.ndarray:
     return out.view("<i8").reshape(-1)
 
 
+def mask(values: np.ndarray) -> bytes:
+    """The parity of the set's members on each of MASK places: two sets differ in at least as many members as their masks in bits."""
+    return np.packbits(np.bincount(values % MASK, minlength=MASK) & 1 == 1).tobytes()
+
+
 def _common(docs: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
     """Shingles that several documents of a sample share, sorted, and in how many. It sets the order of shingles only, so any sample is right."""
     n = docs.count()
@@ -239,7 +253,7 @@ def _common(docs: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for t in b.column(0).to_pylist():
-                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(t, shingle))], ["token"])
+                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(shingle_hashes(t, shingle)))], ["token"])
 
     part = docs.select("text").sample(min(1.0, SAMPLE / max(1, n)), 17)
     found = part.mapInArrow(work, "token long").groupBy("token").count().where("count >= 4").orderBy(F.desc("count"), "token").limit(COMMON).collect()
@@ -247,107 +261,205 @@ def _common(docs: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
     return found[:, 0].copy(), found[:, 1].copy()
 
 
-def _sets(docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """Rows (id, th, fp, n, prefix, set) of documents (id, th, text): fp names the set of n shingles.
+def _named_sets(docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Rows (id, th, set, fp, n, mask, prefix) of documents (id, th, text): set names the set of n shingles, fp is the text's fingerprint.
 
     prefix has the shingles that come first, rare ones before common ones: two sets as similar as
-    wanted share one of them. Both are null where the task has given them with an earlier row.
+    wanted share one of them. It and the mask are null where the task has given them with an earlier row.
     """
     tokens, counts = _common(docs, shingle)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for b in batches:
-            fps, sizes, prefixes, sets = [], [], [], []
+            names, fps, sizes, masks, prefixes = [], [], [], [], []
             for t in b.column(2).to_pylist():
-                s = shingle_set(t, shingle)
-                packed = pack_set(s)
-                fp = xxhash.xxh64_intdigest(packed, SEED)
-                new = fp not in seen
+                h = shingle_hashes(t, shingle)
+                s = shingle_set(h)
+                name = xxhash.xxh64_intdigest(pack_set(s), SEED)
+                new = name not in seen
                 if new:
                     if len(seen) >= 100_000:
                         seen.clear()
-                    seen.add(fp)
+                    seen.add(name)
                     rank = np.zeros(len(s), np.int64)
                     if len(tokens):
                         at = np.minimum(np.searchsorted(tokens, s), len(tokens) - 1)
                         rank = np.where(tokens[at] == s, counts[at], 0)
                     most = len(s) - int(np.ceil(similarity * len(s) - 1e-9)) + 1
-                    prefixes.append(s[np.lexsort((s, rank))[:most]])
-                fps.append(fp)
+                names.append(name)
+                fps.append(majority(h))
                 sizes.append(len(s))
-                sets.append(packed if new else None)
-                if not new:
-                    prefixes.append(None)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(sets, pa.binary())], ["id", "th", "fp", "n", "prefix", "set"])
+                masks.append(mask(s) if new else None)
+                prefixes.append(s[np.lexsort((s, rank))[:most]] if new else None)
+            signed = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
+            cols = [b.column(0), b.column(1), signed(names), signed(fps), pa.array(sizes, pa.int64()), pa.array(masks, pa.binary()), pa.array(prefixes, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(cols, ["id", "th", "set", "fp", "n", "mask", "prefix"])
 
-    return docs.mapInArrow(work, "id long, th long, fp long, n int, prefix array<long>, set binary")
+    return docs.mapInArrow(work, "id long, th long, set long, fp long, n long, mask binary, prefix array<long>")
 
 
-def _verified(pairs: DataFrame, rows: DataFrame, similarity: float) -> DataFrame:
-    """Those pairs (a, b) of sets whose Jaccard similarity is as high as wanted."""
-    nodes = pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct()
-    sets = settle(rows.where("set is not null").select("fp", "set").join(nodes, "fp", "left_semi").groupBy("fp").agg(F.first("set").alias("set")), "similar-sets")
+def _shared(rows: DataFrame) -> DataFrame:
+    """Places (token, set, n, pos) of those shingles of the prefixes that come in other rows as well.
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    What a task finds repeated among its own places is known already: one place stands for it under
+    the shingle's key, the others travel under keys of their own. A hot shingle so puts one row for
+    each CHUNK places on its key.
+    """
+    fields = pa.schema([(c, pa.int64()) for c in ("key", "token", "set", "n", "pos")])
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def flush(parts: list) -> Iterator[pa.RecordBatch]:
+            token, name, n, pos = (np.concatenate(c) for c in zip(*parts, strict=True))
+            order = np.argsort(token, kind="stable")
+            token, name, n, pos = token[order], name[order], n[order], pos[order]
+            same = np.append(False, token[1:] == token[:-1])
+            known = same | np.append(same[1:], False)
+            mixed = (name.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ (token.view(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
+            key = np.where(same, -1 - (mixed >> np.uint64(1)).view(np.int64), token)  # shingles are never below zero
+            whole = pa.RecordBatch.from_arrays([pa.array(c) for c in (key, token, name, n, 2 * pos + known)], schema=fields)
+            for s in range(0, whole.num_rows, 50_000):
+                yield whole.slice(s, 50_000)
+
+        parts, held = [], 0
+        for b in batches:
+            lists = b.column(2)
+            size = np.diff(lists.offsets.to_numpy())
+            token = lists.flatten().to_numpy()
+            first = np.cumsum(size) - size
+            pos = np.arange(len(token)) - np.repeat(first, size)
+            parts.append((token, np.repeat(b.column(0).to_numpy(), size), np.repeat(b.column(1).to_numpy(), size), pos))
+            held += len(token)
+            if held >= CHUNK:
+                yield from flush(parts)
+                parts, held = [], 0
+        if held:
+            yield from flush(parts)
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, matched = None, False
+        for b in batches:
+            cols = [c.to_numpy() for c in b.columns]
+            if held is not None:
+                cols = [np.concatenate(c) for c in zip(held, cols, strict=True)]
+            key, token, name, n, pos = cols
+            if not len(key):
+                continue
+            same = key[1:] == key[:-1]
+            hit = pos & 1 == 1
+            hit[0] |= matched
+            hit[1:] |= same
+            hit[:-1] |= same
+            held, matched = [c[-1:] for c in cols], bool(hit[-1])
+            keep = hit[:-1]
+            yield pa.RecordBatch.from_arrays([pa.array(c[:-1][keep]) for c in (token, name, n, pos >> 1)], ["token", "set", "n", "pos"])
+        if held is not None and matched:
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (held[1], held[2], held[3], held[4] >> 1)], ["token", "set", "n", "pos"])
+
+    posts = rows.where("prefix is not null").select("set", "n", "prefix").mapInArrow(spread, "key long, token long, set long, n long, pos long")
+    return posts.repartition("key").sortWithinPartitions("key").mapInArrow(meet, "token long, set long, n long, pos long")
+
+
+def _verified(pairs: DataFrame, rows: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Those pairs (a, b) of sets whose Jaccard similarity is as high as wanted.
+
+    The masks of two sets bound how much they differ, so most pairs end there. For the others the
+    sets are made again, from the texts that have them.
+    """
+    both = lambda pairs, table, c: pairs.join(table.select(F.col("set").alias("a"), F.col(c).alias("x")), "a").join(table.select(F.col("set").alias("b"), F.col(c).alias("y")), "b").select("a", "b", "x", "y")
+    nodes = lambda pairs: pairs.select(F.col("a").alias("set")).union(pairs.select("b")).distinct()
+    masks = rows.where("mask is not null").select("set", F.struct("n", "mask").alias("m")).join(nodes(pairs), "set", "left_semi").groupBy("set").agg(F.min("m").alias("m"))
+
+    def may(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x, y = b.column(2), b.column(3)
+            bits = [np.frombuffer(b"".join(c.field("mask").to_pylist()), np.uint64).reshape(-1, MASK // 64) for c in (x, y)]
+            n = x.field("n").to_numpy() + y.field("n").to_numpy()
+            keep = np.bitwise_count(bits[0] ^ bits[1]).sum(axis=1) <= n * (1 - similarity) / (1 + similarity) + 1e-6
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(keep))
+
+    left = settle(both(pairs, settle(masks, "similar-masks"), "m").mapInArrow(may, "a long, b long"), "similar-left")
+    held = rows.join(nodes(left), "set", "left_semi").groupBy("set").agg(F.min("th").alias("th"))
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            packed = [pack_set(shingle_set(shingle_hashes(t, shingle))) for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(packed, pa.binary())], ["set", "packed"])
+
+    def same(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keep = []
             for x, y in zip(b.column(2), b.column(3), strict=True):
                 x, y = unpack_set(x.as_py()), unpack_set(y.as_py())
-                both = np.concatenate([x, y])
-                both.sort()
-                shared = int((both[1:] == both[:-1]).sum())
-                keep.append(shared / (len(both) - shared) >= similarity)
+                z = np.concatenate([x, y])
+                z.sort()
+                shared = int((z[1:] == z[:-1]).sum())
+                keep.append(shared / max(1, len(z) - shared) >= similarity)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    with_a = pairs.join(sets.select(F.col("fp").alias("a"), F.col("set").alias("x")), "a")
-    return with_a.join(sets.select(F.col("fp").alias("b"), F.col("set").alias("y")), "b").select("a", "b", "x", "y").mapInArrow(work, "a long, b long")
+    first = texts.select("th", "text").join(settle(held, "similar-held"), "th").groupBy("set").agg(F.min("text").alias("text"))
+    sets = settle(first.mapInArrow(make, "set long, packed binary"), "similar-sets")
+    return both(left, sets, "packed").mapInArrow(same, "a long, b long")
 
 
 def _similar(docs: DataFrame, shingle: int, similarity: float, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Rows (id, th, fp), distinct sets (fp, least) and links of sets that connect all pairs as similar as wanted.
+    """Rows (id, th, set), distinct sets (set, least) and links of sets that connect all pairs as similar as wanted.
 
-    Sets that share a shingle of their prefixes are compared. First each is compared with the least
-    and the greatest one that has the shingle, which links large groups without all their pairs.
-    Then all pairs that share a shingle and are not in one group yet are compared, so none is missed.
+    All pairs that are proposed are compared on whole sets. The BK-trees propose texts of near
+    fingerprints. Each set that shares a shingle of its prefix with others is compared with the least
+    and the greatest one that has it, so that large groups are linked without all their pairs. Then
+    all pairs that share a shingle and are still apart are compared: two sets as similar as wanted
+    share one, so none is missed.
     """
     small_batches(docs.sparkSession, 500)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
-    rows = settle(_sets(texts, shingle, similarity), "similar-rows")
-    distinct = settle(rows.groupBy("fp").agg(F.min("id").alias("least"), F.first("n").alias("n"), F.first("prefix", ignorenulls=True).alias("prefix")), "similar-distinct")
-    posts = distinct.select("fp", "n", F.posexplode("prefix").alias("pos", "token"))
-    ends = settle(posts.groupBy("token").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("lo < hi"), "similar-ends")
-    met = settle(posts.join(ends, "token"), "similar-met")
+    rows = settle(_named_sets(texts, shingle, similarity), "similar-rows")
+    distinct = settle(rows.groupBy("set").agg(F.min("id").alias("least")), "similar-distinct")
+    verify = lambda pairs: settle(_verified(pairs, rows, texts, shingle, similarity), "similar-links")
+
+    first = settle(rows.groupBy("fp").agg(F.min("set").alias("first")), "similar-fingerprints")
+    same = rows.join(first, "fp").where("set <> first").select(F.least("first", "set").alias("a"), F.greatest("first", "set").alias("b"))
+    near = links(first.select("fp")).join(first.select(F.col("fp").alias("a"), F.col("first").alias("x")), "a").join(first.select(F.col("fp").alias("b"), F.col("first").alias("y")), "b")
+    met = settle(_shared(rows).distinct(), "similar-met")
     # What is left behind the first shingle shared bounds what two sets can share.
     may = F.expr(f"{1 + similarity!r} * least(n - pos, n2 - pos2) >= {similarity!r} * (n + n2) - 1e-6")
-    pair = (F.least("fp", "fp2").alias("a"), F.greatest("fp", "fp2").alias("b"))
+    pair = (F.least("set", "set2").alias("a"), F.greatest("set", "set2").alias("b"))
     named2 = lambda d: d.select("token", *[F.col(c).alias(f"{c}2") for c in d.columns if c != "token"])
-    tips = named2(met.where("fp = lo or fp = hi").select("token", "fp", "n", "pos"))
-    first = settle(met.join(tips, "token").where(F.col("fp") != F.col("fp2")).where(may).select(*pair).distinct(), "similar-first")
-    links1 = settle(_verified(first, rows, similarity), "similar-links")
-    parts = settle(components(links1), "similar-parts")
-    tagged = settle(met.select("token", "fp", "n", "pos").join(parts, F.col("fp") == F.col("node"), "left").withColumn("group", F.coalesce("component", "fp")).select("token", "fp", "n", "pos", "group"), "similar-tagged")
+    ends = settle(met.groupBy("token").agg(F.min("set").alias("lo"), F.max("set").alias("hi")).where("lo < hi"), "similar-ends")
+    some = settle(met.join(ends, "token"), "similar-some")
+    tips = named2(some.where("set = lo or set = hi").select("token", "set", "n", "pos"))
+    tips = some.join(tips, "token").where("set <> set2").where(may).select(*pair)
+    tried = settle(tips.union(same).union(near.select(F.least("x", "y"), F.greatest("x", "y"))).distinct(), "similar-tried")
+    found = verify(tried)
+
+    parts = settle(components(found), "similar-parts")
+    tagged = some.join(parts, F.col("set") == F.col("node"), "left").select("token", "set", "n", "pos", F.coalesce("component", "set").alias("group"))
+    tagged = settle(tagged, "similar-tagged")
     several = settle(tagged.groupBy("token").agg(F.min("group").alias("g"), F.max("group").alias("h")).where("g < h").select("token"), "similar-several")
     apart = settle(tagged.join(several, "token"), "similar-apart")
-    rest = apart.join(named2(apart), "token").where("group < group2").where(may).select(*pair).distinct()
-    rest = settle(rest.join(first, ["a", "b"], "left_anti"), "similar-rest")
-    links = settle(links1.union(_verified(rest, rows, similarity)), "similar-links")
-    return rows.select("id", "th", "fp"), distinct.select("fp", "least"), links
+    rest = apart.join(named2(apart), "token").where("group < group2").where(may).select(*pair).distinct().join(tried, ["a", "b"], "left_anti")
+    rest = settle(rest, "similar-rest")
+    links_ = settle(found.union(verify(rest)), "similar-links")
+    discard(met, ends, some, parts, tagged, several, apart)
+    return rows.select("id", "th", "set"), distinct, links_
 
 
 def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row the id and component_id: the smallest id among the documents reachable by pairs of this Jaccard similarity of shingles or more."""
     rows, distinct, met = _similar(docs, shingle, similarity, id_col, text_col)
-    return _named(rows.select("id", "fp"), distinct, met, id_col).select(id_col, "component_id")
+    return _named(rows.select("id", F.col("set").alias("fp")), distinct.withColumnRenamed("set", "fp"), met, id_col).select(id_col, "component_id")
 
 
 def keep_first(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of each group of similar documents: that of the smallest id, null being the greatest, of repeated ids the first by the text's hash."""
+    """One row of each group of similar documents: that of the smallest id, null being the greatest, of repeated ids the first by the text's hash.
+
+    All texts without words are one group. An empty table gives an empty one. Other columns pass through.
+    """
     rows, _, met = _similar(docs, shingle, similarity, id_col, text_col)
     parts = settle(components(met), "similar-parts")
-    keys = rows.groupBy("id", "th", "fp").agg(F.count("*").alias("n"))
+    keys = rows.groupBy("id", "th", "set").agg(F.count("*").alias("n"))
     least = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "th", "n")).alias("w")
-    first = keys.join(parts, F.col("fp") == F.col("node"), "left").groupBy(F.coalesce("component", "fp").alias("group")).agg(least)
+    first = keys.join(parts, F.col("set") == F.col("node"), "left").groupBy(F.coalesce("component", "set").alias("group")).agg(least)
     first = settle(first.select(F.col("w.id").alias("_id"), F.col("w.th").alias("_th"), F.col("w.n").alias("_n")), "similar-first")
     kept = docs.join(first, docs[id_col].cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(docs[text_col]) == F.col("_th")))
     if not first.where("_n > 1").limit(1).count():
