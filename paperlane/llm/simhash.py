@@ -1,12 +1,13 @@
 """SimHash near-duplicates: fingerprints linked through BK-trees of bounded shards.
 
 A fingerprint has 64 bits. Two that differ in at most three bits agree on one of four blocks of 16,
-so each distinct fingerprint goes to the four shards named by its blocks, and the links inside the
-shards are all there are. In a shard a BK-tree is grown: a child is keyed by its Hamming distance
+so each distinct fingerprint goes to four shards named by (half of) its blocks, and the links inside
+the shards are all there are. In a shard a BK-tree is grown: a child is keyed by its Hamming distance
 to the parent, and a search follows only the edges within the radius of the distance. A tree's
 shard is sent to the one task that searches it rather than to every task, as all shards together
-grow with the data. Shards of more than CROWDED fingerprints are split again on parts of the other
-bits, by the same argument; the table of crowded shards has at most 4 * 65,536 rows.
+grow with the data. A shard of more than CROWDED fingerprints is split on the whole block, and
+again on parts of the other bits, by the same argument; the tables of crowded shards have at most
+4 * 256 and 4 * 65,536 rows.
 
 Equal texts share a fingerprint and are reduced to one row first. A shard gives only the links of
 its spanning forest; components are found on the distributed links.
@@ -150,12 +151,20 @@ def _deep(b: int) -> list[str]:
 def links(distinct: DataFrame) -> DataFrame:
     """Links (a, b) among distinct fingerprints (fp), enough to connect all that lie within RADIUS."""
     spark = distinct.sparkSession
-    blocks = F.expr("array(" + ", ".join(f"shiftleft({b}L, 16) | {_block(b)}" for b in range(4)) + ")")
-    rows = distinct.select("fp", F.explode(blocks).alias("shard"))
-    crowded = settle(rows.groupBy("shard").count().where(F.col("count") > CROWDED).select("shard", F.lit(True).alias("crowded")), "simhash-crowded")
-    rows = rows.join(F.broadcast(crowded), "shard", "left")
-    deep = "CASE shiftright(shard, 16) " + " ".join(f"WHEN {b} THEN array({', '.join(_deep(b))})" for b in range(4)) + " END"
-    rows = rows.select("fp", F.explode(F.when(F.col("crowded"), F.expr(deep)).otherwise(F.array("shard"))).alias("shard"))
+    by_block = lambda make: "CASE b " + " ".join(f"WHEN {b} THEN {make(b)}" for b in range(4)) + " END"
+
+    def crowded(rows: DataFrame) -> DataFrame:
+        """Rows with `crowded` set where their shard is too large. The list has at most as many rows as four blocks have values."""
+        large = settle(rows.groupBy("shard").count().where(F.col("count") > CROWDED).select("shard", F.lit(True).alias("crowded")), "simhash-crowded")
+        return rows.join(F.broadcast(large), "shard", "left")
+
+    # Shards by half a block first, as numbers below zero; by the whole block; by the block and parts of the rest.
+    rows = distinct.select("fp", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("b"))
+    rows = crowded(rows.withColumn("shard", F.expr(by_block(lambda b: f"-1L - (shiftleft({b}L, 8) | shiftrightunsigned({_block(b)}, 8))"))))
+    rows = rows.select("fp", "b", F.when(F.col("crowded"), F.expr(by_block(lambda b: f"shiftleft({b}L, 16) | {_block(b)}"))).otherwise(F.col("shard")).alias("shard"))
+    halves, blocks = rows.where("shard < 0"), crowded(rows.where("shard >= 0"))
+    deep = F.when(F.col("crowded"), F.expr(by_block(lambda b: f"array({', '.join(_deep(b))})"))).otherwise(F.array("shard"))
+    rows = halves.select("fp", "shard").union(blocks.select("fp", F.explode(deep).alias("shard")))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = rows.repartition(n, "shard").sortWithinPartitions("shard")
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
