@@ -217,7 +217,7 @@ def hexadecimal(fp) -> F.Column:
 
 
 #: Bytes of a shingle's hash in sets and keys; bits of a set's mask; documents sampled for how common shingles are, and so many counts are kept at most.
-HASH, MASK, SAMPLE, COMMON, CHUNK = 6, 1024, 16_384, 200_000, 1 << 20
+HASH, MASK, SAMPLE, COMMON, CHUNK = 6, 1024, 49_152, 400_000, 1 << 20
 
 
 def shingle_hashes(text: str | None, shingle: int = 5) -> np.ndarray:
@@ -256,7 +256,11 @@ def mask(values: np.ndarray) -> bytes:
 
 
 def _common(docs: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that several documents of a sample share, sorted, and in how many. It sets the order of shingles only, so any sample is right."""
+    """Shingles that three different texts of a sample share, sorted, and in how many. It sets the order of shingles only, so any sample is right.
+
+    A passage in a given part of the documents is known as common at any size of the table, so
+    that pairs of documents that only share it are not compared.
+    """
     n = docs.count()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -264,10 +268,9 @@ def _common(docs: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
             for t in b.column(0).to_pylist():
                 yield pa.RecordBatch.from_arrays([pa.array(shingle_set(shingle_hashes(t, shingle)))], ["token"])
 
-    part = docs.select("text").sample(min(1.0, SAMPLE / max(1, n)), 17)
-    found = part.mapInArrow(work, "token long").groupBy("token").count().where("count >= 4").orderBy(F.desc("count"), "token").limit(COMMON).collect()
-    found = np.array(sorted((r["token"], r["count"]) for r in found), np.int64).reshape(-1, 2)
-    return found[:, 0].copy(), found[:, 1].copy()
+    part = docs.sample(min(1.0, SAMPLE / max(1, n)), 17).dropDuplicates(["th"]).select("text")
+    found = part.mapInArrow(work, "token long").groupBy("token").count().where("count >= 3").orderBy(F.desc("count"), "token").limit(COMMON).orderBy("token").toArrow()
+    return found["token"].to_numpy().copy(), found["count"].to_numpy().copy()
 
 
 def _named_sets(docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
