@@ -35,9 +35,12 @@ def repetition(docs: DataFrame, text: str = "text") -> DataFrame:
     Counted inside each row: a document's own words are all that its signal needs.
     """
     words = F.regexp_extract_all(F.lower(text), F.lit(r"(?U)\b\w{4,}\b"), F.lit(0))
-    d = docs.select("doc_id", F.explode(words).alias("word")).groupBy("doc_id", "word").agg(F.count("*").alias("count"))
-    total = d.groupBy("doc_id").agg(F.sum("count").alias("total"))
-    return d.where("count > 10").join(total, "doc_id").where("count / total > 0.05")
+    d = docs.select("doc_id", F.array_sort(words).alias("w"))
+    # In order, a word that comes more than ten times is met again ten places on.
+    often = F.array_distinct(F.filter("w", lambda x, i: F.get("w", i + 10) == x))
+    counted = F.transform(often, lambda c: F.struct(c.alias("word"), F.size(F.filter("w", lambda x: x == c)).cast("long").alias("count")))
+    d = d.select("doc_id", F.size("w").cast("long").alias("total"), F.explode(counted).alias("c"))
+    return d.select("doc_id", "c.word", "c.count", "total").where(F.col("count") / F.col("total") > 0.05)
 
 
 def anomaly(text: Column) -> Column:
