@@ -255,6 +255,11 @@ def mask(values: np.ndarray) -> bytes:
     return np.packbits(np.bincount(values % MASK, minlength=MASK) & 1 == 1).tobytes()
 
 
+def folded_mask(packed: bytes) -> np.ndarray:
+    """The mask on a quarter of its places, as four numbers."""
+    return np.bitwise_xor.reduce(np.frombuffer(packed, "<i8").reshape(4, -1), axis=0)
+
+
 def _common(docs: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
     """Shingles that three different texts of a sample share, sorted, and in how many. It sets the order of shingles only, so any sample is right.
 
@@ -274,7 +279,7 @@ def _common(docs: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _named_sets(docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """Rows (id, th, set, fp, n, mask, prefix) of documents (id, th, text): set names the set of n shingles, fp is the text's fingerprint.
+    """Rows (id, th, set, fp, n, m0 to m3, mask, prefix) of documents (id, th, text): set names the set of n shingles, fp is the text's fingerprint, m0 to m3 are the folded mask.
 
     prefix has the shingles that come first, rare ones before common ones: two sets as similar as
     wanted share one of them. It and the mask are null where the task has given them with an earlier row.
@@ -284,7 +289,7 @@ def _named_sets(docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for b in batches:
-            names, fps, sizes, masks, prefixes = [], [], [], [], []
+            names, fps, sizes, masks, short, prefixes = [], [], [], [], [], []
             for t in b.column(2).to_pylist():
                 h = shingle_hashes(t, shingle)
                 s = shingle_set(h)
@@ -302,13 +307,16 @@ def _named_sets(docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
                 names.append(name)
                 fps.append(majority(h))
                 sizes.append(len(s))
-                masks.append(mask(s) if new else None)
+                bits = mask(s)
+                short.append(folded_mask(bits))
+                masks.append(bits if new else None)
                 prefixes.append(s[np.lexsort((s, rank))[:most]] if new else None)
             signed = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
-            cols = [b.column(0), b.column(1), signed(names), signed(fps), pa.array(sizes, pa.int64()), pa.array(masks, pa.binary()), pa.array(prefixes, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(cols, ["id", "th", "set", "fp", "n", "mask", "prefix"])
+            short = np.array(short, np.int64).reshape(-1, 4)
+            cols = [b.column(0), b.column(1), signed(names), signed(fps), pa.array(sizes, pa.int64()), *[pa.array(short[:, k].copy()) for k in range(4)], pa.array(masks, pa.binary()), pa.array(prefixes, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(cols, ["id", "th", "set", "fp", "n", "m0", "m1", "m2", "m3", "mask", "prefix"])
 
-    return docs.mapInArrow(work, "id long, th long, set long, fp long, n long, mask binary, prefix array<long>")
+    return docs.mapInArrow(work, "id long, th long, set long, fp long, n long, m0 long, m1 long, m2 long, m3 long, mask binary, prefix array<long>")
 
 
 def _shared(rows: DataFrame) -> DataFrame:
@@ -372,13 +380,18 @@ def _shared(rows: DataFrame) -> DataFrame:
     return posts.repartition("key").sortWithinPartitions("key").mapInArrow(meet, "token long, set long, n long, pos long")
 
 
+def _merged(a: DataFrame, b: DataFrame, on: str) -> DataFrame:
+    """A join of two tables that both grow with the documents: by shuffle at any size."""
+    return a.join(b.hint("merge"), on)
+
+
 def _verified(pairs: DataFrame, rows: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """Those pairs (a, b) of sets whose Jaccard similarity is as high as wanted.
 
     The masks of two sets bound how much they differ, so most pairs end there. For the others the
     sets are made again, from the texts that have them.
     """
-    both = lambda pairs, table, c: pairs.join(table.select(F.col("set").alias("a"), F.col(c).alias("x")), "a").join(table.select(F.col("set").alias("b"), F.col(c).alias("y")), "b").select("a", "b", "x", "y")
+    both = lambda pairs, table, c: _merged(_merged(pairs, table.select(F.col("set").alias("a"), F.col(c).alias("x")), "a"), table.select(F.col("set").alias("b"), F.col(c).alias("y")), "b").select("a", "b", "x", "y")
     nodes = lambda pairs: pairs.select(F.col("a").alias("set")).union(pairs.select("b")).distinct()
     masks = rows.where("mask is not null").select("set", F.struct("n", "mask").alias("m")).join(nodes(pairs), "set", "left_semi").groupBy("set").agg(F.min("m").alias("m"))
 
@@ -438,9 +451,9 @@ def _similar(docs: DataFrame, shingle: int, similarity: float, id_col: str, text
     pair = (F.least("set", "set2").alias("a"), F.greatest("set", "set2").alias("b"))
     named2 = lambda d: d.select("token", *[F.col(c).alias(f"{c}2") for c in d.columns if c != "token"])
     ends = settle(met.groupBy("token").agg(F.min("set").alias("lo"), F.max("set").alias("hi")).where("lo < hi"), "similar-ends")
-    some = settle(met.join(ends, "token"), "similar-some")
+    some = settle(_merged(met, ends, "token"), "similar-some")
     tips = named2(some.where("set = lo or set = hi").select("token", "set", "n", "pos"))
-    tips = some.join(tips, "token").where("set <> set2").where(may).select(*pair)
+    tips = _merged(some, tips, "token").where("set <> set2").where(may).select(*pair)
     tried = settle(tips.union(same).union(near.select(F.least("x", "y"), F.greatest("x", "y"))).distinct(), "similar-tried")
     found = verify(tried)
 
@@ -448,8 +461,10 @@ def _similar(docs: DataFrame, shingle: int, similarity: float, id_col: str, text
     tagged = some.join(parts, F.col("set") == F.col("node"), "left").select("token", "set", "n", "pos", F.coalesce("component", "set").alias("group"))
     tagged = settle(tagged, "similar-tagged")
     several = settle(tagged.groupBy("token").agg(F.min("group").alias("g"), F.max("group").alias("h")).where("g < h").select("token"), "similar-several")
-    apart = settle(tagged.join(several, "token"), "similar-apart")
-    rest = apart.join(named2(apart), "token").where("group < group2").where(may).select(*pair).distinct().join(tried, ["a", "b"], "left_anti")
+    masks = rows.groupBy("set").agg(*[F.min(m).alias(m) for m in ("m0", "m1", "m2", "m3")])
+    apart = settle(_merged(_merged(tagged, several, "token"), masks, "set"), "similar-apart")
+    differ = F.expr(" + ".join(f"bit_count(m{k} ^ m{k}2)" for k in range(4)) + f" <= {(1 - similarity) / (1 + similarity)!r} * (n + n2) + 1e-6")
+    rest = _merged(apart, named2(apart), "token").where("group < group2").where(may).where(differ).select(*pair).distinct().join(tried, ["a", "b"], "left_anti")
     rest = settle(rest, "similar-rest")
     links_ = settle(found.union(verify(rest)), "similar-links")
     discard(met, ends, some, parts, tagged, several, apart)

@@ -134,6 +134,22 @@ def test_similar_threshold(spark):
     assert len({(p, got[i]) for i, p in enumerate(part)}) == len(set(part)) == len(set(got.values()))
 
 
+def test_masks_bound_the_difference():
+    """Two sets differ in at least as many members as their masks, whole or folded, in bits."""
+    rng = np.random.default_rng(3)
+    for n in (0, 1, 5, 60, 400, 3000):
+        x = rng.integers(0, 2**48, n)
+        y = np.unique(np.concatenate([x[: n * 9 // 10], rng.integers(0, 2**48, n // 8 + 1)]))
+        x = np.unique(x)
+        apart = len(np.setxor1d(x, y))
+        a, b = simhash.mask(x), simhash.mask(y)
+        whole = (int.from_bytes(a) ^ int.from_bytes(b)).bit_count()
+        short = int(np.bitwise_count((simhash.folded_mask(a) ^ simhash.folded_mask(b)).view(np.uint64)).sum())
+        assert short <= whole <= apart and (apart - whole) % 2 == 0
+        part = np.bincount(np.concatenate([x, y]).astype(np.int64) % 256, minlength=256) & 1
+        assert short == part.sum()
+
+
 def test_similar_crowded(spark):
     """A group of near copies with unlike fingerprints takes comparisons in proportion to its rows, not to their square."""
     import glob
