@@ -135,6 +135,12 @@ def _near(evidence: Column, value: Column, words: tuple, distance: int) -> Colum
     return (v > 0) & out
 
 
+def pattern_match(value: Column, pattern: str) -> Column:
+    """The part of a value that matches a pattern; where none does, that which matches it without its anchors; null without either."""
+    free = pattern.removeprefix("^").removesuffix("$")
+    return F.coalesce(F.regexp_substr(value, F.lit(pattern)), F.regexp_substr(value, F.lit(free)))
+
+
 YEAR_CLASHES = (("year_evidence_has_date_label", ("datum", "date"), 30), ("year_evidence_has_document_number_label", ("documentnummer", "document number", "nummer", "number", "reference", "referentie", "id"), 35))
 
 

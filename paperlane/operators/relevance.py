@@ -174,6 +174,26 @@ def scored(chunks: DataFrame, fields: list[Field], year: int, chunk: str = "chun
     return d.withColumn("score", total).drop("_norm", "_numbers", "_length")
 
 
+def same_line(lines: DataFrame, fields: list[Field], year: int, text: str = "t") -> DataFrame:
+    """Values that follow a field's label and a colon or dash on its line: the lines' columns, field, value, confidence and evidence_type.
+
+    A value ends where another label begins, has 60 characters and six words at most, is sound for
+    its field's kind, and holds its field's pattern.
+    """
+    bare = lambda f: "|".join(p.removeprefix("(?i)") for p in place_pattern([f.label, f.key, *terms_of(f)]))
+    next_ = "(?i)(?:" + "|".join(bare(f) for f in fields) + r")\s*[:\-]"
+    out = None
+    for f in fields:
+        after = F.regexp_extract(text, rf"(?i)(?:{bare(f)})\s*[:\-]\s*(.+)$", 1)
+        value = F.regexp_replace(F.split(after, next_)[0], r"^[ :;\-]+|[ :;\-]+$", "")
+        d = lines.withColumn("_v", value).where((F.col("_v") != "") & (F.length("_v") <= 60) & (F.size(F.split("_v", r"\s+")) <= 6))
+        enum = F.array(*map(F.lit, f.enum_values)) if f.enum_values else F.lit(None).cast("array<string>")
+        d = V.checked(d, F.lit(_kind(f)), F.col("_v"), F.col(text), F.lit(None).cast("string"), enum, year, F.lit(f.regex).cast("string"))
+        d = d.where("check_reason is null").select(*lines.columns, F.lit(f.key).alias("field"), F.col("check_normalized").alias("value"), F.lit(95).alias("confidence"), F.lit("exact_label").alias("evidence_type"))
+        out = d if out is None else out.unionByName(d)
+    return out
+
+
 def wants_neighbours(chunk: Column, matches: Column) -> Column:
     """Whether a chunk likely cuts through content: it ends inside a sentence or a table, or a label stands near an edge."""
     t = F.rtrim(F.regexp_replace(chunk, r"\s+$", ""))

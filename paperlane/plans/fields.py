@@ -58,12 +58,6 @@ def fx_evidence_invalid(spark, sf_dir):
     return d.select("doc_id", V.evidence_invalid(e).alias("invalid"))
 
 
-def fx_value_in_evidence(spark, sf_dir):
-    s = statements(spark, sf_dir)
-    spaced = V.grouped_iban(F.col("iban"))
-    return s.select("doc_id", V.in_evidence(spaced, F.lit(None).cast("string"), F.col("text")).alias("spaced"), V.in_evidence(F.lit("NL00XXXX"), F.col("iban"), F.col("text")).alias("normalized"), V.in_evidence(F.lit("--"), F.lit("n/a"), F.col("text")).alias("placeholder"))
-
-
 def fx_iban_check(spark, sf_dir):
     s = statements(spark, sf_dir)
     wrong = F.concat(F.substring("iban", 1, 17), ((F.substring("iban", 18, 1).cast("int") + 1) % 10).cast("string"))
@@ -179,7 +173,7 @@ _PAGES = "pg AS (SELECT doc_id, unnest(range(0, len(l))) AS page, unnest(l) AS t
 
 
 def fx_find_span(spark, sf_dir):
-    q = statements(spark, sf_dir).select("doc_id", F.when(F.col("doc_id") % 2 == 0, F.col("iban")).otherwise(F.lower("iban")).alias("quote"))
+    q = statements(spark, sf_dir).select("doc_id", F.get(F.array(F.col("iban"), F.lower("iban"), F.lit("nergens"), F.lit("boeking"), F.lit("IBAN")), (F.col("doc_id") % 5).cast("int")).alias("quote"))
     return C.find_span(_pages(spark, sf_dir), q).select("doc_id", "page", "start")
 
 
@@ -197,7 +191,7 @@ def fx_validate_evidence(spark, sf_dir):
 
 
 def fx_verify(spark, sf_dir):
-    v = statements(spark, sf_dir).select("doc_id", F.when(F.col("doc_id") % 3 == 0, F.lower("iban")).when(F.col("doc_id") % 3 == 1, F.col("iban")).otherwise("nergens").alias("value"))
+    v = statements(spark, sf_dir).select("doc_id", F.get(F.array(F.lower("iban"), F.col("iban"), F.lit("nergens"), F.concat(F.lit("Rekeningafschrift  "), "doc_id"), F.concat(F.lit("rekeningafschrift  "), "doc_id")), (F.col("doc_id") % 5).cast("int")).alias("value"))
     return C.verified(_pages(spark, sf_dir), v).select("doc_id", "method", "page")
 
 
@@ -225,7 +219,7 @@ def src_sniff(spark, sf_dir):
     return d.select("doc_id", F.sha2("text", 256).alias("sha256"), F.coalesce(F.try_element_at(mime, F.lower(ext)), F.lit("application/octet-stream")).alias("mime"))
 
 
-_NAMES = "fx_canonical_key fx_number_normalize fx_number_column fx_placeholder_empty fx_evidence_invalid fx_value_in_evidence fx_iban_check fx_iban_format_ui fx_date_parse fx_date_forms fx_amount_parse fx_amount_parse_ui fx_currency_detect_ui fx_field_kind fx_hard_validators fx_consistency fx_validate_value fx_candidate_validate fx_candidate_score fx_resolve fx_required_resolved fx_find_span fx_fill_quotes fx_validate_evidence fx_verify fx_all_occurrences fx_required_errors src_slug src_sniff"
+_NAMES = "fx_canonical_key fx_number_normalize fx_number_column fx_placeholder_empty fx_evidence_invalid fx_iban_check fx_iban_format_ui fx_date_parse fx_date_forms fx_amount_parse fx_amount_parse_ui fx_currency_detect_ui fx_field_kind fx_hard_validators fx_consistency fx_validate_value fx_candidate_validate fx_candidate_score fx_resolve fx_required_resolved fx_find_span fx_fill_quotes fx_validate_evidence fx_verify fx_all_occurrences fx_required_errors src_slug src_sniff"
 
 
 def queries() -> dict:
@@ -252,7 +246,6 @@ def oracle_sql() -> dict[str, str]:
         "fx_number_column": "SELECT l_orderkey, l_linenumber, l_partkey, concat(CAST(round(l_extendedprice * 100) AS BIGINT) // 100, '.50') AS number FROM lineitem",
         "fx_placeholder_empty": _values({k: k not in ("waarde", "0") for k in ph}, "empty", ph, "BOOLEAN"),
         "fx_evidence_invalid": "SELECT doc_id, CASE doc_id % 4 WHEN 1 THEN trim(substr(text, 1, 40)) = '' OR regexp_matches(lower(substr(text, 1, 40)), 'niet opgenomen|not found|niet gevonden|n/a') ELSE TRUE END AS invalid FROM documents",
-        "fx_value_in_evidence": f"{stmt} SELECT doc_id, TRUE AS spaced, TRUE AS normalized, FALSE AS placeholder FROM stmt",
         "fx_iban_check": f"{stmt} SELECT doc_id, doc_id % 3 <> 0 AS valid FROM stmt",
         "fx_iban_format_ui": f"{stmt} SELECT doc_id, {grp} AS shown FROM stmt",
         "fx_date_parse": "SELECT l_orderkey, l_linenumber, l_partkey, strftime(l_shipdate, '%Y-%m-%d') AS day FROM lineitem",
@@ -273,10 +266,10 @@ def oracle_sql() -> dict[str, str]:
         "fx_resolve": f"{_RES} SELECT doc_id, field_key, CASE WHEN score >= 100 THEN v END AS value, score, n_valid, n_rejected, rejected FROM rs",
         "fx_required_resolved": f"{_RES} SELECT doc_id, bool_and(coalesce(score >= 100, FALSE)) AS complete FROM rs GROUP BY doc_id",
         "fx_required_errors": f"{_RES} SELECT doc_id, concat('missing_required_field:', field_key) AS error FROM rs WHERE NOT coalesce(score >= 100, FALSE)",
-        "fx_find_span": f"{stmt} SELECT doc_id, 1 AS page, 6 AS start FROM stmt",
+        "fx_find_span": f"{stmt}, {_PAGES}, b AS (SELECT doc_id, min(page) AS page FROM pg WHERE starts_with(text, 'Boeking') GROUP BY doc_id) SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 1 WHEN 1 THEN 1 WHEN 3 THEN page END AS page, CASE doc_id % 5 WHEN 0 THEN 6 WHEN 1 THEN 6 WHEN 3 THEN page - page END AS start FROM stmt LEFT JOIN b USING (doc_id) WHERE doc_id % 5 <> 4",
         "fx_fill_quotes": f"{stmt}, {_PAGES} SELECT doc_id, page, substr(text, 3, 6) AS quote FROM pg",
         "fx_validate_evidence": f"{stmt}, {_PAGES}, z AS (SELECT *, doc_id % 15 AS s, doc_id % 15 + page * 4 AS e FROM pg WHERE page < 3) SELECT doc_id, page, CASE WHEN doc_id % 7 = 0 THEN 'evidence_for_null' WHEN s >= length(text) OR e > length(text) OR s >= e THEN 'invalid_span' WHEN doc_id % 2 = 1 THEN 'quote_mismatch' END AS error FROM z",
-        "fx_verify": f"{stmt} SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'case_insensitive' WHEN 1 THEN 'auto_found' END AS method, CASE WHEN doc_id % 3 < 2 THEN 1 END AS page FROM stmt",
+        "fx_verify": f"{stmt} SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'case_insensitive' WHEN 1 THEN 'auto_found' WHEN 3 THEN 'auto_found_normalized' WHEN 4 THEN 'normalized_case_insensitive' END AS method, CASE WHEN doc_id % 5 < 2 THEN 1 WHEN doc_id % 5 > 2 THEN 0 END AS page FROM stmt",
         "fx_all_occurrences": f"{stmt}, {_PAGES} SELECT doc_id, page FROM pg WHERE contains(lower(text), 'boeking') AND page <> 2",
         "src_slug": "SELECT p_partkey, regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(trim(concat(' ', p_type, '__', p_brand))), '[_\\s]+', '-', 'g'), '[^a-z0-9-]', '-', 'g'), '-+', '-', 'g'), '^-|-$', '', 'g') AS slug FROM part",
         "src_sniff": "SELECT doc_id, sha256(text) AS sha256, (['application/pdf', 'text/plain', 'image/jpeg', 'application/octet-stream'])[doc_id % 4 + 1] AS mime FROM documents",

@@ -40,19 +40,6 @@ def norm_tokens(spark, sf_dir):
     return p.select("p_partkey", F.array_join(F.filter(F.split(T.search_text(F.col("p_name")), " "), lambda w: F.length(w) >= 2), " ").alias("words"))
 
 
-def fx_label_context(spark, sf_dir):
-    s = statements(spark, sf_dir)
-    c = lambda k, l: V.label_context(F.lit(k), F.lit(l), F.col("text"))
-    return s.select("doc_id", c("x_y_z", "IBAN").alias("label"), c("boeking", "niets").alias("key"), c("x_y_z", "rekeningafschrift iban nummer").alias("far"))
-
-
-def fx_same_line(spark, sf_dir):
-    """Values that follow a label on its line, short enough to be one."""
-    s = statements(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "t"))
-    v = F.trim(F.regexp_extract("t", r"(?i)\bIBAN\s*[:-]\s*(.+)$", 1))
-    return s.select("doc_id", "line", v.alias("value")).where("value <> ''").where((F.length("value") <= 60) & (F.size(F.split("value", r"\s+")) <= 6) & V.iban_valid(F.col("value")))
-
-
 def fx_candidate_normalize(spark, sf_dir):
     """Answers in several shapes as candidate rows: a list of objects, one object, a bare value."""
     e = table(spark, sf_dir, "events")
@@ -65,16 +52,16 @@ def fx_candidate_normalize(spark, sf_dir):
 
 def fx_regex_filter(spark, sf_dir):
     """A value cut down to its pattern's match; without one it is dropped."""
-    s = statements(spark, sf_dir)
-    m = F.regexp_extract(F.concat(F.lit("nr "), F.col("iban"), F.lit(" x")), r"NL\d{2}[A-Z]{4}\d{10}", 0)
-    return s.select("doc_id", F.nullif(m, F.lit("")).alias("value"))
+    p = table(spark, sf_dir, "part")
+    value = F.when(F.col("p_partkey") % 3 == 0, F.col("p_partkey").cast("string")).when(F.col("p_partkey") % 3 == 1, F.concat(F.lit("nr "), F.col("p_partkey"), F.lit(" x"))).otherwise("geen")
+    return p.select("p_partkey", V.pattern_match(value, r"^\d+$").alias("value"))
 
 
 def fx_fix_pages(spark, sf_dir):
     """Spans moved to the page that holds their quote; quotes under eight characters stay where they are."""
     s = statements(spark, sf_dir)
     pages = s.select("doc_id", F.posexplode(F.split("text", "\n")).alias("page", "t"))
-    quotes = s.select("doc_id", F.when(F.col("doc_id") % 2 == 0, F.col("iban")).otherwise("IBAN").alias("quote"), F.lit(0).alias("old"))
+    quotes = s.select("doc_id", F.when(F.col("doc_id") % 3 == 0, F.col("iban")).when(F.col("doc_id") % 3 == 1, "IBAN").otherwise("nergens te vinden").alias("quote"), (F.col("doc_id") % 2).cast("int").alias("old"))
     j = quotes.join(pages, "doc_id").groupBy("doc_id", "quote", "old").agg(F.min(F.when(F.col("t").contains(F.col("quote")), F.col("page"))).alias("new"))
     return j.select("doc_id", F.when(F.length("quote") >= 8, F.coalesce("new", "old")).otherwise(F.col("old")).alias("page"))
 
@@ -177,7 +164,7 @@ def fx_clip(spark, sf_dir):
     return statements(spark, sf_dir).select("doc_id", Cand.clipped(F.col("text"), "boeking", 40, 60).alias("chunk"))
 
 
-_NAMES = "fx_evidence_repair fx_clip norm_text norm_tokens fx_label_context fx_same_line fx_candidate_normalize fx_regex_filter fx_fix_pages cls_rationale cls_scores_record js_schema_check js_merge js_parse_cascade fr_missing_verified snk_finalize rel_skip_crud rel_type_fields_crud src_batch st_cancel prep_skip_signature"
+_NAMES = "fx_evidence_repair fx_clip norm_text norm_tokens fx_candidate_normalize fx_regex_filter fx_fix_pages cls_rationale cls_scores_record js_schema_check js_merge js_parse_cascade fr_missing_verified snk_finalize rel_skip_crud rel_type_fields_crud src_batch st_cancel prep_skip_signature"
 
 
 def queries() -> dict:
@@ -192,11 +179,9 @@ def oracle_sql() -> dict[str, str]:
         "fx_evidence_repair": f"{stmt} SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN NULL WHEN doc_id % 2 = 0 THEN concat('IBAN: ', iban) ELSE substr(text, greatest(1, strpos(text, iban) - 10), 10 + 18 + 10) END AS evidence FROM stmt",
         "fx_clip": f"{stmt}, a AS (SELECT doc_id, text, strpos(lower(text), 'boeking') AS p FROM stmt) SELECT doc_id, CASE WHEN p = 0 THEN text ELSE substr(text, greatest(1, p - 40), least(p - 1, 40) + 60) END AS chunk FROM a",
         "norm_tokens": f"SELECT p_partkey, array_to_string(list_filter(string_split({n('p_name')}, ' '), lambda w: length(w) >= 2), ' ') AS words FROM part",
-        "fx_label_context": f"{stmt} SELECT doc_id, TRUE AS label, contains(lower(text), 'boeking') AS key, FALSE AS far FROM stmt",
-        "fx_same_line": f"{stmt} SELECT doc_id, 1 AS line, iban AS value FROM stmt",
         "fx_candidate_normalize": "SELECT event_id, props->>'$.k' AS value, CASE WHEN event_id % 3 = 0 THEN 80.0::DOUBLE ELSE 0.0 END AS confidence FROM events UNION ALL SELECT event_id, 'x', 0.0 FROM events WHERE event_id % 3 = 0",
-        "fx_regex_filter": f"{stmt} SELECT doc_id, iban AS value FROM stmt",
-        "fx_fix_pages": f"{stmt} SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 1 ELSE 0 END AS page FROM stmt",
+        "fx_regex_filter": "SELECT p_partkey, CASE WHEN p_partkey % 3 < 2 THEN CAST(p_partkey AS VARCHAR) END AS value FROM part",
+        "fx_fix_pages": f"{stmt} SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 1 ELSE (doc_id % 2)::INT END AS page FROM stmt",
         "cls_rationale": "SELECT event_id, concat_ws('; ', concat('methode ', event_type), concat('kans ', event_id % 100, '%'), CASE WHEN user_id % 2 = 0 THEN 'NB' END) AS rationale FROM events",
         "cls_scores_record": "WITH p AS (SELECT event_type, CASE WHEN event_id % 7 <> 0 THEN (event_id % 100) / 100.0::DOUBLE END AS p FROM events) SELECT CASE WHEN p IS NULL THEN 'no_result' WHEN p < 0.85 THEN 'below_threshold' WHEN event_type = 'error' THEN 'rejected' ELSE 'ok' END AS status, count(*) AS n, round(avg(p), 6) AS mean FROM p GROUP BY 1",
         "js_schema_check": "SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'type' WHEN 1 THEN 'ok' ELSE 'missing' END AS verdict FROM events",

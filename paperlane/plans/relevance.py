@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import values as V
 from ..operators import relevance as L
 from ..sources.corpus import STATEMENTS_SQL, statements, table
 from .fields import YEAR
@@ -53,11 +54,41 @@ def fx_neighbor_rule(spark, sf_dir):
     return d.select("doc_id", L.wants_neighbours(F.col("chunk"), F.col("matches")).alias("wanted"))
 
 
+def fx_label_context(spark, sf_dir):
+    """Whether evidence has its field's label, its key, or its label's words close together."""
+    l = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    n = F.col("l_partkey").cast("string")
+    far = "stuks " + "woord " * 11 + "aantal"
+    e = F.get(F.array(F.concat(F.lit("Aantal stuks: "), n), F.concat(F.lit("hoeveelheid "), n), F.concat(F.lit("Stuks in "), n, F.lit(" ("), F.lit("aantal)")), F.lit(far), F.concat(F.lit("niets "), n), F.lit("")), (F.col("l_suppkey") % 6).cast("int"))
+    return l.select("l_orderkey", "l_linenumber", "l_partkey", V.label_context(F.lit("hoeveelheid"), F.lit("Aantal stuks"), e).alias("context"))
+
+
+def fx_value_in_evidence(spark, sf_dir):
+    """Whether a value or its normal form stands in its evidence, as it is or without punctuation."""
+    l = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    n = F.col("l_partkey").cast("string")
+    kind = (F.col("l_suppkey") % 6).cast("int")
+    value = F.get(F.array(n, F.concat(F.lit("NR "), n), F.concat(n, F.lit(" stuks")), n, F.lit("n/a"), F.lit("--")), kind)
+    normal = F.when(kind == 2, n)
+    e = F.get(F.array(F.concat(F.lit("Aantal: "), n), F.concat(F.lit("zie nr-"), n), F.concat(F.lit("Aantal: "), n), F.lit("elders"), F.lit("n/a"), F.lit(None).cast("string")), kind)
+    return l.select("l_orderkey", "l_linenumber", "l_partkey", V.in_evidence(value, normal, e).alias("found"))
+
+
+LINE_FIELDS = [L.Field("aantal", "Aantal", "number"), L.Field("status", "Status", "enum", ("A", "N")), L.Field("datum", "Datum", "date"), L.Field("kenmerk", "Kenmerk", "string", (), "^[1-4]")]
+
+
+def fx_same_line(spark, sf_dir):
+    """Labels and values on the lines of orders."""
+    l = table(spark, sf_dir, "lineitem")
+    t = F.concat(F.lit("Aantal: "), F.col("l_quantity").cast("int"), F.lit(" Status : "), "l_returnflag", F.lit("; Datum - "), F.when(F.col("l_linenumber") == 1, F.lit("gisteren")).otherwise(F.date_format("l_shipdate", "yyyy-MM-dd")), F.lit(" Kenmerk: "), F.col("l_partkey"), F.when(F.col("l_suppkey") % 5 == 0, F.lit(" een twee drie vier vijf zes")).otherwise(""))
+    return L.same_line(l.select("l_orderkey", "l_linenumber", "l_partkey", t.alias("t")), LINE_FIELDS, YEAR).drop("t")
+
+
 def fx_prompt_pack(spark, sf_dir):
     return L.pack_prompt(_lines(spark, sf_dir), 150)
 
 
-_NAMES = "fx_search_terms fx_label_positions fx_near_value fx_chunk_score fx_chunk_select fx_neighbor_rule fx_prompt_pack"
+_NAMES = "fx_search_terms fx_label_positions fx_near_value fx_chunk_score fx_chunk_select fx_neighbor_rule fx_prompt_pack fx_label_context fx_value_in_evidence fx_same_line"
 
 
 def queries() -> dict:
@@ -89,5 +120,10 @@ def oracle_sql() -> dict[str, str]:
  SELECT doc_id, part, CASE kind WHEN 'head' THEN CASE WHEN near THEN 250 ELSE 150 END WHEN 'iban' THEN -20 WHEN 'booking' THEN 440 ELSE 425 END AS score, coalesce(own, 'context_neighbor') AS reason FROM x WHERE own IS NOT NULL OR beside""",
         "fx_neighbor_rule": r"""WITH d AS (SELECT doc_id, regexp_replace(text, '\s+$', '') AS t, text FROM documents WHERE text IS NOT NULL), e AS (SELECT *, length(t) AS n FROM d)
  SELECT doc_id, CASE WHEN n = 0 THEN FALSE ELSE substr(t, n, 1) NOT IN ('.', '!', '?', ':', ';') OR regexp_matches(substr(t, greatest(1, n - 239)), '(?s)(\s{2,}|\t|\|)\S*$') OR regexp_matches(substr(text, 1, 809), '(?i)\blicense\b') OR regexp_matches(substr(text, greatest(1, n - 150)), '(?is).\blicense\b') END AS wanted FROM e""",
+        "fx_label_context": "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey % 6 < 3 AS context FROM lineitem",
+        "fx_value_in_evidence": "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey % 6 < 3 AS found FROM lineitem",
+        "fx_same_line": """WITH x AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(CAST(l_quantity AS INT) AS VARCHAR) AS q, l_returnflag AS s, strftime(l_shipdate, '%Y-%m-%d') AS d, CAST(l_partkey AS VARCHAR) AS p FROM lineitem),
+ v AS (SELECT *, 'aantal' AS field, q AS value FROM x UNION ALL SELECT *, 'status', s FROM x WHERE s <> 'R' UNION ALL SELECT *, 'datum', d FROM x WHERE l_linenumber <> 1 UNION ALL SELECT *, 'kenmerk', p FROM x WHERE p SIMILAR TO '[1-4].*' AND l_suppkey % 5 <> 0)
+ SELECT l_orderkey, l_linenumber, l_partkey, field, value, 95 AS confidence, 'exact_label' AS evidence_type FROM v""",
         "fx_prompt_pack": f"{stmt}, {lines}, g AS (SELECT doc_id, list(concat('[chunk ', part, ']', chr(10), t, chr(10), chr(10)) ORDER BY part) AS l FROM ln GROUP BY doc_id) SELECT doc_id, list_reduce(list_prepend('', l), lambda a, c: CASE WHEN length(a) + length(c) <= 150 THEN a || c ELSE a END) AS prompt FROM g",
     }

@@ -16,8 +16,8 @@ def _docs(spark, sf_dir):
 
 
 def fr_unicode(spark, sf_dir):
-    """Invisible characters, put into every third text so that there are some."""
-    t = F.when(F.col("doc_id") % 3 == 0, F.concat(F.substring("text", 1, 5), F.lit("​­"), F.substr("text", F.lit(6)))).otherwise(F.col("text"))
+    """Invisible characters, put into texts by number and kind so that there are some."""
+    t = F.concat(F.substring("text", 1, 5), F.repeat(F.lit("\u200b"), (F.col("doc_id") % 3).cast("int")), F.when(F.col("doc_id") % 4 == 0, F.lit("\u00ad")).otherwise(""), F.substr("text", F.lit(6)))
     level, conf = R.doubtful_text((F.col("doc_id") % 10) / 10.0, F.lit(False))
     d = _docs(spark, sf_dir).select("doc_id", R.invisible_count(t).alias("count"), F.array_join(R.invisible_kinds(t), ",").alias("kinds"), level.alias("risk_level"), conf.alias("confidence"))
     return d.where("count > 0")
@@ -261,7 +261,7 @@ def oracle_sql() -> dict[str, str]:
     bad = [a for a in _AMOUNTS if a in ("99", "1.500")]
     soft = ", ".join(f"('{k}', '{v[0]}', {v[1]}::DOUBLE)" for k, v in _SOFT.items() if v)
     return {
-        "fr_unicode": "SELECT doc_id, 2 AS count, 'Zero-width karakters,Soft hyphen (onzichtbaar)' AS kinds, CASE WHEN doc_id % 10 < 6 THEN 'MEDIUM' ELSE 'LOW' END AS risk_level, CASE WHEN doc_id % 10 < 6 THEN 0.6::DOUBLE ELSE 0.4 END AS confidence FROM documents WHERE doc_id % 3 = 0",
+        "fr_unicode": "SELECT * FROM (SELECT doc_id, (doc_id % 3 + (doc_id % 4 = 0)::INT)::INT AS count, concat_ws(',', CASE WHEN doc_id % 3 > 0 THEN 'Zero-width karakters' END, CASE WHEN doc_id % 4 = 0 THEN 'Soft hyphen (onzichtbaar)' END) AS kinds, CASE WHEN doc_id % 10 < 6 THEN 'MEDIUM' ELSE 'LOW' END AS risk_level, CASE WHEN doc_id % 10 < 6 THEN 0.6::DOUBLE ELSE 0.4 END AS confidence FROM documents WHERE text IS NOT NULL) WHERE count > 0",
         "fr_repetition": rf"WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '{word}{{4,}}')) AS word FROM documents), c AS (SELECT doc_id, word, count(*) AS count FROM w GROUP BY ALL), t AS (SELECT *, (sum(count) OVER (PARTITION BY doc_id))::BIGINT AS total FROM c) SELECT * FROM t WHERE count > 10 AND count / total > 0.05",
         "fr_legacy_anomaly": rf"SELECT doc_id, round(CASE WHEN coalesce(length(text), 0) = 0 THEN 1.0 ELSE len(regexp_extract_all(text, '[^\x00-\x7F]')) / length(text) * 0.6::DOUBLE + CASE WHEN len(w) > 0 THEN 1 - len(list_distinct(w)) / len(w) ELSE 0 END * 0.4::DOUBLE END, 6) AS score FROM (SELECT doc_id, text, regexp_extract_all(lower(text), '{word}+') AS w FROM documents)",
         "fr_low_confidence": "SELECT event_id, 'MEDIUM' AS risk_level, round(1.0::DOUBLE - (event_id % 100) / 100.0::DOUBLE, 6) AS confidence FROM events WHERE event_id % 100 < 60",
