@@ -54,7 +54,7 @@ def fx_placeholder_empty(spark, sf_dir):
 
 def fx_evidence_invalid(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
-    e = F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit("Niet Opgenomen in "), F.col("lang"))).when(F.col("doc_id") % 4 == 1, F.substring("text", 1, 40)).when(F.col("doc_id") % 4 == 2, "  ")
+    e = F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit("Niet Opgenomen in "), F.col("lang"))).when(F.col("doc_id") % 4 == 1, F.col("text")).when(F.col("doc_id") % 4 == 2, "  ")
     return d.select("doc_id", V.evidence_invalid(e).alias("invalid"))
 
 
@@ -183,7 +183,7 @@ def fx_fill_quotes(spark, sf_dir):
 
 
 def fx_validate_evidence(spark, sf_dir):
-    p = _pages(spark, sf_dir).where("page < 3")
+    p = _pages(spark, sf_dir)
     start, end = (F.col("doc_id") % 15).cast("int"), (F.col("doc_id") % 15 + F.col("page") * 4).cast("int")
     value = F.when(F.col("doc_id") % 7 != 0, "x")
     quote = F.when(F.col("doc_id") % 2 == 0, F.substr("text", start + 1, end - start)).otherwise("verkeerd")
@@ -245,7 +245,7 @@ def oracle_sql() -> dict[str, str]:
         "fx_number_normalize": _values(num, "number", _NUM),
         "fx_number_column": "SELECT l_orderkey, l_linenumber, l_partkey, concat(CAST(round(l_extendedprice * 100) AS BIGINT) // 100, '.50') AS number FROM lineitem",
         "fx_placeholder_empty": _values({k: k not in ("waarde", "0") for k in ph}, "empty", ph, "BOOLEAN"),
-        "fx_evidence_invalid": "SELECT doc_id, CASE doc_id % 4 WHEN 1 THEN trim(substr(text, 1, 40)) = '' OR regexp_matches(lower(substr(text, 1, 40)), 'niet opgenomen|not found|niet gevonden|n/a') ELSE TRUE END AS invalid FROM documents",
+        "fx_evidence_invalid": "SELECT doc_id, CASE doc_id % 4 WHEN 1 THEN text IS NULL OR trim(text) = '' OR regexp_matches(lower(text), 'niet opgenomen|not found|niet gevonden|n/a') ELSE TRUE END AS invalid FROM documents",
         "fx_iban_check": f"{stmt} SELECT doc_id, doc_id % 3 <> 0 AS valid FROM stmt",
         "fx_iban_format_ui": f"{stmt} SELECT doc_id, {grp} AS shown FROM stmt",
         "fx_date_parse": "SELECT l_orderkey, l_linenumber, l_partkey, strftime(l_shipdate, '%Y-%m-%d') AS day FROM lineitem",
@@ -268,7 +268,7 @@ def oracle_sql() -> dict[str, str]:
         "fx_required_errors": f"{_RES} SELECT doc_id, concat('missing_required_field:', field_key) AS error FROM rs WHERE NOT coalesce(score >= 100, FALSE)",
         "fx_find_span": f"{stmt}, {_PAGES}, b AS (SELECT doc_id, min(page) AS page FROM pg WHERE starts_with(text, 'Boeking') GROUP BY doc_id) SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 1 WHEN 1 THEN 1 WHEN 3 THEN page END AS page, CASE doc_id % 5 WHEN 0 THEN 6 WHEN 1 THEN 6 WHEN 3 THEN page - page END AS start FROM stmt LEFT JOIN b USING (doc_id) WHERE doc_id % 5 <> 4",
         "fx_fill_quotes": f"{stmt}, {_PAGES} SELECT doc_id, page, substr(text, 3, 6) AS quote FROM pg",
-        "fx_validate_evidence": f"{stmt}, {_PAGES}, z AS (SELECT *, doc_id % 15 AS s, doc_id % 15 + page * 4 AS e FROM pg WHERE page < 3) SELECT doc_id, page, CASE WHEN doc_id % 7 = 0 THEN 'evidence_for_null' WHEN s >= length(text) OR e > length(text) OR s >= e THEN 'invalid_span' WHEN doc_id % 2 = 1 THEN 'quote_mismatch' END AS error FROM z",
+        "fx_validate_evidence": f"{stmt}, {_PAGES}, z AS (SELECT *, doc_id % 15 AS s, doc_id % 15 + page * 4 AS e FROM pg) SELECT doc_id, page, CASE WHEN doc_id % 7 = 0 THEN 'evidence_for_null' WHEN s >= length(text) OR e > length(text) OR s >= e THEN 'invalid_span' WHEN doc_id % 2 = 1 THEN 'quote_mismatch' END AS error FROM z",
         "fx_verify": f"{stmt} SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'case_insensitive' WHEN 1 THEN 'auto_found' WHEN 3 THEN 'auto_found_normalized' WHEN 4 THEN 'normalized_case_insensitive' END AS method, CASE WHEN doc_id % 5 < 2 THEN 1 WHEN doc_id % 5 > 2 THEN 0 END AS page FROM stmt",
         "fx_all_occurrences": f"{stmt}, {_PAGES} SELECT doc_id, page FROM pg WHERE contains(lower(text), 'boeking') AND page <> 2",
         "src_slug": "SELECT p_partkey, regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(trim(concat(' ', p_type, '__', p_brand))), '[_\\s]+', '-', 'g'), '[^a-z0-9-]', '-', 'g'), '-+', '-', 'g'), '^-|-$', '', 'g') AS slug FROM part",
