@@ -193,7 +193,8 @@ def ui_signal_split(spark, sf_dir):
     from .texts import _signals
 
     s = _signals(spark, sf_dir)
-    return s.select("doc_id", F.array_join(F.array_sort(F.map_keys(F.map_filter("signals", lambda k, v: v > 0))), ",").alias("matched"))
+    half = lambda keep: F.array_join(F.array_sort(F.map_keys(F.map_filter("signals", lambda k, v: keep(v)))), ",")
+    return s.select("doc_id", half(lambda v: v > 0).alias("matched"), half(lambda v: v <= 0).alias("other"))
 
 
 _NAMES = "prep_sample prep_skip_marker prep_skip_training chunk_split chunk_pages fx_path_split table_like words_within_window norm_search llm_tokens llm_safe_max llm_budget_vllm llm_roles js_null_strings js_repair js_extract_objects st_sse st_progress st_queue st_job st_reprocess snk_webhook src_dispatch src_sanitize_filename src_train_dir src_combine_pages src_artifact_guard src_image_ocr ui_fields_view ui_evidence_by_page ui_signal_split"
@@ -210,7 +211,17 @@ def oracle_sql() -> dict[str, str]:
     # One step: the end after a start s, by the last break among the 199 characters before s + size.
     end = lambda s, size: f"CASE WHEN {s} + {size} < length(text) THEN CASE WHEN regexp_matches(substr(text, {s} + {size} - 198, 199), '[\\n. ]') THEN {s} + {size} - length(regexp_extract(substr(text, {s} + {size} - 198, 199), '[^\\n. ]*$')) ELSE {s} + {size} END ELSE {s} + {size} END"
     chunk = lambda size, over, src: f"WITH RECURSIVE {src}, ch AS (SELECT doc_id, text, 0 AS part, 0 AS s, CASE WHEN length(text) <= {size} THEN length(text) ELSE {end('0', size)} END AS e FROM src UNION ALL SELECT doc_id, text, part + 1, e - {over}, {end(f'(e - {over})', size)} FROM ch WHERE length(text) > {size} AND e - {over} < length(text))"
+    from .texts import oracle_sql as text_sql
+
+    signals = text_sql()["sig_dispatch"]
     return {
+        "ui_signal_split": f"SELECT doc_id, coalesce(string_agg(key, ',' ORDER BY key) FILTER (value > 0), '') AS matched, coalesce(string_agg(key, ',' ORDER BY key) FILTER (value <= 0), '') AS other FROM ({signals}) GROUP BY doc_id",
+        "snk_webhook": """SELECT o_orderkey, concat('{"document_id":', o_orderkey, ',"status":"', CASE WHEN o_orderstatus = 'F' THEN 'done' ELSE 'error' END, '","doc_type":"', o_orderpriority, '","confidence":', CAST(round((o_orderkey % 7) / 7.0::DOUBLE, 4) AS VARCHAR), '}') AS payload FROM orders""",
+        "llm_roles": """WITH g AS (SELECT conv_id, list({'role': role, 'text': text} ORDER BY turn, role, text) AS m FROM conversations GROUP BY conv_id),
+ h AS (SELECT *, coalesce(list_position(list_transform(m, lambda x: x.role <> 'system'), TRUE), 0) AS o FROM g),
+ k AS (SELECT conv_id, array_to_string(list_transform(list_filter(m, lambda x, i: x.role = 'system' AND (o = 0 OR i < o)), lambda x: x.text), chr(10) || chr(10)) AS head, list_filter(m, lambda x: x.role <> 'system') AS rest FROM h),
+ r AS (SELECT conv_id, CASE WHEN coalesce(head, '') = '' THEN rest WHEN len(rest) = 0 THEN [{'role': 'user', 'text': head}] WHEN rest[1].role = 'user' THEN list_concat([{'role': 'user', 'text': concat_ws(chr(10) || chr(10), head, rest[1].text)}], rest[2:]) ELSE list_concat([{'role': 'user', 'text': head}], rest) END AS m FROM k)
+ SELECT conv_id, array_to_string(list_transform(m, lambda x: x.role), ',') AS roles, md5(array_to_string(list_transform(m, lambda x: x.text), '|')) AS md5 FROM r""",
         "prep_sample": f"{stmt}, o AS (SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS t FROM stmt), {cut.format('t', 'o')}, q AS (SELECT doc_id, CASE WHEN k > 0 THEN trim(substr(t, 1, k - 1)) ELSE t END AS t FROM mp) SELECT doc_id, CASE WHEN length(t) > 300 THEN substr(t, 1, 300) WHEN length(t) >= 299 THEN t ELSE concat(t, chr(10)) END AS sample FROM q",
         "prep_skip_marker": f"{stmt}, {cut.format('text', 'stmt')} SELECT doc_id, CASE WHEN k = 0 THEN NULL WHEN k = a THEN 'part 5' ELSE 'part \\d*7\\b' END AS marker, CASE WHEN k > 0 THEN k - 1 END AS position FROM mp",
         "prep_skip_training": f"{stmt}, {cut.format('text', 'stmt')} SELECT doc_id, length(CASE WHEN a > 0 THEN regexp_replace(substr(text, 1, a - 1), '\\s+$', '') WHEN b > 0 THEN regexp_replace(substr(text, 1, b - 1), '\\s+$', '') ELSE text END) AS n FROM mp",

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 import unicodedata
 
 import pandas as pd
@@ -144,12 +146,13 @@ def st_cancel(spark, sf_dir):
     return o.where("o_orderstatus = 'P' and o_orderkey % 2 = 0").select("o_orderkey", F.lit("error").alias("status"), F.lit("cancelled").alias("error"))
 
 
+def _marks() -> str:
+    return json.dumps(sorted([list(m) for m in MARKERS]))
+
+
 def prep_skip_signature(spark, sf_dir):
     """The signature of the markers under which cached texts were cut, kept with each file's hash."""
-    import hashlib
-    import json
-
-    sign = hashlib.sha256(json.dumps(sorted([list(m) for m in MARKERS])).encode()).hexdigest()[:8]
+    sign = hashlib.sha256(_marks().encode()).hexdigest()[:8]
     return table(spark, sf_dir, "documents").select("doc_id", F.concat_ws(":", F.sha2("text", 256), F.lit(sign)).alias("cache_key"))
 
 
@@ -176,6 +179,7 @@ def oracle_sql() -> dict[str, str]:
     n = lambda x: f"trim(regexp_replace(lower({x}), '[^a-z0-9]+', ' ', 'g'))"
     bands = "CASE WHEN risk >= 70 THEN 'CRITICAL' WHEN risk >= 50 THEN 'HIGH' WHEN risk >= 25 THEN 'MEDIUM' ELSE 'LOW' END"
     return {
+        "prep_skip_signature": f"SELECT doc_id, concat_ws(':', sha256(text), substr(sha256('{_marks()}'), 1, 8)) AS cache_key FROM documents",
         "fx_evidence_repair": f"{stmt} SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN NULL WHEN doc_id % 2 = 0 THEN concat('IBAN: ', iban) ELSE substr(text, greatest(1, strpos(text, iban) - 10), 10 + 18 + 10) END AS evidence FROM stmt",
         "fx_clip": f"{stmt}, a AS (SELECT doc_id, text, strpos(lower(text), 'boeking') AS p FROM stmt) SELECT doc_id, CASE WHEN p = 0 THEN text ELSE substr(text, greatest(1, p - 40), least(p - 1, 40) + 60) END AS chunk FROM a",
         "norm_tokens": f"SELECT p_partkey, array_to_string(list_filter(string_split({n('p_name')}, ' '), lambda w: length(w) >= 2), ' ') AS words FROM part",
