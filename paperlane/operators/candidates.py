@@ -109,10 +109,25 @@ def latest_by_turn(rows: DataFrame, keys: list[str], order: list, n: int) -> Dat
     return rows.withColumn("_t", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("_t") <= n).drop("_t")
 
 
-def repaired_evidence(value: Column, evidence: Column, chunk: Column, around: int = 300) -> Column:
-    """The evidence, or, where it lacks the value, what surrounds the value in the chunk; null if it isn't there either."""
-    at = F.instr(chunk, value)
-    return F.when(V.in_evidence(value, value, evidence), evidence).when(at > 0, F.substr(chunk, F.greatest(F.lit(1), at - around), F.least(at - 1, F.lit(around)) + F.length(value) + around))
+def repaired_evidence(value: Column, normalized: Column, evidence: Column, chunk: Column, around: int = 300) -> Column:
+    """The evidence, or, where it lacks the value, what surrounds the value (or its normal form) in the chunk; as it was if it isn't there either.
+
+    Six lines before to two after the value's line, if there are two with text and those before have
+    letters, as in tables with a header; else the characters around it.
+    """
+    place = lambda v: F.when(V.is_empty(v), 0).otherwise(F.instr(F.lower(chunk), F.lower(F.trim(v))))
+    at = F.when(place(value) > 0, F.struct(place(value).alias("at"), F.length(F.trim(value)).alias("n"))).when(place(normalized) > 0, F.struct(place(normalized).alias("at"), F.length(F.trim(normalized)).alias("n")))
+
+    def around_it(x: Column) -> Column:
+        row = F.size(F.split(F.substr(chunk, F.lit(1), x["at"] - 1), "\n")) - 1
+        first = F.greatest(F.lit(0), row - 6)
+        lines = F.filter(F.transform(F.slice(F.split(chunk, "\n"), first + 1, row + 3 - first), lambda t: F.trim(t)), lambda t: t != "")
+        header = F.exists(F.slice(lines, 1, F.greatest(F.lit(1), row - first)), lambda t: t.rlike("[A-Za-zÀ-ÿ]"))
+        lo = F.greatest(F.lit(1), x["at"] - around)
+        return F.when(header & (F.size(lines) >= 2), F.array_join(lines, "\n")).otherwise(F.trim(F.substr(chunk, lo, x["at"] + x["n"] + around - lo)))
+
+    found = F.transform(F.array(at), lambda x: F.when(x.isNotNull(), around_it(x)))[0]
+    return F.when(V.in_evidence(value, normalized, evidence), evidence).otherwise(F.coalesce(found, evidence))
 
 
 def clipped(chunk: Column, label: str, before: int = 1500, after: int = 800) -> Column:

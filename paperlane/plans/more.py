@@ -157,10 +157,14 @@ def prep_skip_signature(spark, sf_dir):
 
 
 def fx_evidence_repair(spark, sf_dir):
+    """Evidence that lacks its value repaired from lines of a table, from one long line, by the normal form, or not at all."""
     s = statements(spark, sf_dir)
     e = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("IBAN: "), "iban")).otherwise("geen")
-    value = F.when(F.col("doc_id") % 5 == 0, F.lit("NL00NIET")).otherwise(F.col("iban"))
-    return s.select("doc_id", Cand.repaired_evidence(value, e, F.col("text"), 10).alias("evidence"))
+    kind = F.col("doc_id") % 5
+    value = F.when(kind == 0, "NL00NIET").when(kind == 1, F.lower("iban")).when(kind == 2, "--").otherwise(F.col("iban"))
+    normal = F.when(kind != 0, F.col("iban"))
+    chunk = F.when(kind == 3, F.concat(F.repeat(F.lit("x "), 40), "iban", F.repeat(F.lit(" y"), 40))).otherwise(F.col("text"))
+    return s.select("doc_id", Cand.repaired_evidence(value, normal, e, chunk, 30).alias("evidence"))
 
 
 def fx_clip(spark, sf_dir):
@@ -180,7 +184,7 @@ def oracle_sql() -> dict[str, str]:
     bands = "CASE WHEN risk >= 70 THEN 'CRITICAL' WHEN risk >= 50 THEN 'HIGH' WHEN risk >= 25 THEN 'MEDIUM' ELSE 'LOW' END"
     return {
         "prep_skip_signature": f"SELECT doc_id, concat_ws(':', sha256(text), substr(sha256('{_marks()}'), 1, 8)) AS cache_key FROM documents",
-        "fx_evidence_repair": f"{stmt} SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN NULL WHEN doc_id % 2 = 0 THEN concat('IBAN: ', iban) ELSE substr(text, greatest(1, strpos(text, iban) - 10), 10 + 18 + 10) END AS evidence FROM stmt",
+        "fx_evidence_repair": f"{stmt} SELECT doc_id, CASE WHEN doc_id % 2 = 0 AND doc_id % 5 <> 0 THEN concat('IBAN: ', iban) WHEN doc_id % 5 = 0 THEN CASE WHEN doc_id % 2 = 0 THEN concat('IBAN: ', iban) ELSE 'geen' END WHEN doc_id % 5 = 3 THEN concat(repeat('x ', 15), iban, repeat(' y', 15)) ELSE array_to_string(string_split(text, chr(10))[1:4], chr(10)) END AS evidence FROM stmt",
         "fx_clip": f"{stmt}, a AS (SELECT doc_id, text, strpos(lower(text), 'boeking') AS p FROM stmt) SELECT doc_id, CASE WHEN p = 0 THEN text ELSE substr(text, greatest(1, p - 40), least(p - 1, 40) + 60) END AS chunk FROM a",
         "norm_tokens": f"SELECT p_partkey, array_to_string(list_filter(string_split({n('p_name')}, ' '), lambda w: length(w) >= 2), ' ') AS words FROM part",
         "fx_candidate_normalize": "SELECT event_id, props->>'$.k' AS value, CASE WHEN event_id % 3 = 0 THEN 80.0::DOUBLE ELSE 0.0 END AS confidence FROM events UNION ALL SELECT event_id, 'x', 0.0 FROM events WHERE event_id % 3 = 0",
