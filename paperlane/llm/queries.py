@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, counts, fixity, html, lattice, mixing, quality, rules, simhash, substring
+from . import bpe, counts, fixity, html, lattice, mixing, periodic, quality, rules, sharding, simhash, substring, variants
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -65,6 +65,20 @@ def op10_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fixity.audit_pages(_table(spark, sf_dir, "pages"))
 
 
+def op11_label_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = sharding.assign(_table(spark, sf_dir, "documents"), shards=24)
+    return d.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    columns = ("n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256")
+    return periodic.find_runs(_table(spark, sf_dir, "documents"), columns, edit=periodic.with_periodic_tail)
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.group_variants(variants.count_words(_table(spark, sf_dir, "documents"), lose=199))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_substring_dedup": op1_substring_dedup,
@@ -77,6 +91,9 @@ def queries() -> dict[str, Query]:
         "op8_html_extraction": op8_html_extraction,
         "op9_quality_classifier": op9_quality_classifier,
         "op10_warc_fixity": op10_warc_fixity,
+        "op11_label_sharding": op11_label_sharding,
+        "op12_periodic_runs": op12_periodic_runs,
+        "op13_spelling_variants": op13_spelling_variants,
     }
 
 

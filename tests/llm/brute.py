@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import hashlib
+import re
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -74,3 +76,78 @@ def cosine(rows: list[tuple], threshold: float = 0.95) -> list[tuple]:
         least[p].append(i)
     n = Counter(x for pair in links for x in pair)
     return [(i, n[k], min((x for x in least[part[k]] if x is not None), default=None)) for k, (i, _) in enumerate(rows)]
+
+
+def periodic(rows: list[tuple], least: int = 12) -> list[tuple]:
+    """rows (id, text) -> the columns of op12: every period of every stretch is tried."""
+    out = []
+    for i, t in rows:
+        w = (t or "").encode().split()
+        n = len(w)
+        h = zlib.crc32(str(i).encode()) if i is not None else 1
+        if h % 10 == 0 and n:
+            g = h // 10
+            a = g % n
+            p = 1 + (n - a) // (3 + g % 8)
+            w = [w[k] if k < a else w[a + (k - a) % p] for k in range(n)]
+        runs = []
+        for q in range(1, n // 2 + 1):
+            k = 0
+            while k < n - q:
+                s = k
+                while k < n - q and w[k] == w[k + q]:
+                    k += 1
+                length = k - s + q
+                if k > s and length >= max(least, 2 * q) and not any(w[s : s + length - p] == w[s + p : s + length] for p in range(1, q)):
+                    runs.append((s, length, q))
+                k += k == s
+        runs.sort(key=lambda r: (r[0], r[2]))
+        gone = {k for s, length, q in runs for k in range(s + q, s + length)}
+        top = min(runs, key=lambda r: (-r[1], r[0], r[2]), default=(None,) * 3)
+        sha = lambda b: hashlib.sha256(b).hexdigest()
+        listed = "".join(f"{s},{length},{q}\n" for s, length, q in runs).encode()
+        out.append((i, len(runs), *top, None if not runs else 1000 * top[1] // top[2], sha(listed), sha(b" ".join(x for k, x in enumerate(w) if k not in gone))))
+    return out
+
+
+def one_edit(a: str, b: str) -> bool:
+    if len(a) > len(b):
+        a, b = b, a
+    if len(a) == len(b):
+        return sum(x != y for x, y in zip(a, b, strict=True)) == 1
+    return len(b) == len(a) + 1 and any(b[:k] + b[k + 1 :] == a for k in range(len(b)))
+
+
+def variants(rows: list[tuple], shortest: int = 6, least: int = 5, lose: int = 199, times: int = 5) -> list[tuple]:
+    """rows (id, text) -> (word, form, root, n, n_near, form_n)."""
+    n: Counter = Counter()
+    low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    for i, t in rows:
+        for w in re.findall("[A-Za-z\u00C0-\u00FF]+", t or ""):
+            w = w.translate(low)
+            h = zlib.crc32(f"{i}:{w}".encode())
+            if i is not None and h % lose == 0:
+                k = h % len(w)
+                w = w[:k] + w[k + 1 :]
+            n[w] += 1
+    n = Counter({w: k for w, k in n.items() if len(w) >= shortest and k >= least})
+    return forms(n, times)
+
+
+def forms(n: Counter, times: int = 5) -> list[tuple]:
+    """Counted words -> (word, form, root, n, n_near, form_n)."""
+    by_size = defaultdict(list)
+    for w in n:
+        by_size[len(w)].append(w)
+    near = {w: [v for k in (len(w) - 1, len(w), len(w) + 1) for v in by_size[k] if one_edit(w, v)] for w in n}
+    form = {}
+    for w, found in near.items():
+        best = min(found, key=lambda v: (-n[v], v), default=None)
+        form[w] = best if best and n[best] >= times * n[w] else None
+    out = []
+    for w in n:
+        root = w
+        while form[root]:
+            root = form[root]
+        out.append((w, form[w], root, n[w], len(near[w]), n[form[w]] if form[w] else None))
+    return out
