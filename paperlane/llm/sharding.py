@@ -1,16 +1,16 @@
 """Sharding by balanced label propagation, with DataFrame operations only.
 
 Documents of equal text are linked: through their group, as a star, never pair by pair. Each starts
-in the shard that its id hashes to. In each round the members of a group vote, the shard with most of
-them that still has room is joined to the members elsewhere, and these ask to move there. What a shard
-may take is its quota, the room it has left: requests are added up in a hashed order and granted up to
-it, the last one in part. As members of a group in one shard are alike, a row stands for all of them:
-(group, shard, number). Rounds end when nothing moves. A group larger than a shard fills one after
-another; a cut group has links between shards, and few groups are cut otherwise.
+in the shard that its id hashes to. In each round the members of a group vote for a shard, and those
+elsewhere ask to move to the shard with most of them. What a shard may take is its quota, the room it
+has left: requests are added up in a hashed order and granted up to it; what is granted is joined to
+the members, which take the shard's label. As members of a group in one shard are alike, a row stands
+for all of them: (group, shard, number). Rounds end when nothing moves. A group larger than a shard
+fills one after another; others stay whole.
 
 Then sizes are made even. Shards above the mean give up what lies beyond it, which goes to those below
-it; documents without links fill up what is left, longer ones first, so that the sizes differ by about
-one short document.
+it, so that at most two groups a shard are cut; documents without links fill up what is left, longer
+ones first, so that the sizes differ by about one short document.
 
 Orders are exact but never sorted in one task: a hashed order is cut into cells, the cells' sums are
 added up, and only cells are sorted. Of all this the driver sees a number for each shard.
@@ -62,23 +62,36 @@ def _merged(rows: DataFrame) -> DataFrame:
 
 
 def propagate(state: DataFrame, shards: int, quota: int, cells: int, rounds: int = 24) -> DataFrame:
-    """Moves members of groups, rows (grp, shard, size, n), to where most of their group are, as far as shards of `quota` bytes have room."""
+    """Moves members of groups, rows (grp, shard, size, n), to where most of their group are, as far as shards of `quota` bytes have room.
+
+    A group asks for the shard of most members among those with room for all the others, or for the
+    emptiest one; it moves as a whole or not at all. One too large for any shard asks for the shard
+    of most members that has any room, for those in shards of fewer, and takes what it gets.
+    """
     for _ in range(rounds):
         room = [quota - x for x in _loads(state, shards)]
         vote = F.struct("n", F.xxhash64("grp", "shard").alias("tie"), "shard")
-        best = state.where(_of_shard(room, F.col("shard")) >= F.col("size")).groupBy("grp").agg(F.max(vote).alias("best"))
-        asks = state.join(best, "grp").where(vote < F.col("best"))
-        asks = asks.select("grp", "size", "shard", "n", F.col("best.shard").alias("goal"), F.xxhash64("grp", "shard").alias("turn"))
-        asks = settle(asks, "shard-asks")
-        granted = F.floor((_of_shard(room, F.col("goal")) - F.col("before")) / F.col("size"))
-        moves = running(asks, ["goal"], F.col("n") * F.col("size"), cells).withColumn("moved", F.least("n", F.greatest(granted, F.lit(0))).cast("long"))
-        moves = settle(moves.where("moved > 0").select("grp", "size", "shard", "goal", "moved"), "shard-moves")
+        groups = state.groupBy("grp").agg(F.max("size").alias("size"), F.sum("n").alias("all"), F.collect_list(vote).alias("votes"))
+        emptiest = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("tie"), F.lit(room.index(max(room))).alias("shard"))
+        groups = groups.withColumns({"large": F.col("all") * F.col("size") > quota, "votes": F.array_append("votes", emptiest)})
+        needed = lambda v: F.when(F.col("large"), F.lit(1)).otherwise(F.col("all") - v["n"]) * F.col("size")
+        groups = groups.withColumn("best", F.array_max(F.filter("votes", lambda v: _of_shard(room, v["shard"]) >= needed(v))))
+        leaving = F.filter("votes", lambda v: F.when(F.col("large"), v < F.col("best")).otherwise(v["shard"] != F.col("best.shard")))
+        asks = groups.select("grp", "size", "large", "best", F.col("best.shard").alias("goal"), F.xxhash64("grp").alias("turn"), F.aggregate(leaving, F.lit(0).cast("long"), lambda a, v: a + v["n"]).alias("wanted"))
+        asks = settle(asks.where("best is not null and wanted > 0"), "shard-asks")
+        left = _of_shard(room, F.col("goal")) - F.col("before")
+        granted = F.when(left >= F.col("wanted") * F.col("size"), F.col("wanted")).when(F.col("large"), F.greatest(F.floor(left / F.col("size")), F.lit(0)))
+        asks = running(asks, ["goal"], F.col("wanted") * F.col("size"), cells).withColumn("granted", granted.cast("long")).where("granted > 0")
+        moves = state.join(asks.select("grp", "large", "best", "goal", "granted"), "grp").where((F.col("shard") != F.col("goal")) & (~F.col("large") | (vote < F.col("best"))))
+        earlier = F.coalesce(F.sum("n").over(Window.partitionBy("grp").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        moves = moves.withColumn("moved", F.least("n", F.greatest(F.col("granted") - earlier, F.lit(0)))).where("moved > 0")
+        moves = settle(moves.select("grp", "size", "shard", "goal", "moved"), "shard-moves")
         if moves.isEmpty():
             return state
         out = moves.select("grp", "shard", "size", (-F.col("moved")).alias("n"))
         into = moves.select("grp", F.col("goal").alias("shard"), "size", F.col("moved").alias("n"))
         new = settle(_merged(state.select("grp", "shard", "size", "n").unionByName(out).unionByName(into)), "shard-state")
-        discard(state, asks, moves)
+        discard(state, moves)
         state = new
     return state
 

@@ -173,7 +173,7 @@ def test_shards_of_copies_only(spark):
     where = defaultdict(set)
     for r in got:
         where[r.text_crc32].add(r.shard)
-    assert sum(len(s) - 1 for s in where.values()) <= 12
+    assert sum(len(s) - 1 for s in where.values()) <= 2 * 8
 
 
 def test_op11(spark):
