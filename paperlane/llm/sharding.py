@@ -21,7 +21,7 @@ share their place in the order and repeated rows are linked. An empty table give
 
 from __future__ import annotations
 
-import math
+import itertools
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -65,17 +65,18 @@ def propagate(state: DataFrame, shards: int, quota: int, cells: int, rounds: int
     """Moves members of groups, rows (grp, shard, size, n), to where most of their group are, as far as shards of `quota` bytes have room.
 
     A group asks for the shard of most members among those with room for all the others, or for the
-    emptiest one; it moves as a whole or not at all. One too large for any shard asks for the shard
-    of most members that has any room, for those in shards of fewer, and takes what it gets.
+    emptiest one; it moves as a whole or not at all. One too large for these asks for the shard of
+    most members that has any room, for those in shards of fewer, and takes what it gets.
     """
     for _ in range(rounds):
         room = [quota - x for x in _loads(state, shards)]
         vote = F.struct("n", F.xxhash64("grp", "shard").alias("tie"), "shard")
         groups = state.groupBy("grp").agg(F.max("size").alias("size"), F.sum("n").alias("all"), F.collect_list(vote).alias("votes"))
         emptiest = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("tie"), F.lit(room.index(max(room))).alias("shard"))
-        groups = groups.withColumns({"large": F.col("all") * F.col("size") > quota, "votes": F.array_append("votes", emptiest)})
-        needed = lambda v: F.when(F.col("large"), F.lit(1)).otherwise(F.col("all") - v["n"]) * F.col("size")
-        groups = groups.withColumn("best", F.array_max(F.filter("votes", lambda v: _of_shard(room, v["shard"]) >= needed(v))))
+        votes = F.array_append("votes", emptiest)
+        with_room = lambda docs: F.array_max(F.filter(votes, lambda v: _of_shard(room, v["shard"]) >= docs(v) * F.col("size")))
+        groups = groups.withColumn("best", with_room(lambda v: F.col("all") - v["n"]))
+        groups = groups.withColumns({"large": F.col("best").isNull(), "best": F.coalesce("best", with_room(lambda v: F.lit(1)))})
         leaving = F.filter("votes", lambda v: F.when(F.col("large"), v < F.col("best")).otherwise(v["shard"] != F.col("best.shard")))
         asks = groups.select("grp", "size", "large", "best", F.col("best.shard").alias("goal"), F.xxhash64("grp").alias("turn"), F.aggregate(leaving, F.lit(0).cast("long"), lambda a, v: a + v["n"]).alias("wanted"))
         asks = settle(asks.where("best is not null and wanted > 0"), "shard-asks")
@@ -96,6 +97,13 @@ def propagate(state: DataFrame, shards: int, quota: int, cells: int, rounds: int
     return state
 
 
+def _ends(room: list[float], total: int) -> list[float]:
+    """Where each shard's part of `total` bytes ends, in proportion to its room; without the last."""
+    room = [max(0.0, x) for x in room]
+    scale = total / sum(room) if sum(room) > 0 else 0.0
+    return [x * scale for x in itertools.accumulate(room)][:-1]
+
+
 def even_out(state: DataFrame, shards: int, mean: float, cells: int) -> DataFrame:
     """Takes from shards above the mean what lies beyond it, whole groups but for the last, and gives it to those below."""
     load = _loads(state, shards)
@@ -105,14 +113,10 @@ def even_out(state: DataFrame, shards: int, mean: float, cells: int) -> DataFram
     kept = F.least("n", F.greatest(F.floor((F.lit(mean) - F.col("before")) / F.col("size")), F.lit(0)))
     over = running(over, ["shard"], F.col("n") * F.col("size"), cells).withColumn("n", (F.col("n") - kept).cast("long")).where("n > 0").drop("before")
     over = settle(over, "shard-over")
-    ends, upto = [], 0.0
-    for x in load:
-        upto += max(0.0, mean - x)
-        ends.append(upto)
-    ends[-1] = math.inf
+    ends = _ends([mean - x for x in load], over.agg(F.sum(F.col("n") * F.col("size"))).first()[0] or 0)
     # How many of a row's documents have their middle before an end; the difference of two ends is a shard's part.
     first = lambda end: F.least(F.col("n"), F.greatest(F.lit(0), F.ceil((F.lit(end) - F.col("before")) / F.col("size") - 0.5))).cast("long")
-    upto_end = [first(e) if e < math.inf else F.col("n") for e in ends]
+    upto_end = [*map(first, ends), F.col("n")]
     parts = [F.struct(F.lit(s).alias("shard"), (upto_end[s] - (upto_end[s - 1] if s else F.lit(0))).alias("n")) for s in range(shards)]
     given = running(over, [], F.col("n") * F.col("size"), cells).select("grp", "size", F.explode(F.filter(F.array(*parts), lambda p: p["n"] > 0)).alias("p"))
     given = given.select("grp", "p.shard", "size", "p.n")
@@ -123,14 +127,9 @@ def even_out(state: DataFrame, shards: int, mean: float, cells: int) -> DataFram
 def _fill(rows: DataFrame, room: list[float], cells: int) -> DataFrame:
     """Adds `shard` to a table of documents (size, turn, ...), each shard getting bytes in proportion to its room."""
     total = rows.agg(F.sum("size")).first()[0] or 0
-    room = [max(0.0, x) for x in room]
-    scale = total / sum(room) if sum(room) > 0 else 0.0
-    ends, upto = [], 0.0
-    for x in room[:-1]:
-        upto += x * scale
-        ends.append(upto)
+    ends = _ends(room, total)
     middle = F.col("before") + F.col("size") / 2
-    shard = F.size(F.filter(F.array(*[F.lit(e) for e in ends]), lambda e: e <= middle)) if scale and ends else F.lit(0)
+    shard = F.size(F.filter(F.array(*[F.lit(e) for e in ends]), lambda e: e <= middle)) if ends else F.lit(0)
     return running(rows, [], F.col("size"), cells).withColumn("shard", shard).drop("before")
 
 
