@@ -60,16 +60,57 @@ def closed(text: str) -> str:
     return _COMMA.sub("", re.sub(r",\s*$", "", body) + "".join(reversed(stack)))
 
 
-def merge(found: list[dict]) -> dict:
-    """Several answers as one: the first value that is not null, evidence lists joined."""
-    data, evidence = {}, {}
+def loose(text: str):
+    """A JSON value, trailing commas forgiven; None if it is none."""
+    for t in (text, _COMMA.sub("", text)):
+        try:
+            return json.loads(t)
+        except ValueError:
+            continue
+    return None
+
+
+def all_objects(text: str) -> list[dict]:
+    """The objects of an answer that can be read, one after another; what is left open at the end is tried as it stands."""
+    found = objects(text)
+    end = text.rfind(found[-1]) + len(found[-1]) if found else 0
+    at = text.find("{", end)
+    return [o for o in map(loose, [*found, *([text[at:]] if at >= 0 else [])]) if isinstance(o, dict)]
+
+
+def merge(found: list[dict]) -> dict | None:
+    """Several answers as one.
+
+    Of a field's values the first that is not null stays, but an empty one gives way to one that is
+    not; lists of evidence are joined, empty ones passed over, and other evidence stays as it came
+    first. Where no answer has either, two are put together: the data of one and the evidence of the
+    other, or all keys, the second before the first; else the first answer stands.
+    """
+    if not found:
+        return None
+    data: dict = {}
+    evidence: dict = {}
     for o in found:
-        for k, v in (o.get("data") or {}).items():
-            if data.get(k) is None:
+        for k, v in (o.get("data") if isinstance(o.get("data"), dict) else {}).items():
+            if v is not None and (k not in data or (v and not data[k])):
                 data[k] = v
-        for k, v in (o.get("evidence") or {}).items():
-            evidence[k] = evidence.get(k, []) + (v if isinstance(v, list) else [v])
-    return {"data": data, "evidence": evidence}
+        for k, v in (o.get("evidence") if isinstance(o.get("evidence"), dict) else {}).items():
+            if v is None or v == []:
+                continue
+            if k not in evidence:
+                evidence[k] = list(v) if isinstance(v, list) else v
+            elif isinstance(v, list) and isinstance(evidence[k], list):
+                evidence[k] += v
+    if data or evidence:
+        return {k: v for k, v in (("data", data), ("evidence", evidence)) if v}
+    if len(found) == 2:
+        a, b = found
+        if "data" in a and "evidence" in b:
+            return {"data": a["data"], "evidence": b["evidence"]}
+        if "evidence" in a and "data" in b:
+            return {"data": b["data"], "evidence": a["evidence"]}
+        return a | b or a
+    return found[0]
 
 
 def repair(text: str | None) -> str | None:
@@ -85,7 +126,7 @@ def repair(text: str | None) -> str | None:
         except ValueError:
             several = []
             break
-    if len(several) > 1 and all(isinstance(o, dict) and "data" in o for o in several):
+    if len(several) > 1 and all(isinstance(o, dict) and ("data" in o or "evidence" in o) for o in several):
         return json.dumps(merge(several), ensure_ascii=False, sort_keys=True)
     for t in [*tries, *(_COMMA.sub("", t) for t in tries), closed(bare)]:
         try:

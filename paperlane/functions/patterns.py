@@ -67,6 +67,8 @@ EDITING_SOFTWARE = (
     ("irfanview", "LOW", 0.50),
     ("preview", "LOW", 0.40),
 )
+#: Other names of fields.
+ALIASES = {"energylabel": "energielabel"}
 #: Words in a field's names that call for further search terms, and these terms.
 SYNONYMS = (
     (("m2", "oppervlakte", "area"), ("m2", "m 2", "oppervlakte", "vloeroppervlak", "gebruiksoppervlakte", "floor area", "area")),

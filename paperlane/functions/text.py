@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import functools
 import re
+import unicodedata
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -160,16 +163,60 @@ def pii_normalized(text: Column) -> Column:
     return strip(F.regexp_replace(t, "\n{3,}", "\n\n"))
 
 
+def unicode_form(text: Column, form: str) -> Column:
+    """A Unicode normal form (NFC, NFD, NFKC, NFKD), which Spark lacks; null stays null."""
+
+    @F.pandas_udf("string")
+    def work(t: pd.Series) -> pd.Series:
+        return t.map(lambda x: unicodedata.normalize(form, x), na_action="ignore")
+
+    return work(text)
+
+
 def slug(text: Column) -> Column:
-    """Lower case, separators to hyphens; null unless it begins with a letter."""
-    t = F.regexp_replace(F.lower(strip(text)), r"[_\s]+", "-")
+    """NFKC in lower case, separators to hyphens; null unless it begins with a letter."""
+    t = F.regexp_replace(F.lower(strip(unicode_form(text, "NFKC"))), r"[_\s]+", "-")
     t = F.regexp_replace(F.regexp_replace(F.regexp_replace(t, "[^a-z0-9-]", "-"), "-+", "-"), "^-|-$", "")
     return F.when(t.rlike("^[a-z][a-z0-9-]*$"), t)
 
 
+def plain(text: str) -> str:
+    """search_text() of a setting."""
+    t = "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c)).lower()
+    return re.sub(r"[^a-z0-9]+", " ", t).strip()
+
+
+@functools.cache
+def _search_tables() -> tuple[str, str, str, str]:
+    """By Unicode's decompositions: characters that search_text() reads as one letter or digit, and these; those it drops; those it reads as several, with what they are read as."""
+    one, read, dropped, several = [], [], [], []
+    for code in range(128, 0x110000):
+        c = chr(code)
+        if unicodedata.combining(c):
+            dropped.append(c)
+        elif unicodedata.decomposition(c):
+            t = "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x)).lower()
+            if len(t) == 1 and t.isascii() and t.isalnum():
+                one.append(c)
+                read.append(t)
+            elif re.search("[a-z0-9]", t):
+                several.append((c, re.sub("[^a-z0-9]", " ", t)))
+            elif not t:
+                dropped.append(c)
+    return "".join(one), "".join(read), "".join(dropped), "\x01".join(f"{c}\x02{t}" for c, t in several)
+
+
 def search_text(text: Column) -> Column:
-    """Lower case, Latin letters without accents, all else to single spaces."""
-    t = F.regexp_replace(F.coalesce(text, F.lit("")), "m²", "m2")
-    accents, plain = "áàâäãåéèêëíìîïóòôöõúùûüýÿçñÁÀÂÄÃÅÉÈÊËÍÌÎÏÓÒÔÖÕÚÙÛÜÝÇÑ", "aaaaaaeeeeiiiiooooouuuuyycnAAAAAAEEEEIIIIOOOOOUUUUYCN"
-    t = F.lower(F.translate(t, accents, plain))
+    """NFKD in lower case without marks, all but letters and digits of ASCII to single spaces.
+
+    By tables made from Unicode's decompositions, so that it stays among Spark's own functions; text
+    in ASCII skips them.
+    """
+    one, read, dropped, several = _search_tables()
+    t = F.coalesce(text, F.lit(""))
+    names = F.str_to_map(F.lit(several), F.lit("\x01"), F.lit("\x02"))
+    rare = "[" + "".join(f"\\x{{{ord(x[0]):X}}}" for x in several.split("\x01")) + "]"
+    spelled = F.array_join(F.transform(F.split(t, ""), lambda c: F.coalesce(F.try_element_at(names, c), c)), "")
+    spelled = F.when(t.rlike(rare), spelled).otherwise(t)
+    t = F.lower(F.when(t.rlike(r"[^\x00-\x7F]"), F.translate(spelled, one + dropped, read)).otherwise(t))
     return F.trim(F.regexp_replace(t, "[^a-z0-9]+", " "))

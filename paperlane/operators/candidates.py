@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import answers as A
 from ..functions import patterns as P
 from ..functions import values as V
 
@@ -82,18 +83,62 @@ def evidence_error(value: Column, page: Column, start: Column, end: Column, quot
 
 
 def verified(pages: DataFrame, values: DataFrame) -> DataFrame:
-    """How each value (doc_id, value) is borne out by its pages: the strongest way, then the first page."""
-    v, t = F.col("value"), F.col("text")
-    flat = lambda x: F.trim(F.regexp_replace(x, r"\s+", " "))
-    grouped = F.regexp_replace(F.format_number(v.try_cast("bigint"), 0), ",", ".")
-    ways = [t.contains(v), flat(t).contains(flat(v)), F.lower(t).contains(F.lower(v)), F.lower(flat(t)).contains(F.lower(flat(v))), F.coalesce(t.contains(grouped), F.lit(False))]
-    names = ["auto_found", "auto_found_normalized", "case_insensitive", "normalized_case_insensitive", "number_format"]
-    rank = F.when(F.lit(False), F.lit(0))
-    for i, w in enumerate(ways):
-        rank = rank.when(w, i)
-    j = values.join(pages, "doc_id", "left")
-    best = j.groupBy("doc_id", "value").agg(F.min(F.when(rank.isNotNull(), F.struct(rank.alias("r"), "page"))).alias("b"))
-    return best.select("doc_id", "value", F.get(F.array(*[F.lit(n) for n in names]), F.col("b.r")).alias("method"), F.col("b.page").alias("page"))
+    """How each value (doc_id, value, and the first span of its evidence: page, start, end, null without any) is borne out: doc_id, value, method, page, snippet.
+
+    A span that lies within its page is evidence; one that does not leaves the value unverified.
+    Without a span the first page wins on which the value is found: as it stands, with blanks
+    squeezed, whatever the case, both, or as a number with points between thousands, with a euro
+    sign or whole. method is evidence, auto_found, auto_found_normalized, auto_found_number_format
+    or none. Pages without text are never sought in. pages: (doc_id, page, text).
+    """
+    squeezed = lambda x: F.trim(F.regexp_replace(x, r"(?U)\s+", " "))
+    v = values.select("doc_id", "value", F.col("page").alias("_page"), F.col("start").alias("_start"), F.col("end").alias("_end")).withColumn("_v", F.regexp_replace("value", r"(?U)^\s+|\s+$", ""))
+    amount = F.when(F.regexp_replace("_v", "[.,]", "").rlike(r"^\d+$"), F.replace("_v", F.lit(","), F.lit(".")).try_cast("double"))
+    # Python rounds halves to even, so does bround.
+    v = v.withColumns({"_n": F.replace(F.format_number(F.bround(amount, 0), 0), F.lit(","), F.lit(".")), "_whole": F.floor(amount).cast("string"), "_flat": squeezed(F.col("_v"))})
+    j = v.join(pages.select("doc_id", "page", "text"), "doc_id", "left")
+    t, flat = F.col("text"), squeezed(F.col("text"))
+    ways = (
+        ("auto_found", t.contains(F.col("_v")), F.col("_v")),
+        ("auto_found_normalized", flat.contains(F.col("_flat")), F.col("_flat")),
+        ("auto_found", F.lower(t).contains(F.lower("_v")), F.substr(t, F.instr(F.lower(t), F.lower("_v")), F.length("_v"))),
+        ("auto_found_normalized", F.lower(flat).contains(F.lower("_flat")), F.col("_flat")),
+        *(("auto_found_number_format", t.contains(n) | flat.contains(n), n) for n in (F.col("_n"), F.concat(F.lit("€ "), "_n"), F.concat(F.lit("€"), "_n"), F.col("_whole"))),
+    )
+    found = F.when(F.lit(False), F.struct(F.lit(None).cast("string").alias("method"), F.lit(None).cast("string").alias("snippet")))
+    for method, here, snippet in ways:
+        found = found.when(here, F.struct(F.lit(method).alias("method"), snippet.alias("snippet")))
+    given = F.col("_page").isNotNull()
+    sound = (F.col("page") == F.col("_page")) & (F.col("_start") < F.length(t)) & (F.col("_end") <= F.length(t))
+    hit = F.when(given & sound, F.struct(F.lit("evidence").alias("method"), F.substr(t, F.col("_start") + 1, F.greatest(F.lit(0), F.col("_end") - F.col("_start"))).alias("snippet"))).when(~given & (F.col("_v") != ""), found)
+    best = j.withColumn("_hit", hit).groupBy("doc_id", "value").agg(F.min(F.when(F.col("_hit").isNotNull(), F.struct(F.col("page").alias("page"), F.col("_hit").alias("hit")))).alias("b"))
+    return best.select("doc_id", "value", F.coalesce("b.hit.method", F.lit("none")).alias("method"), F.col("b.page").alias("page"), F.col("b.hit.snippet").alias("snippet"))
+
+
+def fixed_pages(pages: DataFrame, spans: DataFrame) -> DataFrame:
+    """Spans (doc_id, page, quote, ...) with the page that holds their quote.
+
+    A quote under eight characters stays where it is, and so does one that its page has, whatever
+    the case. Else the first page that has it; else the page that has most of its words of four
+    letters or digits, if at least 60 %, the first of equals; else it stays. Pages (doc_id, page,
+    text) meet the spans of their document; a repeated span is answered once.
+    """
+    bare = F.trim("quote")
+    asked = spans.select("doc_id", "quote", F.col("page").alias("_old")).where(F.length(bare) >= 8).distinct()
+    low, q = F.lower("text"), F.lower(bare)
+    tokens = F.regexp_extract_all(q, F.lit("[a-zà-ÿ0-9]{4,}"), F.lit(0))
+    j = asked.join(pages.select("doc_id", "page", "text"), "doc_id").withColumns({"_has": low.contains(q), "_words": tokens})
+    hits = F.size(F.filter("_words", lambda w: low.contains(w)))
+    j = j.withColumn("_score", F.when(F.col("_has"), F.lit(0.0)).otherwise(F.coalesce(F.try_divide(hits, F.size("_words")), F.lit(0.0))))
+    g = j.groupBy("doc_id", "quote", "_old").agg(
+        F.bool_or(F.col("_has") & (F.col("page") == F.col("_old"))).alias("_stays"),
+        F.min(F.when(F.col("_has"), F.col("page"))).alias("_exact"),
+        F.max(F.struct(F.col("_score"), (-F.col("page")).alias("turn"))).alias("_most"),
+    )
+    new = F.when(F.coalesce("_stays", F.lit(False)), F.col("_old")).otherwise(F.coalesce("_exact", F.when(F.col("_most._score") >= 0.6, -F.col("_most.turn")), "_old"))
+    g = g.select(F.col("doc_id").alias("_doc"), F.col("quote").alias("_quote"), "_old", new.alias("_new"))
+    same = (F.col("doc_id") == F.col("_doc")) & (F.col("quote") == F.col("_quote")) & F.col("page").eqNullSafe(F.col("_old"))
+    return spans.join(g, same, "left").withColumn("page", F.coalesce("_new", "page")).select(spans.columns)
 
 
 def occurrences(pages: DataFrame, values: DataFrame, known: DataFrame) -> DataFrame:
@@ -109,6 +154,18 @@ def latest_by_turn(rows: DataFrame, keys: list[str], order: list, n: int) -> Dat
     return rows.withColumn("_t", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("_t") <= n).drop("_t")
 
 
+def from_answers(answers: DataFrame, keys: list[str]) -> DataFrame:
+    """Candidate rows (doc_id, chunk_index, ord, field_key, value, ..., record_role) of models' answers (doc_id, chunk_index, answer, chunk).
+
+    An answer may be of any shape that A.candidates_in() knows, amid whatever text; one that cannot
+    be read gives no rows. Evidence that lacks the value is repaired from the chunk.
+    """
+    c = answers.select("doc_id", "chunk_index", "chunk", F.posexplode(A.candidates(F.col("answer"), keys)).alias("ord", "c"))
+    evidence = repaired_evidence(F.col("c.value"), F.col("c.normalized_value"), F.col("c.evidence"), F.coalesce("chunk", F.lit("")))
+    own = [F.col(f"c.{k}") for k in ("field_key", "value", "normalized_value", "unit")]
+    return c.select("doc_id", "chunk_index", "ord", *own, evidence.alias("evidence"), "c.confidence", "c.evidence_type", "c.record_role")
+
+
 def repaired_evidence(value: Column, normalized: Column, evidence: Column, chunk: Column, around: int = 300) -> Column:
     """The evidence, or, where it lacks the value, what surrounds the value (or its normal form) in the chunk; as it was if it isn't there either.
 
@@ -128,9 +185,3 @@ def repaired_evidence(value: Column, normalized: Column, evidence: Column, chunk
 
     found = F.transform(F.array(at), lambda x: F.when(x.isNotNull(), around_it(x)))[0]
     return F.when(V.in_evidence(value, normalized, evidence), evidence).otherwise(F.coalesce(found, evidence))
-
-
-def clipped(chunk: Column, label: str, before: int = 1500, after: int = 800) -> Column:
-    """A chunk cut to the surroundings of a label's first place; the whole chunk without it."""
-    at = F.locate(label.lower(), F.lower(chunk))
-    return F.when(at > 0, F.substr(chunk, F.greatest(F.lit(1), at - before), F.least(at - 1, F.lit(before)) + after)).otherwise(chunk)

@@ -7,15 +7,15 @@ column expressions over a chunk, so nothing is shuffled until chunks of a docume
 from __future__ import annotations
 
 import re
-import unicodedata
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import patterns as P
 from ..functions import values as V
-from ..functions.text import java_pattern, search_text
+from ..functions.text import java_pattern, plain, search_text
 
 
 @dataclass(frozen=True)
@@ -25,17 +25,12 @@ class Field:
     field_type: str = "string"
     enum_values: tuple = ()
     regex: str | None = None
+    required: bool = False
 
 
 MATCH = "struct<field: string, score: int, label_score: int, value_score: int, labelled: boolean, regex_only: boolean, places: array<int>>"
 
 
-def plain(text: str) -> str:
-    """search_text() of a setting."""
-    t = unicodedata.normalize("NFKD", text.replace("m²", "m2")).encode("ascii", "ignore").decode().lower()
-    return re.sub(r"[^a-z0-9]+", " ", t).strip()
-
-
 def search_terms(key: Column, label: Column) -> Column:
     """The terms by which a field is searched, the longest first: key, label, label without brackets, and the synonyms they call for."""
     own = F.array_distinct(F.filter(F.array(search_text(key), search_text(label), search_text(F.regexp_replace(label, r"\([^)]*\)", " "))), lambda t: t != ""))
@@ -269,10 +264,101 @@ def select(chunks: DataFrame, fields: list[Field], year: int, per_field: int = 2
     return out.select("doc_id", "x.part", "x.score", "x.reason")
 
 
-def pack_prompt(chunks: DataFrame, most: int, chunk: str = "chunk") -> DataFrame:
-    """Per document its chunks (doc_id, part, chunk) joined in order under headers, as many as fit `most` characters; one that does not fit is passed over."""
-    head = F.concat(F.lit("[chunk "), F.col("part").cast("string"), F.lit("]\n"))
-    text = F.concat(head, F.col(chunk), F.lit("\n\n"))
-    g = chunks.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("part", text.alias("text")))).alias("all"))
-    adding = lambda a, c: F.when(F.length(a) + F.length(c["text"]) <= most, F.concat(a, c["text"])).otherwise(a)
-    return g.select("doc_id", F.aggregate("all", F.lit(""), adding).alias("prompt"))
+def _sound(field: Field, number: Column, window: Column, year: int) -> Column:
+    """Whether a number is a value of the field's kind, beside its window in search_text() form."""
+    kind = _kind(field)
+    if kind in ("year", "area"):
+        ok = V.kind_reason(kind, number, window, F.lit(""), year).isNull()
+    elif kind == "boolean":
+        ok = number.isin("0", "1")
+    elif kind == "enum":
+        ok = F.lower(number).isin([v.strip().lower() for v in field.enum_values]) if field.enum_values else F.lit(True)
+    else:
+        ok = F.lit(kind not in ("date", "iban"))
+    pattern = java_pattern(field.regex) if field.regex else None
+    return ok & number.rlike("(?i)" + pattern) if pattern else ok
+
+
+def window_score(window: Column, fields: list[Field], year: int) -> Column:
+    """10 for each field named in a window, 25 if one of its first 20 numbers may be the field's value, 8 for each line like a table's, less 40 for explanations without values."""
+    bound = F.array(F.struct(window.alias("raw"), search_text(window).alias("norm"), F.slice(F.regexp_extract_all(window, F.lit(r"\b\d+(?:[.,]\d+)?\b"), F.lit(0)), 1, 20).alias("numbers")))
+
+    def of(x: Column) -> Column:
+        score, concrete = F.lit(0), F.lit(0)
+        for f in fields:
+            named = F.lit(False)
+            for t in terms_of(f):
+                named = named | x["norm"].contains(t)
+            found = named & F.exists(x["numbers"], lambda n: _sound(f, n, x["norm"], year))  # noqa: B023
+            score, concrete = score + F.when(named, 10).otherwise(0), concrete + F.when(found, 1).otherwise(0)
+        rows = F.size(F.filter(F.split(x["raw"], "\n"), lambda t: (F.regexp_count(t, F.lit(r"\S+")) >= 3) & t.rlike(r"\d")))
+        return F.transform(F.array(concrete), lambda c: score + 25 * c + 8 * rows - F.when((c == 0) & x["norm"].rlike(P.EXPLANATION), 40).otherwise(0))[0]
+
+    return F.transform(bound, of)[0]
+
+
+def clipped(chunks: DataFrame, fields: list[Field], year: int, most: Column | int = 2200, chunk: str = "chunk", before: int = 1500, after: int = 800) -> DataFrame:
+    """Replaces a chunk by its part that tells most of the fields, at most `most` characters; what is short enough stays.
+
+    Places of labels get windows of `before` and `after` characters, windows that meet become one,
+    and the one of the highest score is kept, the first of equals. One that is too long is cut to
+    begin at most `before`, or half of `most`, ahead of its best place. Without places the chunk's
+    beginning is kept. One place more costs one window more; all is worked out within the row.
+    """
+    most = F.lit(most) if isinstance(most, int) else most
+    patterns = list(dict.fromkeys(p for f in fields for p in place_pattern([f.label, f.key, plain(re.sub(r"\([^)]*\)", " ", f.label))])))
+    d = chunks.withColumns({"_t": F.regexp_replace(F.coalesce(F.col(chunk), F.lit("")), r"(?U)^\s+|\s+$", ""), "_most": most})
+    text, most = F.col("_t"), F.col("_most")
+    long = F.length(text) > F.least(F.lit(3500), most)
+    d = d.withColumn("_at", F.when(long, places(text, patterns) if patterns else F.array().cast("array<int>")).otherwise(F.array().cast("array<int>")))
+    window = lambda p: F.struct(F.greatest(F.lit(0), p - before).alias("start"), F.least(F.length(text), p + after).alias("end"))
+    last = lambda a: F.element_at(a, -1)
+    meet = lambda a, w: F.when((F.size(a) > 0) & (w["start"] <= F.try_element_at(a, F.lit(-1))["end"]), F.concat(F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0))), F.array(F.struct(last(a)["start"].alias("start"), F.greatest(last(a)["end"], w["end"]).alias("end"))))).otherwise(F.concat(a, F.array(w)))
+    d = d.withColumn("_w", F.aggregate(F.transform("_at", window), F.array().cast("array<struct<start: int, end: int>>"), meet))
+    score = lambda start, end: window_score(F.substr(text, start + 1, end - start), fields, year)
+    best = F.array_max(F.transform("_w", lambda w: F.struct(score(w["start"], w["end"]).alias("score"), (-w["start"]).alias("turn"), w["end"].alias("end"))))
+    d = d.withColumn("_b", best).withColumns({"_start": -F.col("_b.turn"), "_end": F.col("_b.end")})
+    start, end = F.col("_start"), F.col("_end")
+    inside = F.filter("_at", lambda p: (p >= start) & (p <= end))
+    place = F.array_max(F.transform(inside, lambda p: F.struct(score(F.greatest(start, p - before), F.least(end, p + after)).alias("score"), (-p).alias("turn"))))
+    d = d.withColumn("_p", F.when(end - start > most, -place["turn"]))
+    lead = F.least(F.lit(before), F.greatest(F.lit(200), F.floor(most / 2).cast("int")))
+    first = F.greatest(F.lit(0), F.col("_p") - lead)
+    first = F.greatest(F.lit(0), F.least(first, F.length(text) - most))
+    part = F.when(F.col("_p").isNotNull(), F.substr(text, first + 1, most)).otherwise(F.substr(text, start + 1, end - start))
+    kept = F.when(~long, text).when(F.size("_at") == 0, F.regexp_replace(F.substr(text, F.lit(1), most), r"(?U)\s+$", "")).otherwise(F.regexp_replace(part, r"(?U)^\s+|\s+$", ""))
+    return d.withColumn(chunk, kept).drop("_t", "_most", "_at", "_w", "_b", "_start", "_end", "_p")
+
+
+def pack_prompt(chunks: DataFrame, fields: list[Field], year: int, most: int = 4200, chunk: str = "chunk") -> DataFrame:
+    """Per document the selected chunks (doc_id, part, page, chunk) as one prompt, and what became of each chunk.
+
+    Each chunk has a header with its number, page and the fields found in it. Chunks come in order;
+    one of up to 3,500 characters that still fits is taken whole, others are clipped to their share
+    of `most`, and one that does not fit even so is dropped, unless it is the first. `told` lists
+    part, characters before, characters included and the reason. Texts meet per document only, as
+    many as were selected for it.
+    """
+    n = F.count("*").over(Window.partitionBy("doc_id"))
+    share = F.least(F.lit(max(600, most - 300)), F.greatest(F.lit(1800), F.least(F.lit(3000), F.floor(F.lit(most) / F.greatest(n, F.lit(1))).cast("int"))))
+    found = F.array_compact(F.array(*[F.when(F.exists(F.array(*map(F.lit, terms_of(f))), lambda t: search_text(F.col(chunk)).contains(t)), F.lit(f.key)) for f in fields])) if fields else F.array().cast("array<string>")
+    head = F.concat(F.lit("[chunk "), (F.col("part") + 1).cast("string"), F.lit(", page "), (F.coalesce("page", F.lit(0)) + 1).cast("string"), F.lit(", fields: "), F.coalesce(F.nullif(F.array_join(found, ", "), F.lit("")), F.lit("unknown")), F.lit("]\n"))
+    d = chunks.withColumns({"_share": share, "_head": head, "_whole": F.coalesce(F.col(chunk), F.lit("")), "_short": F.coalesce(F.col(chunk), F.lit(""))})
+    d = clipped(d, fields, year, F.col("_share"), "_short")
+    bare = F.regexp_replace(F.col("_whole"), r"(?U)^\s+|\s+$", "")
+    g = d.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("part", F.col("_head").alias("head"), F.length("_whole").alias("size"), bare.alias("whole"), F.col("_short").alias("short")))).alias("all"))
+    start = F.struct(F.lit(0).alias("used"), F.array().cast("array<string>").alias("parts"), F.array().cast("array<struct<part: int, size: int, included: int, reason: string>>").alias("told"))
+
+    def add(a: Column, c: Column) -> Column:
+        whole = (c["size"] <= 3500) & (a["used"] + F.length(c["head"]) + c["size"] + 2 <= most)
+        text = F.when(whole, c["whole"]).otherwise(c["short"])
+
+        def step(x: Column) -> Column:
+            fits = (F.size(a["parts"]) == 0) | (a["used"] + x["n"] + 2 <= most)
+            note = F.struct(c["part"].cast("int").alias("part"), c["size"].alias("size"), F.when(fits, F.length(x["text"])).otherwise(0).alias("included"), F.when(fits, "included").otherwise("dropped_prompt_budget").alias("reason"))
+            return F.struct(F.when(fits, a["used"] + x["n"] + 2).otherwise(a["used"]).alias("used"), F.when(fits, F.array_append(a["parts"], F.concat(c["head"], x["text"]))).otherwise(a["parts"]).alias("parts"), F.array_append(a["told"], note).alias("told"))
+
+        return F.transform(F.array(F.struct(text.alias("text"), (F.length(c["head"]) + F.length(text)).alias("n"))), step)[0]
+
+    packed = F.aggregate("all", start, add, lambda a: F.struct(F.array_join(a["parts"], "\n\n").alias("prompt"), a["told"].alias("told")))
+    return g.select("doc_id", packed.alias("p")).select("doc_id", "p.prompt", "p.told")

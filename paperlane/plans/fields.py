@@ -190,11 +190,6 @@ def fx_validate_evidence(spark, sf_dir):
     return p.select("doc_id", "page", C.evidence_error(value, F.col("page"), start, end, quote, F.col("text")).alias("error"))
 
 
-def fx_verify(spark, sf_dir):
-    v = statements(spark, sf_dir).select("doc_id", F.get(F.array(F.lower("iban"), F.col("iban"), F.lit("nergens"), F.concat(F.lit("Rekeningafschrift  "), "doc_id"), F.concat(F.lit("rekeningafschrift  "), "doc_id")), (F.col("doc_id") % 5).cast("int")).alias("value"))
-    return C.verified(_pages(spark, sf_dir), v).select("doc_id", "method", "page")
-
-
 def fx_all_occurrences(spark, sf_dir):
     p = _pages(spark, sf_dir)
     v = statements(spark, sf_dir).select("doc_id", F.lit("boeking").alias("value"))
@@ -219,7 +214,7 @@ def src_sniff(spark, sf_dir):
     return d.select("doc_id", F.sha2("text", 256).alias("sha256"), F.coalesce(F.try_element_at(mime, F.lower(ext)), F.lit("application/octet-stream")).alias("mime"))
 
 
-_NAMES = "fx_canonical_key fx_number_normalize fx_number_column fx_placeholder_empty fx_evidence_invalid fx_iban_check fx_iban_format_ui fx_date_parse fx_date_forms fx_amount_parse fx_amount_parse_ui fx_currency_detect_ui fx_field_kind fx_hard_validators fx_consistency fx_validate_value fx_candidate_validate fx_candidate_score fx_resolve fx_required_resolved fx_find_span fx_fill_quotes fx_validate_evidence fx_verify fx_all_occurrences fx_required_errors src_slug src_sniff"
+_NAMES = "fx_canonical_key fx_number_normalize fx_number_column fx_placeholder_empty fx_evidence_invalid fx_iban_check fx_iban_format_ui fx_date_parse fx_date_forms fx_amount_parse fx_amount_parse_ui fx_currency_detect_ui fx_field_kind fx_hard_validators fx_consistency fx_validate_value fx_candidate_validate fx_candidate_score fx_resolve fx_required_resolved fx_find_span fx_fill_quotes fx_validate_evidence fx_all_occurrences fx_required_errors src_slug src_sniff"
 
 
 def queries() -> dict:
@@ -269,7 +264,6 @@ def oracle_sql() -> dict[str, str]:
         "fx_find_span": f"{stmt}, {_PAGES}, b AS (SELECT doc_id, min(page) AS page FROM pg WHERE starts_with(text, 'Boeking') GROUP BY doc_id) SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 1 WHEN 1 THEN 1 WHEN 3 THEN page END AS page, CASE doc_id % 5 WHEN 0 THEN 6 WHEN 1 THEN 6 WHEN 3 THEN page - page END AS start FROM stmt LEFT JOIN b USING (doc_id) WHERE doc_id % 5 <> 4",
         "fx_fill_quotes": f"{stmt}, {_PAGES} SELECT doc_id, page, substr(text, 3, 6) AS quote FROM pg",
         "fx_validate_evidence": f"{stmt}, {_PAGES}, z AS (SELECT *, doc_id % 15 AS s, doc_id % 15 + page * 4 AS e FROM pg) SELECT doc_id, page, CASE WHEN doc_id % 7 = 0 THEN 'evidence_for_null' WHEN s >= length(text) OR e > length(text) OR s >= e THEN 'invalid_span' WHEN doc_id % 2 = 1 THEN 'quote_mismatch' END AS error FROM z",
-        "fx_verify": f"{stmt} SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'case_insensitive' WHEN 1 THEN 'auto_found' WHEN 3 THEN 'auto_found_normalized' WHEN 4 THEN 'normalized_case_insensitive' END AS method, CASE WHEN doc_id % 5 < 2 THEN 1 WHEN doc_id % 5 > 2 THEN 0 END AS page FROM stmt",
         "fx_all_occurrences": f"{stmt}, {_PAGES} SELECT doc_id, page FROM pg WHERE contains(lower(text), 'boeking') AND page <> 2",
         "src_slug": "SELECT p_partkey, regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(trim(concat(' ', p_type, '__', p_brand))), '[_\\s]+', '-', 'g'), '[^a-z0-9-]', '-', 'g'), '-+', '-', 'g'), '^-|-$', '', 'g') AS slug FROM part",
         "src_sniff": "SELECT doc_id, sha256(text) AS sha256, (['application/pdf', 'text/plain', 'image/jpeg', 'application/octet-stream'])[doc_id % 4 + 1] AS mime FROM documents",

@@ -4,9 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
-import unicodedata
 
-import pandas as pd
 from pyspark.sql import functions as F
 
 from ..functions import jsonrepair as J
@@ -22,12 +20,7 @@ from .flow import MARKERS
 
 def ascii_fold(text):
     """NFKD, then without what is beyond ASCII, in lower case; null stays null."""
-
-    @F.pandas_udf("string")
-    def fold(t: pd.Series) -> pd.Series:
-        return t.map(lambda x: unicodedata.normalize("NFKD", x).encode("ascii", "ignore").decode("ascii").lower(), na_action="ignore")
-
-    return fold(text)
+    return F.lower(F.regexp_replace(T.unicode_form(text, "NFKD"), r"[^\x00-\x7F]", ""))
 
 
 def norm_text(spark, sf_dir):
@@ -42,16 +35,6 @@ def norm_tokens(spark, sf_dir):
     return p.select("p_partkey", F.array_join(F.filter(F.split(T.search_text(F.col("p_name")), " "), lambda w: F.length(w) >= 2), " ").alias("words"))
 
 
-def fx_candidate_normalize(spark, sf_dir):
-    """Answers in several shapes as candidate rows: a list of objects, one object, a bare value."""
-    e = table(spark, sf_dir, "events")
-    k = F.get_json_object("props", "$.k")
-    raw = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit('[{"value":"'), k, F.lit('","confidence":80},{"value":"x"}]'))).when(F.col("event_id") % 3 == 1, F.concat(F.lit('{"value":"'), k, F.lit('"}'))).otherwise(k)
-    shape = "struct<value: string, confidence: double>"
-    rows = F.when(raw.startswith("["), F.from_json(raw, f"array<{shape}>")).when(raw.startswith("{"), F.array(F.from_json(raw, shape))).otherwise(F.array(F.struct(raw.alias("value"), F.lit(None).cast("double").alias("confidence"))))
-    return e.select("event_id", F.explode(rows).alias("c")).select("event_id", F.col("c.value").alias("value"), F.coalesce("c.confidence", F.lit(0.0)).alias("confidence"))
-
-
 def fx_regex_filter(spark, sf_dir):
     """A value cut down to its pattern's match; without one it is dropped."""
     p = table(spark, sf_dir, "part")
@@ -59,50 +42,6 @@ def fx_regex_filter(spark, sf_dir):
     return p.select("p_partkey", V.pattern_match(value, r"^\d+$").alias("value"))
 
 
-def fx_fix_pages(spark, sf_dir):
-    """Spans moved to the page that holds their quote; quotes under eight characters stay where they are."""
-    s = statements(spark, sf_dir)
-    pages = s.select("doc_id", F.posexplode(F.split("text", "\n")).alias("page", "t"))
-    quotes = s.select("doc_id", F.when(F.col("doc_id") % 3 == 0, F.col("iban")).when(F.col("doc_id") % 3 == 1, "IBAN").otherwise("nergens te vinden").alias("quote"), (F.col("doc_id") % 2).cast("int").alias("old"))
-    j = quotes.join(pages, "doc_id").groupBy("doc_id", "quote", "old").agg(F.min(F.when(F.col("t").contains(F.col("quote")), F.col("page"))).alias("new"))
-    return j.select("doc_id", F.when(F.length("quote") >= 8, F.coalesce("new", "old")).otherwise(F.col("old")).alias("page"))
-
-
-def cls_rationale(spark, sf_dir):
-    e = table(spark, sf_dir, "events")
-    return e.select("event_id", F.concat_ws("; ", F.concat(F.lit("methode "), "event_type"), F.concat(F.lit("kans "), (F.col("event_id") % 100).cast("string"), F.lit("%")), F.when(F.col("user_id") % 2 == 0, "NB")).alias("rationale"))
-
-
-def cls_scores_record(spark, sf_dir):
-    """Each model's outcome: ok, rejected, below_threshold or no_result."""
-    e = table(spark, sf_dir, "events")
-    p = F.when(F.col("event_id") % 7 != 0, (F.col("event_id") % 100) / 100.0)
-    s = F.when(p.isNull(), "no_result").when(p < 0.85, "below_threshold").when(F.col("event_type") == "error", "rejected").otherwise("ok")
-    return e.groupBy(s.alias("status")).agg(F.count("*").alias("n"), F.round(F.avg(p), 6).alias("mean"))
-
-
-def js_schema_check(spark, sf_dir):
-    """Required keys, and their kinds."""
-    e = table(spark, sf_dir, "events")
-    raw = F.when(F.col("event_id") % 3 == 0, F.lit('{"k": "x"}')).when(F.col("event_id") % 3 == 1, F.col("props")).otherwise(F.lit("{}"))
-    kind = F.schema_of_variant(F.try_variant_get(F.try_parse_json(raw), "$.k", "variant"))
-    return e.select("event_id", F.when(kind.isNull(), "missing").when(kind != "BIGINT", "type").otherwise("ok").alias("verdict"))
-
-
-def js_merge(spark, sf_dir):
-    """Two answers in one reply, merged: the first value that is not null."""
-    e = table(spark, sf_dir, "events")
-    first = F.when(F.col("event_id") % 2 == 0, "null").otherwise(F.get_json_object("props", "$.k"))
-    raw = F.concat(F.lit('{"data": {"k": '), first, F.lit('}} {"data": {"k": -1}}'))
-    return e.select("event_id", F.get_json_object(J.repaired(raw), "$.data.k").alias("k"))
-
-
-def js_parse_cascade(spark, sf_dir):
-    e = table(spark, sf_dir, "events")
-    raw = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("Uitleg {x} en "), "props")).otherwise(F.concat("props", F.lit(" klaar")))
-    return e.select("event_id", F.get_json_object(J.repaired(raw), "$.k").alias("k"))
-
-
 def fr_missing_verified(spark, sf_dir):
     """Required fields in the result that have no evidence."""
     o = table(spark, sf_dir, "orders")
@@ -167,11 +106,7 @@ def fx_evidence_repair(spark, sf_dir):
     return s.select("doc_id", Cand.repaired_evidence(value, normal, e, chunk, 30).alias("evidence"))
 
 
-def fx_clip(spark, sf_dir):
-    return statements(spark, sf_dir).select("doc_id", Cand.clipped(F.col("text"), "boeking", 40, 60).alias("chunk"))
-
-
-_NAMES = "fx_evidence_repair fx_clip norm_text norm_tokens fx_candidate_normalize fx_regex_filter fx_fix_pages cls_rationale cls_scores_record js_schema_check js_merge js_parse_cascade fr_missing_verified snk_finalize rel_skip_crud rel_type_fields_crud src_batch st_cancel prep_skip_signature"
+_NAMES = "fx_evidence_repair norm_text norm_tokens fx_regex_filter fr_missing_verified snk_finalize rel_skip_crud rel_type_fields_crud src_batch st_cancel prep_skip_signature"
 
 
 def queries() -> dict:
@@ -185,16 +120,8 @@ def oracle_sql() -> dict[str, str]:
     return {
         "prep_skip_signature": f"SELECT doc_id, concat_ws(':', sha256(text), substr(sha256('{_marks()}'), 1, 8)) AS cache_key FROM documents",
         "fx_evidence_repair": f"{stmt} SELECT doc_id, CASE WHEN doc_id % 2 = 0 AND doc_id % 5 <> 0 THEN concat('IBAN: ', iban) WHEN doc_id % 5 = 0 THEN CASE WHEN doc_id % 2 = 0 THEN concat('IBAN: ', iban) ELSE 'geen' END WHEN doc_id % 5 = 3 THEN concat(repeat('x ', 15), iban, repeat(' y', 15)) ELSE array_to_string(string_split(text, chr(10))[1:4], chr(10)) END AS evidence FROM stmt",
-        "fx_clip": f"{stmt}, a AS (SELECT doc_id, text, strpos(lower(text), 'boeking') AS p FROM stmt) SELECT doc_id, CASE WHEN p = 0 THEN text ELSE substr(text, greatest(1, p - 40), least(p - 1, 40) + 60) END AS chunk FROM a",
         "norm_tokens": f"SELECT p_partkey, array_to_string(list_filter(string_split({n('p_name')}, ' '), lambda w: length(w) >= 2), ' ') AS words FROM part",
-        "fx_candidate_normalize": "SELECT event_id, props->>'$.k' AS value, CASE WHEN event_id % 3 = 0 THEN 80.0::DOUBLE ELSE 0.0 END AS confidence FROM events UNION ALL SELECT event_id, 'x', 0.0 FROM events WHERE event_id % 3 = 0",
         "fx_regex_filter": "SELECT p_partkey, CASE WHEN p_partkey % 3 < 2 THEN CAST(p_partkey AS VARCHAR) END AS value FROM part",
-        "fx_fix_pages": f"{stmt} SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 1 ELSE (doc_id % 2)::INT END AS page FROM stmt",
-        "cls_rationale": "SELECT event_id, concat_ws('; ', concat('methode ', event_type), concat('kans ', event_id % 100, '%'), CASE WHEN user_id % 2 = 0 THEN 'NB' END) AS rationale FROM events",
-        "cls_scores_record": "WITH p AS (SELECT event_type, CASE WHEN event_id % 7 <> 0 THEN (event_id % 100) / 100.0::DOUBLE END AS p FROM events) SELECT CASE WHEN p IS NULL THEN 'no_result' WHEN p < 0.85 THEN 'below_threshold' WHEN event_type = 'error' THEN 'rejected' ELSE 'ok' END AS status, count(*) AS n, round(avg(p), 6) AS mean FROM p GROUP BY 1",
-        "js_schema_check": "SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'type' WHEN 1 THEN 'ok' ELSE 'missing' END AS verdict FROM events",
-        "js_merge": "SELECT event_id, CASE WHEN event_id % 2 = 0 THEN '-1' ELSE props->>'$.k' END AS k FROM events",
-        "js_parse_cascade": "SELECT event_id, props->>'$.k' AS k FROM events",
         "fr_missing_verified": "SELECT o_orderkey, 'MEDIUM' AS risk_level, 0.6::DOUBLE AS confidence FROM orders WHERE o_orderkey % 5 = 0 AND o_orderkey % 3 <> 0",
         "snk_finalize": f"{stmt}, o AS (SELECT o_orderkey AS doc_id, CAST(floor(o_totalprice) AS BIGINT) % 101 AS risk FROM orders) SELECT o.doc_id, CASE WHEN ok THEN 'statement' ELSE 'unknown' END AS slug, risk, {bands} AS level, CASE WHEN ok THEN 'done' ELSE 'error' END AS status FROM o LEFT JOIN (SELECT doc_id, NOT contains(lower(text), 'boeking') AS ok FROM stmt) s USING (doc_id)",
         "rel_skip_crud": "SELECT s_suppkey AS key, CASE WHEN s_suppkey % 2 = 0 THEN lower(s_name) ELSE s_name END AS pattern, s_suppkey % 2 = 0 AS active FROM supplier WHERE s_suppkey % 3 <> 0 OR s_suppkey % 2 = 0",

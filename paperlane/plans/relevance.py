@@ -84,11 +84,7 @@ def fx_same_line(spark, sf_dir):
     return L.same_line(l.select("l_orderkey", "l_linenumber", "l_partkey", t.alias("t")), LINE_FIELDS, YEAR).drop("t")
 
 
-def fx_prompt_pack(spark, sf_dir):
-    return L.pack_prompt(_lines(spark, sf_dir), 150)
-
-
-_NAMES = "fx_search_terms fx_label_positions fx_near_value fx_chunk_score fx_chunk_select fx_neighbor_rule fx_prompt_pack fx_label_context fx_value_in_evidence fx_same_line"
+_NAMES = "fx_search_terms fx_label_positions fx_near_value fx_chunk_score fx_chunk_select fx_neighbor_rule fx_label_context fx_value_in_evidence fx_same_line"
 
 
 def queries() -> dict:
@@ -125,5 +121,4 @@ def oracle_sql() -> dict[str, str]:
         "fx_same_line": """WITH x AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(CAST(l_quantity AS INT) AS VARCHAR) AS q, l_returnflag AS s, strftime(l_shipdate, '%Y-%m-%d') AS d, CAST(l_partkey AS VARCHAR) AS p FROM lineitem),
  v AS (SELECT *, 'aantal' AS field, q AS value FROM x UNION ALL SELECT *, 'status', s FROM x WHERE s <> 'R' UNION ALL SELECT *, 'datum', d FROM x WHERE l_linenumber <> 1 UNION ALL SELECT *, 'kenmerk', p FROM x WHERE p SIMILAR TO '[1-4].*' AND l_suppkey % 5 <> 0)
  SELECT l_orderkey, l_linenumber, l_partkey, field, value, 95 AS confidence, 'exact_label' AS evidence_type FROM v""",
-        "fx_prompt_pack": f"{stmt}, {lines}, g AS (SELECT doc_id, list(concat('[chunk ', part, ']', chr(10), t, chr(10), chr(10)) ORDER BY part) AS l FROM ln GROUP BY doc_id) SELECT doc_id, list_reduce(list_prepend('', l), lambda a, c: CASE WHEN length(a) + length(c) <= 150 THEN a || c ELSE a END) AS prompt FROM g",
     }

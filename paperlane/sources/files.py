@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
+from ..functions.text import unicode_form
+from ..operators.catalog import duplicate_of
 
 MOST_BYTES = 50 * 1024 * 1024
 RANK = {"txt": 0, "pdf": 1, "png": 2, "jpg": 3, "jpeg": 4, "docx": 5}
@@ -20,13 +22,26 @@ def mime(name: Column) -> Column:
     return F.coalesce(F.try_element_at(known, extension(name)), F.lit("application/octet-stream"))
 
 
+def judged_uploads(found: DataFrame, subjects: DataFrame | None = None, most: int = MOST_BYTES) -> DataFrame:
+    """Uploaded files (id, filename, content, and subject_id with subjects) with length, sha256, mime, reason and duplicate_of; the content goes.
+
+    reason is null for those accepted: type (not on the list), size, empty, or subject (not among the
+    subjects, or null). duplicate_of is the smallest other id of the same content, which bars nothing.
+    """
+    d = found.withColumns({"length": F.length("content").cast("long"), "sha256": F.sha2("content", 256), "mime": mime(F.col("filename"))}).drop("content")
+    reason = F.when(F.col("mime") == "application/octet-stream", "type").when(F.col("length") > most, "size").when(F.coalesce("length", F.lit(0)) == 0, "empty")
+    if subjects is not None:
+        d = d.join(subjects.select("subject_id", F.lit(True).alias("_known")).distinct(), "subject_id", "left")
+        reason = reason.when(F.col("_known").isNull(), "subject")
+    d = d.withColumn("reason", reason)
+    return duplicate_of(d.drop("_known") if subjects is not None else d)
+
+
 def uploads(spark: SparkSession, folder: str) -> DataFrame:
-    """Files of a folder with hash and type; reason is null for those accepted."""
+    """Files of a folder, judged; their path is their id. Spark's reader passes over files without bytes."""
     f = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
-    name = F.element_at(F.split("path", "/"), -1)
-    kind = mime(name)
-    reason = F.when(kind == "application/octet-stream", "type").when(F.col("length") > MOST_BYTES, "size").when(F.col("length") == 0, "empty")
-    return f.select("path", name.alias("filename"), "length", F.sha2("content", 256).alias("sha256"), kind.alias("mime"), reason.alias("reason"))
+    d = judged_uploads(f.select(F.col("path").alias("id"), F.element_at(F.split("path", "/"), -1).alias("filename"), "content"))
+    return d.select(F.col("id").alias("path"), "filename", "length", "sha256", "mime", "reason")
 
 
 def text_files(spark: SparkSession, folder: str) -> DataFrame:
@@ -35,7 +50,7 @@ def text_files(spark: SparkSession, folder: str) -> DataFrame:
 
 def safe_name(name: Column) -> Column:
     """A file name without path, control and odd characters, 180 long at most with its extension kept; `upload` if nothing is left."""
-    n = F.element_at(F.split(F.regexp_replace(name, "\\x00", ""), r"[/\\]"), -1)
+    n = F.element_at(F.split(unicode_form(F.regexp_replace(name, "\\x00", ""), "NFKC"), r"[/\\]"), -1)
     n = F.regexp_replace(F.trim(F.regexp_replace(F.regexp_replace(n, r"\p{Cntrl}", ""), r"\s+", " ")), r"[^A-Za-z0-9.\- _()]+", "_")
     ext = F.regexp_extract(n, r"(\.[^.]{1,15})$", 1)
     cut = F.concat(F.substring(F.regexp_replace(n, r"\.[^.]{1,15}$", ""), 1, 160), ext)
