@@ -187,9 +187,10 @@ def plain(text: str) -> str:
 
 
 @functools.cache
-def _search_tables() -> tuple[str, str, str, str]:
-    """By Unicode's decompositions: characters that search_text() reads as one letter or digit, and these; those it drops; those it reads as several, with what they are read as."""
+def _search_tables() -> tuple[str, str, str, str, str]:
+    """By Unicode's decompositions: characters that search_text() reads as one letter or digit, and these; those it drops; those it reads as several, with what they are read as; a pattern of the ranges where the last lie."""
     one, read, dropped, several = [], [], [], []
+    ranges: list[list[int]] = []
     for code in range(128, 0x110000):
         c = chr(code)
         if unicodedata.combining(c):
@@ -201,22 +202,26 @@ def _search_tables() -> tuple[str, str, str, str]:
                 read.append(t)
             elif re.search("[a-z0-9]", t):
                 several.append((c, re.sub("[^a-z0-9]", " ", t)))
+                if ranges and code - ranges[-1][1] <= 8:  # few ranges, as each is tried for each character
+                    ranges[-1][1] = code
+                else:
+                    ranges.append([code, code])
             elif not t:
                 dropped.append(c)
-    return "".join(one), "".join(read), "".join(dropped), "\x01".join(f"{c}\x02{t}" for c, t in several)
+    pattern = "[" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in ranges) + "]"
+    return "".join(one), "".join(read), "".join(dropped), "\x01".join(f"{c}\x02{t}" for c, t in several), pattern
 
 
 def search_text(text: Column) -> Column:
     """NFKD in lower case without marks, all but letters and digits of ASCII to single spaces.
 
     By tables made from Unicode's decompositions, so that it stays among Spark's own functions; text
-    in ASCII skips them.
+    in ASCII and common signs, which hold no letters, skips them.
     """
-    one, read, dropped, several = _search_tables()
+    one, read, dropped, several, rare = _search_tables()
     t = F.coalesce(text, F.lit(""))
     names = F.str_to_map(F.lit(several), F.lit("\x01"), F.lit("\x02"))
-    rare = "[" + "".join(f"\\x{{{ord(x[0]):X}}}" for x in several.split("\x01")) + "]"
     spelled = F.array_join(F.transform(F.split(t, ""), lambda c: F.coalesce(F.try_element_at(names, c), c)), "")
     spelled = F.when(t.rlike(rare), spelled).otherwise(t)
-    t = F.lower(F.when(t.rlike(r"[^\x00-\x7F]"), F.translate(spelled, one + dropped, read)).otherwise(t))
+    t = F.lower(F.when(t.rlike("[^\\x00-\\x7F€£§°‘’“”–—•…]"), F.translate(spelled, one + dropped, read)).otherwise(t))
     return F.trim(F.regexp_replace(t, "[^a-z0-9]+", " "))
