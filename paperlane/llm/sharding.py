@@ -97,11 +97,11 @@ def propagate(state: DataFrame, shards: int, quota: int, cells: int, rounds: int
     return state
 
 
-def _ends(room: list[float], total: int) -> list[float]:
-    """Where each shard's part of `total` bytes ends, in proportion to its room; without the last."""
+def _ends(room: list[float], total: int, spread: bool) -> list[float]:
+    """Where each shard's part of `total` bytes ends, without the last: in proportion to its room (spread), or one room filled after the other, all stretched if they are too small."""
     room = [max(0.0, x) for x in room]
     scale = total / sum(room) if sum(room) > 0 else 0.0
-    return [x * scale for x in itertools.accumulate(room)][:-1]
+    return [x * (scale if spread else max(1.0, scale)) for x in itertools.accumulate(room)][:-1]
 
 
 def even_out(state: DataFrame, shards: int, mean: float, cells: int) -> DataFrame:
@@ -113,7 +113,7 @@ def even_out(state: DataFrame, shards: int, mean: float, cells: int) -> DataFram
     kept = F.least("n", F.greatest(F.floor((F.lit(mean) - F.col("before")) / F.col("size")), F.lit(0)))
     over = running(over, ["shard"], F.col("n") * F.col("size"), cells).withColumn("n", (F.col("n") - kept).cast("long")).where("n > 0").drop("before")
     over = settle(over, "shard-over")
-    ends = _ends([mean - x for x in load], over.agg(F.sum(F.col("n") * F.col("size"))).first()[0] or 0)
+    ends = _ends([mean - x for x in load], over.agg(F.sum(F.col("n") * F.col("size"))).first()[0] or 0, spread=False)
     # How many of a row's documents have their middle before an end; the difference of two ends is a shard's part.
     first = lambda end: F.least(F.col("n"), F.greatest(F.lit(0), F.ceil((F.lit(end) - F.col("before")) / F.col("size") - 0.5))).cast("long")
     upto_end = [*map(first, ends), F.col("n")]
@@ -127,7 +127,7 @@ def even_out(state: DataFrame, shards: int, mean: float, cells: int) -> DataFram
 def _fill(rows: DataFrame, room: list[float], cells: int) -> DataFrame:
     """Adds `shard` to a table of documents (size, turn, ...), each shard getting bytes in proportion to its room."""
     total = rows.agg(F.sum("size")).first()[0] or 0
-    ends = _ends(room, total)
+    ends = _ends(room, total, spread=True)
     middle = F.col("before") + F.col("size") / 2
     shard = F.size(F.filter(F.array(*[F.lit(e) for e in ends]), lambda e: e <= middle)) if ends else F.lit(0)
     return running(rows, [], F.col("size"), cells).withColumn("shard", shard).drop("before")
