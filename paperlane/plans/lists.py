@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import access
 from ..operators import catalog as C
 from ..sources.corpus import table
 
@@ -210,6 +211,46 @@ def rel_api_key_check(spark, sf_dir):
     return e.select("event_id", ok.alias("valid"))
 
 
+def _users(spark, sf_dir):
+    role = F.get(F.array(*map(F.lit, ("user", "admin", "super_admin", "user"))), (F.col("c_custkey") % 4).cast("int"))
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.concat(F.lit("c"), "c_custkey", F.lit("@voorbeeld.nl")).alias("email"), F.col("c_name").alias("name"), role.alias("role"), (F.col("c_custkey") % 11 > 0).alias("is_active"))
+
+
+def _requests(spark, sf_dir):
+    """A request for each order: by its customer, of a kind, for a user and with values that follow from its number."""
+    k = F.col("o_orderkey")
+    pick = lambda values, n: F.get(F.array(*map(F.lit, values)), (n % len(values)).cast("int"))
+    return table(spark, sf_dir, "orders").select(
+        k.alias("request_id"),
+        F.col("o_custkey").alias("actor_id"),
+        pick(("create", "update", "delete", "reset", "block"), k).alias("action"),
+        F.when(F.expr("o_orderkey div 5 % 6 = 0"), F.col("o_custkey")).otherwise(F.expr("o_orderkey div 8")).alias("target_id"),
+        F.concat(F.lit(" C"), F.expr("o_orderkey div 7"), F.lit("@Voorbeeld.nl")).alias("email"),
+        F.concat(F.lit(" "), "o_orderpriority", F.lit(" ")).alias("name"),
+        pick((None, "user", "user", "user", "user", "user", "admin", "super_admin", "boss"), k).alias("role"),
+        (k % 2 == 0).alias("is_active"),
+        F.repeat(F.lit("x"), (6 + k % 8).cast("int")).alias("password"),
+    )
+
+
+def rel_users(spark, sf_dir):
+    """What becomes of each request to make, change, delete or reset a user."""
+    return access.judged_requests(_requests(spark, sf_dir), _users(spark, sf_dir)).select("request_id", "action", "reason")
+
+
+def rel_users_after(spark, sf_dir):
+    """The users once the accepted requests are carried out."""
+    u = _users(spark, sf_dir)
+    return access.changed_users(u, access.judged_requests(_requests(spark, sf_dir), u))
+
+
+def rel_row_level_access(spark, sf_dir):
+    """Keys that user 7 sees, and that user 8, an admin, sees."""
+    e = table(spark, sf_dir, "events").select("event_id", "user_id")
+    seen = lambda viewer, role: access.visible(e, viewer, role).select(F.lit(viewer).alias("viewer"), "event_id", "user_id")
+    return seen(7, "user").unionByName(seen(8, "admin"))
+
+
 def ui_merge_latest(spark, sf_dir):
     d = documents(spark, sf_dir).select("id", "status", "risk")
     second = d.where("risk > 50").withColumn("status", F.lit("seen"))
@@ -229,13 +270,24 @@ def src_cache_index(spark, sf_dir):
 
 
 def queries() -> dict:
-    names = "rel_list_documents rel_list_count rel_by_reference rel_missing_required rel_duplicate_of rel_get_document rel_subject_search rel_subject_by_name_grouped rel_subject_documents rel_subject_create_unique rel_mcp_list_documents rel_mcp_list_references rel_mcp_search_documents rel_high_risk rel_high_risk_default risk_band rel_list_signals rel_list_types_policy rel_unique_checks rel_delete_guard rel_signals_crud cfg_import cfg_export cfg_settings rel_queue_backlog rel_feedback rel_api_key_check ui_merge_latest ui_recent_done src_cache_index"
+    names = "rel_list_documents rel_list_count rel_by_reference rel_missing_required rel_duplicate_of rel_get_document rel_subject_search rel_subject_by_name_grouped rel_subject_documents rel_subject_create_unique rel_mcp_list_documents rel_mcp_list_references rel_mcp_search_documents rel_high_risk rel_high_risk_default risk_band rel_list_signals rel_list_types_policy rel_unique_checks rel_delete_guard rel_signals_crud cfg_import cfg_export cfg_settings rel_queue_backlog rel_feedback rel_api_key_check rel_users rel_users_after rel_row_level_access ui_merge_latest ui_recent_done src_cache_index"
     return {n: globals()[n] for n in names.split()}
 
 
 _BAND = "CASE WHEN {0} >= 70 THEN 'CRITICAL' WHEN {0} >= 50 THEN 'HIGH' WHEN {0} >= 25 THEN 'MEDIUM' WHEN {0} IS NOT NULL THEN 'LOW' END"
 
 
+_JUDGED_SQL = """u AS (SELECT c_custkey AS id, concat('c', c_custkey, '@voorbeeld.nl') AS email, c_name AS name, CASE c_custkey % 4 WHEN 1 THEN 'admin' WHEN 2 THEN 'super_admin' ELSE 'user' END AS role, c_custkey % 11 > 0 AS is_active FROM customer),
+ q AS (SELECT o_orderkey AS request_id, o_custkey AS actor_id, CASE o_orderkey % 5 WHEN 0 THEN 'create' WHEN 1 THEN 'update' WHEN 2 THEN 'delete' WHEN 3 THEN 'reset' ELSE 'block' END AS action, CASE WHEN o_orderkey // 5 % 6 = 0 THEN o_custkey ELSE o_orderkey // 8 END AS target_id,
+   concat('c', o_orderkey // 7, '@voorbeeld.nl') AS email, o_orderpriority AS name, CASE o_orderkey % 9 WHEN 0 THEN NULL WHEN 6 THEN 'admin' WHEN 7 THEN 'super_admin' WHEN 8 THEN 'boss' ELSE 'user' END AS role, o_orderkey % 2 = 0 AS is_active, 6 + o_orderkey % 8 AS n FROM orders),
+ j AS (SELECT q.*, CASE WHEN a.id IS NULL OR (action = 'delete' AND a.role = 'admin') THEN 'actor' WHEN action IN ('create', 'update') AND q.role = 'boss' THEN 'role' WHEN action IN ('create', 'reset') AND n < 8 THEN 'password'
+   WHEN action = 'delete' AND target_id = actor_id THEN 'self' WHEN action IN ('update', 'delete', 'reset') AND w.id IS NULL THEN 'target'
+   WHEN a.role = 'admin' AND ((action IN ('create', 'update') AND q.role LIKE '%admin') OR (action IN ('update', 'reset') AND w.role LIKE '%admin')) THEN 'rank'
+   WHEN action = 'update' AND target_id = actor_id AND q.role <> a.role THEN 'own_role' WHEN action = 'create' AND q.email IN (SELECT email FROM u) THEN 'email' WHEN action = 'block' THEN 'action' END AS said
+  FROM q LEFT JOIN u a ON a.id = actor_id AND a.is_active AND a.role LIKE '%admin' LEFT JOIN u w ON w.id = target_id),
+ judged AS (SELECT *, CASE WHEN said IS NULL AND action = 'create' AND row_number() OVER (PARTITION BY said, action, email ORDER BY request_id) > 1 THEN 'email' ELSE said END AS reason FROM j)"""
+
+
 def oracle_sql() -> dict[str, str]:
     band = _BAND.format("risk")
     return {
@@ -265,6 +317,13 @@ def oracle_sql() -> dict[str, str]:
         "cfg_settings": "SELECT event_id, coalesce(CASE WHEN TRY_CAST(props->>'$.k' AS INT) > 50 THEN TRY_CAST(props->>'$.k' AS INT) END, 180) AS timeout, event_type = 'click' AS enabled FROM events",
         "rel_queue_backlog": f"WITH {_D} SELECT id, created_at FROM d WHERE status = 'P'",
         "rel_feedback": f"WITH {_D}, f AS (SELECT id, status, risk % 3 AS k, CASE WHEN risk % 5 = 0 THEN 'unknown' ELSE doc_type END AS predicted, CASE WHEN risk % 2 = 0 THEN '3-MEDIUM' END AS corrected FROM d), g AS (SELECT id, CASE WHEN k = 1 THEN coalesce(corrected, predicted) ELSE predicted END AS label FROM f WHERE status = 'F' AND k IN (0, 1)) SELECT * FROM g WHERE label <> 'unknown'",
+        "rel_users": f"WITH {_JUDGED_SQL} SELECT request_id, action, reason FROM judged",
+        "rel_users_after": f"""WITH {_JUDGED_SQL}, ok AS (SELECT * FROM judged WHERE reason IS NULL),
+ gone AS (SELECT target_id FROM ok WHERE action = 'delete'),
+ upd AS (SELECT target_id, arg_max(trim(name), request_id) AS n, arg_max(role, request_id) AS r, arg_max(is_active, request_id) AS a FROM ok WHERE action = 'update' GROUP BY target_id)
+ SELECT id, email, coalesce(n, name) AS name, coalesce(r, role) AS role, coalesce(a, is_active) AS is_active, NULL::BIGINT AS made_by FROM u LEFT JOIN upd ON target_id = id WHERE id NOT IN (SELECT target_id FROM gone)
+ UNION ALL SELECT NULL, email, trim(name), coalesce(role, 'user'), true, request_id FROM ok WHERE action = 'create'""",
+        "rel_row_level_access": "SELECT 7 AS viewer, event_id, user_id FROM events WHERE user_id = 7 UNION ALL SELECT 8, event_id, user_id FROM events",
         "rel_api_key_check": "SELECT event_id, event_type <> 'error' AND value > 1 AND (event_id % 3 = 0 OR ts > TIMESTAMP '2024-01-05') AS valid FROM events",
         "ui_merge_latest": f"WITH {_D} SELECT id, CASE WHEN risk > 50 THEN 'seen' ELSE status END AS status, risk FROM d",
         "ui_recent_done": f"WITH {_D} SELECT id FROM d WHERE status = 'F' ORDER BY created_at DESC, id DESC LIMIT 6",
