@@ -385,11 +385,12 @@ def _merged(a: DataFrame, b: DataFrame, on: str) -> DataFrame:
     return a.join(b.hint("merge"), on)
 
 
-def _verified(pairs: DataFrame, rows: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+def _verified(pairs: DataFrame, rows: DataFrame, distinct: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """Those pairs (a, b) of sets whose Jaccard similarity is as high as wanted.
 
     The masks of two sets bound how much they differ, so most pairs end there. For the others the
-    sets are made again, from the texts that have them.
+    sets are made again, from the texts that have them: distinct names one (th) for each set, so that
+    copies are not dealt by their set.
     """
     both = lambda pairs, table, c: _merged(_merged(pairs, table.select(F.col("set").alias("a"), F.col(c).alias("x")), "a"), table.select(F.col("set").alias("b"), F.col(c).alias("y")), "b").select("a", "b", "x", "y")
     nodes = lambda pairs: pairs.select(F.col("a").alias("set")).union(pairs.select("b")).distinct()
@@ -404,7 +405,7 @@ def _verified(pairs: DataFrame, rows: DataFrame, texts: DataFrame, shingle: int,
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(keep))
 
     left = settle(both(pairs, settle(masks, "similar-masks"), "m").mapInArrow(may, "a long, b long"), "similar-left")
-    held = rows.join(nodes(left), "set", "left_semi").groupBy("set").agg(F.min("th").alias("th"))
+    held = distinct.select("set", "th").join(nodes(left), "set", "left_semi")
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -439,8 +440,8 @@ def _similar(docs: DataFrame, shingle: int, similarity: float, id_col: str, text
     small_batches(docs.sparkSession, 500)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
     rows = settle(_named_sets(texts, shingle, similarity), "similar-rows")
-    distinct = settle(rows.groupBy("set").agg(F.min("id").alias("least")), "similar-distinct")
-    verify = lambda pairs: settle(_verified(pairs, rows, texts, shingle, similarity), "similar-links")
+    distinct = settle(rows.groupBy("set").agg(F.min("id").alias("least"), F.min("th").alias("th")), "similar-distinct")
+    verify = lambda pairs: settle(_verified(pairs, rows, distinct, texts, shingle, similarity), "similar-links")
 
     first = settle(rows.groupBy("fp").agg(F.min("set").alias("first")), "similar-fingerprints")
     same = rows.join(first, "fp").where("set <> first").select(F.least("first", "set").alias("a"), F.greatest("first", "set").alias("b"))
@@ -468,7 +469,7 @@ def _similar(docs: DataFrame, shingle: int, similarity: float, id_col: str, text
     rest = settle(rest, "similar-rest")
     links_ = settle(found.union(verify(rest)), "similar-links")
     discard(met, ends, some, parts, tagged, several, apart)
-    return rows.select("id", "th", "set"), distinct, links_
+    return rows.select("id", "th", "set"), distinct.select("set", "least"), links_
 
 
 def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
