@@ -90,3 +90,18 @@ def hints_of(top: DataFrame, n: int = 10) -> DataFrame:
     """The first n tokens of each label as `kw:` lines."""
     rows = top.where(F.col("rank") <= n).groupBy("label").agg(F.array_sort(F.collect_list(F.struct("rank", "token"))).alias("t"))
     return rows.select("label", F.array_join(F.transform("t", lambda x: F.concat(F.lit("kw:"), x["token"])), "\n").alias("hints"))
+
+
+def looked_up(requests: DataFrame, models: DataFrame, name: str) -> DataFrame:
+    """Requests with model, the one that each is answered by: the model it names, else the default one, else null.
+
+    models has model (each once) and labels, the number of its labels. A model without labels answers nothing, and its name does
+    not fall back; a null name or one that no model has does.
+    """
+    first = models.select(F.col("model").alias("_named"), F.col("labels").alias("_labels"))
+    d = requests.join(first, F.col(name) == F.col("_named"), "left")
+    d = d.withColumn("_other", F.when(F.col("_named").isNull(), "default"))
+    second = models.where("model = 'default'").select(F.col("model").alias("_default"), F.col("labels").alias("_default_labels"))
+    d = d.join(second, F.col("_other") == F.col("_default"), "left")
+    model = F.when(F.col("_labels") > 0, F.col("_named")).when(F.col("_default_labels") > 0, F.col("_default"))
+    return d.select(*requests.columns, model.alias("model"))

@@ -168,13 +168,6 @@ def nb_merge_models(spark, sf_dir):
     return B.merged(models, 50).select("label", "token", "c", "rank")
 
 
-def nb_model_lookup(spark, sf_dir):
-    """A named model, else the default, else none: sources that have enough documents have a model of their own."""
-    d = table(spark, sf_dir, "documents")
-    n = d.groupBy("source").agg(F.count("*").alias("n"))
-    return n.select("source", F.when(F.col("n") >= 45, F.col("source")).when(F.col("n") >= 40, F.lit("default")).alias("model"))
-
-
 def nb_training_files_by_label(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
     return d.groupBy("lang").agg(F.count("*").alias("files"), F.min("doc_id").alias("first"), F.sum("n_chars").alias("chars"))
@@ -225,7 +218,7 @@ es AS (SELECT vec_id, cv.label, (list_cosine_similarity(list_transform(embedding
 rk AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, label) AS r FROM es),
 bst AS (SELECT vec_id, max(score) FILTER (r = 1) AS s1, max(score) FILTER (r = 2) AS s2, max(label) FILTER (r = 1) AS l1, string_agg(CAST(label AS VARCHAR), ',' ORDER BY r) FILTER (r <= 3) AS labels FROM rk GROUP BY vec_id)"""
 
-_NAMES = "hint_parse cls_strong cls_validate_not cls_deterministic cls_engine_deterministic cls_matched_hints field_detectable cls_evidence_supported cls_llm_validate cls_llm_label_scope cls_stage nb_tokenize nb_train nb_predict nb_predict_all nb_threshold nb_model_lookup nb_top_tokens nb_training_files_by_label nb_merge_models nb_hints_from_tokens mdl_list emb_train emb_scores emb_predict emb_semantic_context emb_model_fallback"
+_NAMES = "hint_parse cls_strong cls_validate_not cls_deterministic cls_engine_deterministic cls_matched_hints field_detectable cls_evidence_supported cls_llm_validate cls_llm_label_scope cls_stage nb_tokenize nb_train nb_predict nb_predict_all nb_threshold nb_top_tokens nb_training_files_by_label nb_merge_models nb_hints_from_tokens mdl_list emb_train emb_scores emb_predict emb_semantic_context emb_model_fallback"
 
 
 def queries() -> dict:
@@ -254,7 +247,6 @@ def oracle_sql() -> dict[str, str]:
         "nb_predict_all": f"WITH {_NB} SELECT doc_id, label, round(p, 6) AS p FROM pr",
         "nb_predict": f"WITH {_NB} SELECT doc_id, label, round(p, 6) AS p FROM pd",
         "nb_threshold": f"WITH {_NB} SELECT doc_id, CASE WHEN p >= 0.85 THEN label END AS label, label AS raw_label FROM pd",
-        "nb_model_lookup": "SELECT source, CASE WHEN count(*) >= 45 THEN source WHEN count(*) >= 40 THEN 'default' END AS model FROM documents GROUP BY source",
         "nb_top_tokens": f"WITH {_NB} {top}",
         "nb_training_files_by_label": "SELECT lang, count(*) AS files, min(doc_id) AS first, sum(n_chars)::BIGINT AS chars FROM documents GROUP BY lang",
         "nb_merge_models": f"WITH {_NB} {top}",

@@ -42,13 +42,6 @@ def fx_regex_filter(spark, sf_dir):
     return p.select("p_partkey", V.pattern_match(value, r"^\d+$").alias("value"))
 
 
-def fr_missing_verified(spark, sf_dir):
-    """Required fields in the result that have no evidence."""
-    o = table(spark, sf_dir, "orders")
-    s = R.signal((F.col("o_orderkey") % 5 == 0) & (F.col("o_orderkey") % 3 != 0), "missing_verified_required_fields", "MEDIUM", 0.6, "context_mismatch")
-    return o.withColumn("s", s).where("s is not null").select("o_orderkey", "s.risk_level", "s.confidence")
-
-
 def snk_finalize(spark, sf_dir):
     """Documents with the results of their stages."""
     s = statements(spark, sf_dir).select("doc_id", rules.strong(F.col("text"), [rules.parse_hints("statement", "kw:iban\nnot:boeking")]).alias("slug"))
@@ -106,7 +99,7 @@ def fx_evidence_repair(spark, sf_dir):
     return s.select("doc_id", Cand.repaired_evidence(value, normal, e, chunk, 30).alias("evidence"))
 
 
-_NAMES = "fx_evidence_repair norm_text norm_tokens fx_regex_filter fr_missing_verified snk_finalize rel_skip_crud rel_type_fields_crud src_batch st_cancel prep_skip_signature"
+_NAMES = "fx_evidence_repair norm_text norm_tokens fx_regex_filter snk_finalize rel_skip_crud rel_type_fields_crud src_batch st_cancel prep_skip_signature"
 
 
 def queries() -> dict:
@@ -122,7 +115,6 @@ def oracle_sql() -> dict[str, str]:
         "fx_evidence_repair": f"{stmt} SELECT doc_id, CASE WHEN doc_id % 2 = 0 AND doc_id % 5 <> 0 THEN concat('IBAN: ', iban) WHEN doc_id % 5 = 0 THEN CASE WHEN doc_id % 2 = 0 THEN concat('IBAN: ', iban) ELSE 'geen' END WHEN doc_id % 5 = 3 THEN concat(repeat('x ', 15), iban, repeat(' y', 15)) ELSE array_to_string(string_split(text, chr(10))[1:4], chr(10)) END AS evidence FROM stmt",
         "norm_tokens": f"SELECT p_partkey, array_to_string(list_filter(string_split({n('p_name')}, ' '), lambda w: length(w) >= 2), ' ') AS words FROM part",
         "fx_regex_filter": "SELECT p_partkey, CASE WHEN p_partkey % 3 < 2 THEN CAST(p_partkey AS VARCHAR) END AS value FROM part",
-        "fr_missing_verified": "SELECT o_orderkey, 'MEDIUM' AS risk_level, 0.6::DOUBLE AS confidence FROM orders WHERE o_orderkey % 5 = 0 AND o_orderkey % 3 <> 0",
         "snk_finalize": f"{stmt}, o AS (SELECT o_orderkey AS doc_id, CAST(floor(o_totalprice) AS BIGINT) % 101 AS risk FROM orders) SELECT o.doc_id, CASE WHEN ok THEN 'statement' ELSE 'unknown' END AS slug, risk, {bands} AS level, CASE WHEN ok THEN 'done' ELSE 'error' END AS status FROM o LEFT JOIN (SELECT doc_id, NOT contains(lower(text), 'boeking') AS ok FROM stmt) s USING (doc_id)",
         "rel_skip_crud": "SELECT s_suppkey AS key, CASE WHEN s_suppkey % 2 = 0 THEN lower(s_name) ELSE s_name END AS pattern, s_suppkey % 2 = 0 AS active FROM supplier WHERE s_suppkey % 3 <> 0 OR s_suppkey % 2 = 0",
         "rel_type_fields_crud": "SELECT s_suppkey AS key, lower(s_name) AS pattern FROM supplier WHERE s_suppkey % 6 = 0",

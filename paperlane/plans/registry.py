@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import answers, evidence, fields, flow, lists, models, more, outside, relevance, results, risk, texts
+from . import answers, evidence, fields, flow, lists, models, more, outside, relevance, results, risk, stored, texts
 
-_PARTS = (texts, lists, models, fields, risk, flow, more, relevance, results, answers, evidence, outside)
+_PARTS = (texts, lists, models, fields, risk, flow, more, relevance, results, answers, evidence, outside, stored)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

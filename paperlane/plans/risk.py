@@ -165,14 +165,6 @@ def fr_amount_inconsistency(spark, sf_dir):
     return l.select("l_orderkey", "l_linenumber", "l_partkey", F.col("s").isNotNull().alias("inconsistent"))
 
 
-def fr_invalid_iban(spark, sf_dir):
-    """Signals that follow from validation errors."""
-    o = table(spark, sf_dir, "orders")
-    errors = F.array_compact(F.array(F.when(F.col("o_orderkey") % 3 == 0, "invalid_iban:iban"), F.when(F.col("o_orderkey") % 4 == 0, "invalid_iban:tegenrekening"), F.when(F.col("o_orderkey") % 5 == 0, "missing_verified_required_field:datum")))
-    of = lambda p: F.transform(F.filter(errors, lambda e: e.startswith(p)), lambda e: F.split_part(e, F.lit(":"), F.lit(2)))
-    return o.select("o_orderkey", F.array_join(of("invalid_iban:"), ", ").alias("iban_fields"), F.array_join(of("missing_verified_required_field:"), ", ").alias("unverified"))
-
-
 def _reports(spark, sf_dir):
     """Each order's lines as its signals."""
     l = table(spark, sf_dir, "lineitem")
@@ -216,12 +208,6 @@ _ADV = """a AS (SELECT *, CASE WHEN lv IN ('HIGH', 'CRITICAL') THEN 0 WHEN lv =
 c AS (SELECT doc_id, t, n, pk, sk, name, CASE f WHEN 'N' THEN CASE WHEN t = 0 THEN 'high' ELSE 'medium' END || ':document_verlopen' WHEN 'A' THEN CASE WHEN lv = 'HIGH' THEN 'high' ELSE 'medium' END || ':waarde_afwijking' ELSE CASE WHEN k = 1 THEN 'medium:pdf_metadata' END END AS card FROM b)"""
 
 
-def fr_read_fallback(spark, sf_dir):
-    """The cached report, else the stored one, else the database's."""
-    o = table(spark, sf_dir, "orders")
-    return o.select("o_orderkey", F.coalesce(F.when(F.col("o_orderkey") % 4 == 0, "cache"), F.when(F.col("o_orderkey") % 3 == 0, "artifact"), F.lit("database")).alias("origin"))
-
-
 def fr_rule_load(spark, sf_dir):
     """Rules of the documents' types, from JSON; malformed ones are passed over."""
     o = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderpriority").alias("slug"))
@@ -230,13 +216,6 @@ def fr_rule_load(spark, sf_dir):
     return o.join(F.broadcast(rules), "slug").select("o_orderkey", "r.validation_type", F.try_element_at(F.col("r.params"), F.lit("min")).alias("min"))
 
 
-def fx_rule_gate(spark, sf_dir):
-    """Rules run only for documents that have verified and validation results and some data."""
-    o = table(spark, sf_dir, "orders")
-    verified, validated = o.where("o_orderkey % 2 = 0").select("o_orderkey"), o.where("o_orderkey % 3 = 0").select("o_orderkey")
-    return o.where("o_totalprice > 1000").join(verified, "o_orderkey", "left_semi").join(validated, "o_orderkey", "left_semi").select("o_orderkey")
-
-
 def ui_actionable_signals(spark, sf_dir):
     s = F.slice(F.filter("signals", lambda x: x["risk_level"] != "LOW"), 1, 5)
     return _reports(spark, sf_dir).select("doc_id", F.array_join(F.transform(s, lambda x: x["name"]), ",").alias("names"))
@@ -247,7 +226,7 @@ def ui_advice_filter(spark, sf_dir):
     return _reports(spark, sf_dir).select("doc_id", F.size(a).alias("n"))
 
 
-_NAMES = "fr_unicode fr_repetition fr_legacy_anomaly fr_low_confidence fr_semantic fr_existing fr_pdf_metadata fr_pdf_producer_legacy fr_legacy_score fr_ela fr_pdf_image_pick fr_exif fr_rule_amount_range fr_rule_date_max_age fr_rule_ratio fr_rule_not_expired fr_rule_load fr_amount_inconsistency fr_invalid_iban fr_score fr_level fr_summary fr_advice fr_risk_dict fr_read_fallback fx_rule_gate ui_actionable_signals ui_advice_filter"
+_NAMES = "fr_unicode fr_repetition fr_legacy_anomaly fr_low_confidence fr_semantic fr_existing fr_pdf_metadata fr_pdf_producer_legacy fr_legacy_score fr_ela fr_pdf_image_pick fr_exif fr_rule_amount_range fr_rule_date_max_age fr_rule_ratio fr_rule_not_expired fr_rule_load fr_amount_inconsistency fr_score fr_level fr_summary fr_advice fr_risk_dict ui_actionable_signals ui_advice_filter"
 
 
 def queries() -> dict:
@@ -287,14 +266,11 @@ def oracle_sql() -> dict[str, str]:
         "fr_rule_not_expired": f"WITH {_RULES}, y AS (SELECT *, date_diff('day', d, DATE '{AS_OF}') AS o FROM x) SELECT {key}, 'geldig_tot_expired' AS name, CASE WHEN o > 30 THEN 'HIGH' ELSE 'MEDIUM' END AS risk_level, 0.95::DOUBLE AS confidence FROM y WHERE o > 0",
         "fr_rule_load": "SELECT o_orderkey, t AS validation_type, CASE WHEN t = 'amount_range' THEN '1' END AS min FROM orders, (VALUES ('amount_range'), ('date_not_expired')) v(t) WHERE o_orderpriority = '1-URGENT'",
         "fr_amount_inconsistency": f"SELECT {key}, coalesce(v IN ({', '.join(repr(b) for b in bad)}), FALSE) AS inconsistent FROM (SELECT *, {_pick_sql(_AMOUNTS)} AS v FROM lineitem)",
-        "fr_invalid_iban": "SELECT o_orderkey, concat_ws(', ', CASE WHEN o_orderkey % 3 = 0 THEN 'iban' END, CASE WHEN o_orderkey % 4 = 0 THEN 'tegenrekening' END) AS iban_fields, CASE WHEN o_orderkey % 5 = 0 THEN 'datum' ELSE '' END AS unverified FROM orders",
         "fr_score": f"WITH {_REP} SELECT doc_id, round(score, 6) AS risk_score FROM sc",
         "fr_level": f"WITH {_REP} SELECT doc_id, level AS overall_risk FROM lv",
         "fr_summary": f"WITH {_REP}, z AS (SELECT *, CASE WHEN above > 0 THEN above ELSE all_n END AS k FROM lv) SELECT doc_id, concat(CASE level WHEN 'LOW' THEN 'Laag risico' WHEN 'MEDIUM' THEN 'Gemiddeld risico' WHEN 'HIGH' THEN 'Hoog risico' ELSE 'Kritiek risico' END, ': ', k, ' signaal', CASE WHEN k <> 1 THEN 'en' ELSE '' END, ' gedetecteerd.', CASE WHEN grave IS NOT NULL THEN concat(' Belangrijkste: ', grave) ELSE '' END) AS summary FROM z",
         "fr_risk_dict": f"WITH {_REP}, g AS (SELECT doc_id, string_agg(name, '; ' ORDER BY n, pk, sk, name) AS evidence FROM sg GROUP BY doc_id) SELECT doc_id, round_even(round(score, 6), 0)::INT AS score, evidence FROM sc JOIN g USING (doc_id)",
         "fr_advice": f"WITH {_REP}, {_ADV} SELECT doc_id, coalesce(string_agg(card, ',' ORDER BY t, n, pk, sk, name), '') AS advice FROM c GROUP BY doc_id",
-        "fr_read_fallback": "SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 0 THEN 'cache' WHEN o_orderkey % 3 = 0 THEN 'artifact' ELSE 'database' END AS origin FROM orders",
-        "fx_rule_gate": "SELECT o_orderkey FROM orders WHERE o_totalprice > 1000 AND o_orderkey % 6 = 0",
         "ui_actionable_signals": f"WITH {_REP}, r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n, pk, sk, name) AS k FROM sg WHERE lv <> 'LOW'), a AS (SELECT doc_id, string_agg(name, ',' ORDER BY k) AS names FROM r WHERE k <= 5 GROUP BY doc_id) SELECT doc_id, coalesce(names, '') AS names FROM sc LEFT JOIN a USING (doc_id)",
         "ui_advice_filter": f"WITH {_REP}, {_ADV} SELECT doc_id, count(card) AS n FROM c GROUP BY doc_id",
     }

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,8 +45,20 @@ def uploads(spark: SparkSession, folder: str) -> DataFrame:
     return d.select(F.col("id").alias("path"), "filename", "length", "sha256", "mime", "reason")
 
 
+def decoded(content: Column) -> Column:
+    """Bytes as UTF-8 text without those that are none, which Spark's own decoder replaces or refuses; null stays null."""
+
+    @F.pandas_udf("string")
+    def work(c: pd.Series) -> pd.Series:
+        return c.map(lambda x: bytes(x).decode("utf-8", "ignore"), na_action="ignore")
+
+    return work(content)
+
+
 def text_files(spark: SparkSession, folder: str) -> DataFrame:
-    return spark.read.text(folder, wholetext=True).select(F.input_file_name().alias("path"), F.col("value").alias("text"))
+    """Files of a folder as texts (path, text), whole, line ends as they are."""
+    f = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    return f.select("path", decoded(F.col("content")).alias("text"))
 
 
 def safe_name(name: Column) -> Column:
