@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ROLES = ("user", "admin", "super_admin")
@@ -64,3 +64,15 @@ def changed_users(users: DataFrame, judged: DataFrame) -> DataFrame:
     kept = d.select("id", "email", F.coalesce(F.trim("_name"), "name").alias("name"), F.coalesce("_role", "role").alias("role"), F.coalesce("_is_active", "is_active").alias("is_active"), F.lit(None).cast("long").alias("made_by"))
     made = ok.where("action = 'create'").select(F.lit(None).cast("long").alias("id"), F.lower(F.trim("email")).alias("email"), F.trim("name").alias("name"), F.coalesce("role", F.lit("user")).alias("role"), F.lit(True).alias("is_active"), F.col("request_id").alias("made_by"))
     return kept.unionByName(made)
+
+
+def checked_keys(presented: DataFrame, keys: DataFrame, at: Column) -> DataFrame:
+    """Presented secrets (any columns, secret) with key_id and owner of the key that each opens, null where none does.
+
+    keys has key_id, user_id, secret_hash, is_active and expires_at; a key opens while active and, at the given time, not expired;
+    without expires_at it never expires. Of several keys of one hash the smallest key_id counts. A null secret opens nothing.
+    """
+    good = keys.where(F.col("is_active") & (F.col("expires_at").isNull() | (F.col("expires_at") > at)) & F.col("secret_hash").isNotNull())
+    good = good.groupBy(F.col("secret_hash").alias("_hash")).agg(F.min(F.struct("key_id", F.col("user_id").alias("owner"))).alias("_key"))
+    d = presented.join(good, F.sha2("secret", 256) == F.col("_hash"), "left")
+    return d.select(*[presented[c] for c in presented.columns], "_key.key_id", "_key.owner")

@@ -124,18 +124,6 @@ def st_queue(spark, sf_dir):
     return first.join(gone, "user_id", "left_anti").select("user_id", F.col("f.event_id").alias("event_id"))
 
 
-def st_job(spark, sf_dir):
-    e = table(spark, sf_dir, "events")
-    failed = F.col("event_type") == "error"
-    return e.select("event_id", F.when(failed, "error").otherwise("done").alias("status"), F.when(failed, F.substring("props", 1, 1000)).alias("error"))
-
-
-def st_reprocess(spark, sf_dir):
-    o = table(spark, sf_dir, "orders")
-    s = F.when(F.col("o_orderstatus") == "F", "queued").when(F.col("o_orderkey") % 10 == 0, "error").otherwise(F.col("o_orderstatus"))
-    return o.select("o_orderkey", s.alias("status"), F.when((F.col("o_orderstatus") != "F") & (F.col("o_orderkey") % 10 == 0), "cancelled").alias("error"))
-
-
 def snk_webhook(spark, sf_dir):
     o = table(spark, sf_dir, "orders")
     return o.select("o_orderkey", I.webhook_payload(F.col("o_orderkey"), F.when(F.col("o_orderstatus") == "F", "done").otherwise("error"), F.col("o_orderpriority"), (F.col("o_orderkey") % 7) / 7.0, F.lit(None).cast("string")).alias("payload"))
@@ -197,7 +185,7 @@ def ui_signal_split(spark, sf_dir):
     return s.select("doc_id", half(lambda v: v > 0).alias("matched"), half(lambda v: v <= 0).alias("other"))
 
 
-_NAMES = "prep_sample prep_skip_marker prep_skip_training chunk_split chunk_pages fx_path_split table_like words_within_window norm_search llm_tokens llm_safe_max llm_budget_vllm llm_roles js_null_strings js_repair js_extract_objects st_sse st_progress st_queue st_job st_reprocess snk_webhook src_dispatch src_sanitize_filename src_train_dir src_combine_pages src_artifact_guard src_image_ocr ui_fields_view ui_evidence_by_page ui_signal_split"
+_NAMES = "prep_sample prep_skip_marker prep_skip_training chunk_split chunk_pages fx_path_split table_like words_within_window norm_search llm_tokens llm_safe_max llm_budget_vllm llm_roles js_null_strings js_repair js_extract_objects st_sse st_progress st_queue snk_webhook src_dispatch src_sanitize_filename src_train_dir src_combine_pages src_artifact_guard src_image_ocr ui_fields_view ui_evidence_by_page ui_signal_split"
 
 
 def queries() -> dict:
@@ -240,8 +228,6 @@ def oracle_sql() -> dict[str, str]:
         "st_sse": "SELECT user_id, ts, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1",
         "st_progress": "SELECT event_id, CASE event_id % 7 WHEN 0 THEN 0 WHEN 1 THEN 10 WHEN 2 THEN floor(10 + (user_id % 10 + 1) / 10 * 35)::INT WHEN 3 THEN 45 WHEN 4 THEN 60 WHEN 5 THEN 85 ELSE 100 END AS progress FROM events",
         "st_queue": "WITH f AS (SELECT user_id, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) = 1) SELECT * FROM f WHERE user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'error' AND value > 20)",
-        "st_job": "SELECT event_id, CASE WHEN event_type = 'error' THEN 'error' ELSE 'done' END AS status, CASE WHEN event_type = 'error' THEN substr(props, 1, 1000) END AS error FROM events",
-        "st_reprocess": "SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 'queued' WHEN o_orderkey % 10 = 0 THEN 'error' ELSE o_orderstatus END AS status, CASE WHEN o_orderstatus <> 'F' AND o_orderkey % 10 = 0 THEN 'cancelled' END AS error FROM orders",
         "src_dispatch": "SELECT doc_id, (['pdf', 'image', 'docx', 'xlsx', 'txt', 'error'])[doc_id % 6 + 1] AS reader FROM documents",
         "src_train_dir": "WITH f AS (SELECT DISTINCT l_orderkey AS stem, (['png', 'pdf', 'docx', 'jpg', 'txt'])[l_partkey % 5 + 1] AS ext FROM lineitem) SELECT stem, ext FROM f QUALIFY row_number() OVER (PARTITION BY stem ORDER BY list_position(['txt', 'pdf', 'png', 'jpg', 'jpeg', 'docx'], ext)) = 1",
         "src_combine_pages": "SELECT conv_id, md5(string_agg(concat(text, chr(10), chr(10)), '' ORDER BY turn, text)) AS md5 FROM conversations GROUP BY conv_id",

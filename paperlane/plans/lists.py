@@ -204,13 +204,6 @@ def rel_feedback(spark, sf_dir):
     return C.training_feedback(_feedback(spark, sf_dir)).select("id", "label")
 
 
-def rel_api_key_check(spark, sf_dir):
-    e = table(spark, sf_dir, "events")
-    unexpired = (F.col("event_id") % 3 == 0) | (F.col("ts") > F.lit("2024-01-05").cast("timestamp"))
-    ok = (F.col("event_type") != "error") & (F.col("value") > 1) & unexpired
-    return e.select("event_id", ok.alias("valid"))
-
-
 def _users(spark, sf_dir):
     role = F.get(F.array(*map(F.lit, ("user", "admin", "super_admin", "user"))), (F.col("c_custkey") % 4).cast("int"))
     return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.concat(F.lit("c"), "c_custkey", F.lit("@voorbeeld.nl")).alias("email"), F.col("c_name").alias("name"), role.alias("role"), (F.col("c_custkey") % 11 > 0).alias("is_active"))
@@ -270,7 +263,7 @@ def src_cache_index(spark, sf_dir):
 
 
 def queries() -> dict:
-    names = "rel_list_documents rel_list_count rel_by_reference rel_missing_required rel_duplicate_of rel_get_document rel_subject_search rel_subject_by_name_grouped rel_subject_documents rel_subject_create_unique rel_mcp_list_documents rel_mcp_list_references rel_mcp_search_documents rel_high_risk rel_high_risk_default risk_band rel_list_signals rel_list_types_policy rel_unique_checks rel_delete_guard rel_signals_crud cfg_import cfg_export cfg_settings rel_queue_backlog rel_feedback rel_api_key_check rel_users rel_users_after rel_row_level_access ui_merge_latest ui_recent_done src_cache_index"
+    names = "rel_list_documents rel_list_count rel_by_reference rel_missing_required rel_duplicate_of rel_get_document rel_subject_search rel_subject_by_name_grouped rel_subject_documents rel_subject_create_unique rel_mcp_list_documents rel_mcp_list_references rel_mcp_search_documents rel_high_risk rel_high_risk_default risk_band rel_list_signals rel_list_types_policy rel_unique_checks rel_delete_guard rel_signals_crud cfg_import cfg_export cfg_settings rel_queue_backlog rel_feedback rel_users rel_users_after rel_row_level_access ui_merge_latest ui_recent_done src_cache_index"
     return {n: globals()[n] for n in names.split()}
 
 
@@ -324,7 +317,6 @@ def oracle_sql() -> dict[str, str]:
  SELECT id, email, coalesce(n, name) AS name, coalesce(r, role) AS role, coalesce(a, is_active) AS is_active, NULL::BIGINT AS made_by FROM u LEFT JOIN upd ON target_id = id WHERE id NOT IN (SELECT target_id FROM gone)
  UNION ALL SELECT NULL, email, trim(name), coalesce(role, 'user'), true, request_id FROM ok WHERE action = 'create'""",
         "rel_row_level_access": "SELECT 7 AS viewer, event_id, user_id FROM events WHERE user_id = 7 UNION ALL SELECT 8, event_id, user_id FROM events",
-        "rel_api_key_check": "SELECT event_id, event_type <> 'error' AND value > 1 AND (event_id % 3 = 0 OR ts > TIMESTAMP '2024-01-05') AS valid FROM events",
         "ui_merge_latest": f"WITH {_D} SELECT id, CASE WHEN risk > 50 THEN 'seen' ELSE status END AS status, risk FROM d",
         "ui_recent_done": f"WITH {_D} SELECT id FROM d WHERE status = 'F' ORDER BY created_at DESC, id DESC LIMIT 6",
         "src_cache_index": "SELECT doc_id AS id, doc_id % 3 <> 0 AND doc_id % 7 <> 0 AS reuse FROM documents",

@@ -73,11 +73,6 @@ def src_batch(spark, sf_dir):
     return l.groupBy("l_orderkey").agg(F.count("*").alias("files"), F.count_if(F.col("l_returnflag") != "R").alias("references")).select("l_orderkey", ((F.col("files") <= 50) & ((F.col("references") == 0) | (F.col("references") == F.col("files")))).alias("accepted"))
 
 
-def st_cancel(spark, sf_dir):
-    o = table(spark, sf_dir, "orders")
-    return o.where("o_orderstatus = 'P' and o_orderkey % 2 = 0").select("o_orderkey", F.lit("error").alias("status"), F.lit("cancelled").alias("error"))
-
-
 def _marks() -> str:
     return json.dumps(sorted([list(m) for m in MARKERS]))
 
@@ -99,7 +94,7 @@ def fx_evidence_repair(spark, sf_dir):
     return s.select("doc_id", Cand.repaired_evidence(value, normal, e, chunk, 30).alias("evidence"))
 
 
-_NAMES = "fx_evidence_repair norm_text norm_tokens fx_regex_filter snk_finalize rel_skip_crud rel_type_fields_crud src_batch st_cancel prep_skip_signature"
+_NAMES = "fx_evidence_repair norm_text norm_tokens fx_regex_filter snk_finalize rel_skip_crud rel_type_fields_crud src_batch prep_skip_signature"
 
 
 def queries() -> dict:
@@ -119,5 +114,4 @@ def oracle_sql() -> dict[str, str]:
         "rel_skip_crud": "SELECT s_suppkey AS key, CASE WHEN s_suppkey % 2 = 0 THEN lower(s_name) ELSE s_name END AS pattern, s_suppkey % 2 = 0 AS active FROM supplier WHERE s_suppkey % 3 <> 0 OR s_suppkey % 2 = 0",
         "rel_type_fields_crud": "SELECT s_suppkey AS key, lower(s_name) AS pattern FROM supplier WHERE s_suppkey % 6 = 0",
         "src_batch": "SELECT l_orderkey, count(*) <= 50 AND count(*) FILTER (l_returnflag <> 'R') IN (0, count(*)) AS accepted FROM lineitem GROUP BY l_orderkey",
-        "st_cancel": "SELECT o_orderkey, 'error' AS status, 'cancelled' AS error FROM orders WHERE o_orderstatus = 'P' AND o_orderkey % 2 = 0",
     }

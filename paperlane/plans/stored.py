@@ -1,4 +1,4 @@
-"""Queries over stored results: what validation found, which report is read, which model is used."""
+"""Queries over stored results and states: what validation found, which report is read, which model is used, what becomes of jobs and keys."""
 
 from __future__ import annotations
 
@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import values as V
+from ..operators import access
 from ..operators import artifacts as A
 from ..operators import bayes as B
 from ..operators import fraud as R
 from ..sources.corpus import STATEMENTS_SQL, statements, table
+from ..streaming import ingest as I
 from .risk import _REP, _reports
 
 
@@ -78,7 +80,45 @@ def nb_model_lookup(spark, sf_dir):
     return B.looked_up(d.select("doc_id", "source"), models, "source").select("doc_id", "model")
 
 
-_NAMES = "fr_invalid_iban fr_missing_verified fx_rule_gate fr_read_fallback nb_model_lookup"
+def _after_requests(spark, sf_dir) -> DataFrame:
+    """Orders as documents, events as requests for the one whose number is the event's value in cents."""
+    o, e = table(spark, sf_dir, "orders"), table(spark, sf_dir, "events")
+    of = lambda p, f: F.when(F.col("o_orderstatus") == "P", p).when(F.col("o_orderstatus") == "F", f)
+    d = o.select(F.col("o_orderkey").alias("doc_id"), of("processing", "done").otherwise("queued").alias("status"), of(45, 100).otherwise(0).alias("progress"), of("classifying", "done").alias("stage"), F.lit(None).cast("string").alias("error_message"), of(None, F.col("o_orderpriority")).alias("doc_type_slug"))
+    action = F.when(F.col("event_type") == "error", "cancel").when(F.col("event_type") == "signup", "analyse").when(F.col("event_type") == "click", "reprocess")
+    return I.after_requests(d, e.select(F.col("event_id").alias("request_id"), F.round(F.col("value") * 100).cast("long").alias("doc_id"), action.alias("action"), F.col("ts").alias("at")))
+
+
+def st_reprocess(spark, sf_dir):
+    """Every document after all requests for it."""
+    return _after_requests(spark, sf_dir).select(F.col("doc_id").alias("o_orderkey"), "status", "progress", "stage", "doc_type_slug", "queued")
+
+
+def st_cancel(spark, sf_dir):
+    """Documents whose last request took them out of the queue."""
+    return _after_requests(spark, sf_dir).where(F.col("error_message") == I.CANCELLED).select(F.col("doc_id").alias("o_orderkey"), "status", F.col("error_message").alias("error"))
+
+
+def st_job(spark, sf_dir):
+    """The jobs of all statements but the cancelled ones: those without an amount fail, and urgent orders are called back."""
+    s = statements(spark, sf_dir).select("doc_id", F.when(~F.col("text").contains("€"), F.concat(F.lit("geen bedrag in "), "text")).alias("failure"))
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), F.when(F.col("o_orderstatus") == "F", "done").alias("status"), F.when(F.col("o_orderpriority") == "1-URGENT", F.concat(F.lit("https://"), "o_custkey", F.lit(".voorbeeld.nl"))).alias("callback_url"))
+    gone = _after_requests(spark, sf_dir).where(F.col("error_message") == I.CANCELLED)
+    return I.finished(o.join(s, "doc_id"), gone).select("doc_id", "status", F.col("error_message").alias("error"), "event", "calls_back")
+
+
+def rel_api_key_check(spark, sf_dir):
+    """Each order's customer shows a secret; customers' keys are active with a balance, and expire that many days after 1990 but for the first five nations."""
+    c = table(spark, sf_dir, "customer")
+    until = F.when(F.col("c_nationkey") >= 5, F.date_add(F.lit("1990-01-01").cast("date"), F.floor("c_acctbal").cast("int")).cast("timestamp"))
+    keys = c.select(F.col("c_custkey").alias("key_id"), F.col("c_custkey").alias("user_id"), F.sha2("c_name", 256).alias("secret_hash"), (F.col("c_acctbal") > 0).alias("is_active"), until.alias("expires_at"))
+    o = table(spark, sf_dir, "orders").join(c.select(F.col("c_custkey").alias("o_custkey"), "c_name"), "o_custkey")
+    shown = o.select("o_orderkey", F.when(F.col("o_orderstatus") == "P", F.lower("c_name")).otherwise(F.col("c_name")).alias("secret"))
+    d = access.checked_keys(shown, keys, F.lit("1998-01-01").cast("timestamp"))
+    return d.select("o_orderkey", "owner", F.col("key_id").isNotNull().alias("valid"))
+
+
+_NAMES = "fr_invalid_iban fr_missing_verified fx_rule_gate fr_read_fallback nb_model_lookup st_reprocess st_cancel st_job rel_api_key_check"
 
 
 def queries() -> dict:
@@ -90,7 +130,18 @@ def oracle_sql() -> dict[str, str]:
 art AS (SELECT o_orderkey, o_orderstatus <> 'P' AND o_orderpriority <> '5-LOW' AS ready, contains(text, datum) AS seen,
  CAST(concat('11102320', lpad(CAST(o_custkey AS VARCHAR), 10, '0'), '2321', c_nationkey + 10) AS HUGEINT) % 97 = 1 AS valid
  FROM orders JOIN stmt ON doc_id = o_orderkey JOIN shipped USING (doc_id) JOIN customer ON c_custkey = o_custkey)"""
+    after = f"""WITH {STATEMENTS_SQL}, q AS (SELECT CAST(round(value * 100) AS BIGINT) AS k, CASE event_type WHEN 'error' THEN 'cancel' WHEN 'signup' THEN 'analyse' WHEN 'click' THEN 'reprocess' END AS a, ts, event_id FROM events),
+r AS (SELECT k, arg_max(a, (ts, event_id)) AS a, bool_or(a <> 'cancel') AS again, bool_or(a = 'analyse') AS anew FROM q WHERE a IS NOT NULL GROUP BY k),
+d AS (SELECT o.*, a, coalesce(again, false) AS again, coalesce(anew, false) AS anew, coalesce(a = 'cancel', false) AS gone FROM orders AS o LEFT JOIN r ON k = o_orderkey)"""
+    status = "CASE WHEN gone THEN 'error' WHEN a IS NOT NULL THEN 'queued' WHEN o_orderstatus = 'P' THEN 'processing' WHEN o_orderstatus = 'F' THEN 'done' ELSE 'queued' END"
     return {
+        "st_reprocess": f"""{after} SELECT o_orderkey, {status} AS status, CASE WHEN again THEN 0 WHEN o_orderstatus = 'P' THEN 45 WHEN o_orderstatus = 'F' THEN 100 ELSE 0 END AS progress,
+ CASE WHEN NOT again THEN CASE o_orderstatus WHEN 'P' THEN 'classifying' WHEN 'F' THEN 'done' END END AS stage, CASE WHEN NOT anew AND o_orderstatus = 'F' THEN o_orderpriority END AS doc_type_slug, a IS NOT NULL AND NOT gone AS queued FROM d""",
+        "st_cancel": f"{after} SELECT o_orderkey, 'error' AS status, '{I.CANCELLED}' AS error FROM d WHERE gone",
+        "st_job": f"""{after}, j AS (SELECT doc_id, o_orderstatus = 'F' AS done, NOT contains(text, '€') AS bad, text, o_orderpriority = '1-URGENT' AS calls_back FROM d JOIN stmt ON doc_id = o_orderkey WHERE NOT gone)
+SELECT doc_id, CASE WHEN bad AND NOT done THEN 'error' ELSE 'done' END AS status, CASE WHEN bad AND NOT done THEN substr(concat('geen bedrag in ', text), 1, 1000) END AS error, CASE WHEN bad THEN 'error' ELSE 'result' END AS event, calls_back FROM j""",
+        "rel_api_key_check": """WITH k AS (SELECT min(c_custkey) AS owner, c_name FROM customer WHERE c_acctbal > 0 AND (c_nationkey < 5 OR DATE '1990-01-01' + CAST(floor(c_acctbal) AS INT) > DATE '1998-01-01') GROUP BY c_name)
+SELECT o_orderkey, owner, owner IS NOT NULL AS valid FROM orders JOIN customer AS c ON c_custkey = o_custkey LEFT JOIN k ON k.c_name = CASE WHEN o_orderstatus = 'P' THEN lower(c.c_name) ELSE c.c_name END""",
         "fr_invalid_iban": f"{art} SELECT o_orderkey, CASE WHEN ready AND NOT valid THEN 'tegenrekening' ELSE '' END AS iban_fields, CASE WHEN ready AND NOT seen THEN 'datum' ELSE '' END AS unverified FROM art",
         "fr_missing_verified": f"{art} SELECT o_orderkey, 'MEDIUM' AS risk_level, 0.6::DOUBLE AS confidence FROM art WHERE ready AND NOT seen",
         "fx_rule_gate": f"{art} SELECT o_orderkey FROM art WHERE ready",

@@ -45,3 +45,49 @@ def run_jobs(jobs: DataFrame, process: Callable[[DataFrame], DataFrame], cancell
 def webhook_payload(doc_id: Column, status: Column, slug: Column, confidence: Column, error: Column) -> Column:
     """What a callback is sent; the confidence is rounded to four places, an error cut at 1,000 characters."""
     return F.to_json(F.struct(doc_id.alias("document_id"), status.alias("status"), slug.alias("doc_type"), F.round(confidence, 4).alias("confidence"), F.substring(error, 1, 1000).alias("error")))
+
+
+#: What a cancelled document says, and the columns that a document of its own analysis has.
+CANCELLED = "Geannuleerd door gebruiker"
+RESULTS = ("doc_type_slug", "doc_type_confidence", "risk_score")
+
+
+def after_requests(documents: DataFrame, requests: DataFrame) -> DataFrame:
+    """The documents after requests to reprocess, analyse anew or cancel them, with queued, whether they are to be run.
+
+    documents has doc_id, status, progress, stage, error_message and any of RESULTS; requests has request_id, doc_id, action
+    (reprocess, analyse, cancel; others count for nothing) and at. The last request decides status and error, of equal times the
+    greatest request_id. A reprocess or analysis at any time sets progress and stage back, an analysis takes the results away;
+    a cancel later on leaves that so. Requests for unknown or null documents change nothing, those of one document meet by
+    grouped maxima, so that one asked for very often is no group in one task.
+    """
+    is_ = lambda *a: F.col("action").isin(*a)
+    r = requests.where(is_("reprocess", "analyse", "cancel") & F.col("doc_id").isNotNull())
+    last = F.max_by("action", F.struct("at", "request_id")).alias("_last")
+    r = r.groupBy(F.col("doc_id").alias("_id")).agg(last, F.max(is_("reprocess", "analyse")).alias("_reset"), F.max(is_("analyse")).alias("_anew"))
+    d = documents.join(r, F.col("doc_id") == F.col("_id"), "left")
+    reset, anew, gone = F.coalesce("_reset", F.lit(False)), F.coalesce("_anew", F.lit(False)), F.coalesce(F.col("_last") == "cancel", F.lit(False))
+    asked = F.col("_last").isNotNull()
+    new = {
+        "status": F.when(gone, "error").when(asked, "queued").otherwise(F.col("status")),
+        "error_message": F.when(gone, CANCELLED).when(~asked, F.col("error_message")),
+        "progress": F.when(reset, 0).otherwise(F.col("progress")),
+        "stage": F.when(~reset, F.col("stage")),
+    }
+    new |= {c: F.when(~anew, F.col(c)) for c in RESULTS if c in documents.columns}
+    return d.select(*[new[c].alias(c) if c in new else F.col(c) for c in documents.columns], (asked & ~gone).alias("queued"))
+
+
+def finished(jobs: DataFrame, cancelled: DataFrame) -> DataFrame:
+    """Jobs (doc_id, failure, status, callback_url and others) that ran, with status, error_message, event and calls_back.
+
+    failure is null where processing came to its end. Those of documents in cancelled (doc_id) did not start and are left out. A
+    failure makes a document an error, cut at 1,000 characters, unless it was done already; its event is an error either way.
+    Who gave an address is called back about both.
+    """
+    d = jobs.join(cancelled.select("doc_id").where("doc_id is not null").distinct(), "doc_id", "left_anti")
+    bad = F.col("failure").isNotNull()
+    kept = F.coalesce(F.col("status") == "done", F.lit(False))
+    status, message = F.when(bad & ~kept, "error").otherwise("done"), F.when(bad & ~kept, F.substring("failure", 1, 1000))
+    others = [c for c in jobs.columns if c not in ("failure", "status")]
+    return d.select(*others, status.alias("status"), message.alias("error_message"), F.when(bad, "error").otherwise("result").alias("event"), (F.coalesce("callback_url", F.lit("")) != "").alias("calls_back"))

@@ -1,8 +1,12 @@
-"""Stored results: artifacts written and read, what is found in them, reports and models with what they fall back to."""
+"""Stored results and states: artifacts, reports, models and what they fall back to, requests for documents, jobs and keys."""
 
+from pyspark.sql import functions as F
+
+from paperlane.operators import access
 from paperlane.operators import artifacts as A
 from paperlane.operators import bayes as B
 from paperlane.sources import files as S
+from paperlane.streaming import ingest as I
 
 ART = "doc_id long, kind string, body string"
 ROWS = [
@@ -93,3 +97,52 @@ def test_models_looked_up(spark):
     assert look(models) == {1: "a", 2: None, 3: "default", 4: "default", 5: "default"}
     assert look(models.where("model <> 'default'")) == {1: "a", 2: None, 3: None, 4: None, 5: None}
     assert set(look(models.limit(0)).values()) == {None}
+
+
+def test_requests_for_documents(spark):
+    docs = [(k, "done", 100, "done", None, "slip", 7) for k in range(1, 7)] + [(7, "error", 10, "x", "kapot", None, 7), (None, "done", 100, "done", None, "slip", 7)]
+    d = spark.createDataFrame(docs, "doc_id long, status string, progress int, stage string, error_message string, doc_type_slug string, action int")
+    asked = [
+        (1, 1, "reprocess", 5),
+        (2, 2, "analyse", 5),
+        (3, 2, "cancel", 6),
+        (4, 3, "cancel", 6),
+        (5, 3, "reprocess", 6),  # the same time, the greater id
+        (6, 4, "cancel", 9),
+        (7, 5, "odd", 9),
+        (8, None, "cancel", 9),
+        (9, 99, "cancel", 9),
+        (10, 7, "reprocess", 1),
+        (10, 7, "reprocess", 1),
+    ]
+    r = spark.createDataFrame(asked, "request_id long, doc_id long, action string, at long")
+    got = {x.doc_id: tuple(x)[1:6] + (x.queued,) for x in I.after_requests(d, r).collect()}
+    same = ("done", 100, "done", None, "slip", False)
+    assert got == {
+        1: ("queued", 0, None, None, "slip", True),
+        2: ("error", 0, None, I.CANCELLED, None, False),
+        3: ("queued", 0, None, None, "slip", True),
+        4: ("error", 100, "done", I.CANCELLED, "slip", False),
+        5: same,
+        6: same,
+        7: ("queued", 0, None, None, None, True),
+        None: same,
+    }
+    assert I.after_requests(d, r).columns == [*d.columns, "queued"] and I.after_requests(d.limit(0), r).count() == 0
+
+
+def test_jobs(spark):
+    jobs = [(1, None, "processing", "u"), (2, "x" * 2000, "processing", "u"), (3, "stuk", "done", None), (4, "stuk", None, ""), (5, None, None, "u"), (None, "", None, "u")]
+    d = spark.createDataFrame(jobs, "doc_id long, failure string, status string, callback_url string")
+    gone = spark.createDataFrame([(5,), (5,), (None,)], "doc_id long")
+    got = {r.doc_id: (r.status, r.error_message, r.event, r.calls_back) for r in I.finished(d, gone).collect()}
+    assert got == {1: ("done", None, "result", True), 2: ("error", "x" * 1000, "error", True), 3: ("done", None, "error", False), 4: ("error", "stuk", "error", False), None: ("error", "", "error", True)}
+
+
+def test_keys(spark):
+    keys = spark.createDataFrame([(4, 40, "a", True, None), (3, 30, "a", True, 200), (1, 10, "a", False, None), (5, 50, "b", True, 100), (6, 60, "c", None, None), (7, 70, None, True, None)], "key_id long, user_id long, s string, is_active boolean, expires_at long")
+    keys = keys.withColumn("secret_hash", F.sha2("s", 256)).drop("s")
+    shown = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c"), (4, None), (5, "d"), (1, "a")], "user_id long, secret string")
+    look = lambda at: sorted(map(str, ((r.user_id, r.key_id, r.owner) for r in access.checked_keys(shown, keys, F.lit(at)).collect())))
+    assert look(100) == sorted(map(str, [(1, 3, 30), (1, 3, 30), (2, None, None), (3, None, None), (4, None, None), (5, None, None)]))
+    assert look(200)[0] == "(1, 4, 40)" and "(2, 5, 50)" in look(99)
