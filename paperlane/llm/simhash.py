@@ -279,17 +279,18 @@ def _common(docs: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _named_sets(docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """Rows (id, th, set, fp, n, m0 to m3, mask, prefix) of documents (id, th, text): set names the set of n shingles, fp is the text's fingerprint, m0 to m3 are the folded mask.
+    """Rows (id, th, set, fp, n, core, m0 to m3, mask, prefix) of documents (id, th, text): set names the set of n shingles, fp is the text's fingerprint, m0 to m3 are the folded mask.
 
-    prefix has the shingles that come first, rare ones before common ones: two sets as similar as
-    wanted share one of them. It and the mask are null where the task has given them with an earlier row.
+    core is the mean of log2(1 + count) over the set's shingles, in thousandths, by the sample's counts: the
+    member of a group of near copies that differs least from the others has the greatest. prefix has the shingles that come first, rare ones before common ones: two sets as similar as
+    wanted share one of them. It, core and the mask are null where the task has given them with an earlier row.
     """
     tokens, counts = _common(docs, shingle)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for b in batches:
-            names, fps, sizes, masks, short, prefixes = [], [], [], [], [], []
+            names, fps, sizes, cores, masks, short, prefixes = [], [], [], [], [], [], []
             for t in b.column(2).to_pylist():
                 h = shingle_hashes(t, shingle)
                 s = shingle_set(h)
@@ -309,46 +310,47 @@ def _named_sets(docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
                 sizes.append(len(s))
                 bits = mask(s)
                 short.append(folded_mask(bits))
+                cores.append(int(1000 * np.log2(1 + rank).mean()) if new and len(s) else 0 if new else None)
                 masks.append(bits if new else None)
                 prefixes.append(s[np.lexsort((s, rank))[:most]] if new else None)
             signed = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
             short = np.array(short, np.int64).reshape(-1, 4)
-            cols = [b.column(0), b.column(1), signed(names), signed(fps), pa.array(sizes, pa.int64()), *[pa.array(short[:, k].copy()) for k in range(4)], pa.array(masks, pa.binary()), pa.array(prefixes, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(cols, ["id", "th", "set", "fp", "n", "m0", "m1", "m2", "m3", "mask", "prefix"])
+            cols = [b.column(0), b.column(1), signed(names), signed(fps), pa.array(sizes, pa.int64()), pa.array(cores, pa.int64()), *[pa.array(short[:, k].copy()) for k in range(4)], pa.array(masks, pa.binary()), pa.array(prefixes, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(cols, ["id", "th", "set", "fp", "n", "core", "m0", "m1", "m2", "m3", "mask", "prefix"])
 
-    return docs.mapInArrow(work, "id long, th long, set long, fp long, n long, m0 long, m1 long, m2 long, m3 long, mask binary, prefix array<long>")
+    return docs.mapInArrow(work, "id long, th long, set long, fp long, n long, core long, m0 long, m1 long, m2 long, m3 long, mask binary, prefix array<long>")
 
 
 def _shared(rows: DataFrame) -> DataFrame:
-    """Places (token, set, n, pos) of those shingles of the prefixes that come in other rows as well.
+    """Places (token, set, n, core, pos) of those shingles of the prefixes that come in other rows as well.
 
     What a task finds repeated among its own places is known already: one place stands for it under
     the shingle's key, the others travel under keys of their own. A hot shingle so puts one row for
     each CHUNK places on its key.
     """
-    fields = pa.schema([(c, pa.int64()) for c in ("key", "token", "set", "n", "pos")])
+    fields = pa.schema([(c, pa.int64()) for c in ("key", "token", "set", "n", "core", "pos")])
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush(parts: list) -> Iterator[pa.RecordBatch]:
-            token, name, n, pos = (np.concatenate(c) for c in zip(*parts, strict=True))
+            token, name, n, core, pos = (np.concatenate(c) for c in zip(*parts, strict=True))
             order = np.argsort(token, kind="stable")
-            token, name, n, pos = token[order], name[order], n[order], pos[order]
+            token, name, n, core, pos = token[order], name[order], n[order], core[order], pos[order]
             same = np.append(False, token[1:] == token[:-1])
             known = same | np.append(same[1:], False)
             mixed = (name.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ (token.view(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
             key = np.where(same, -1 - (mixed >> np.uint64(1)).view(np.int64), token)  # shingles are never below zero
-            whole = pa.RecordBatch.from_arrays([pa.array(c) for c in (key, token, name, n, 2 * pos + known)], schema=fields)
+            whole = pa.RecordBatch.from_arrays([pa.array(c) for c in (key, token, name, n, core, 2 * pos + known)], schema=fields)
             for s in range(0, whole.num_rows, 50_000):
                 yield whole.slice(s, 50_000)
 
         parts, held = [], 0
         for b in batches:
-            lists = b.column(2)
+            lists = b.column(3)
             size = np.diff(lists.offsets.to_numpy())
             token = lists.flatten().to_numpy()
             first = np.cumsum(size) - size
             pos = np.arange(len(token)) - np.repeat(first, size)
-            parts.append((token, np.repeat(b.column(0).to_numpy(), size), np.repeat(b.column(1).to_numpy(), size), pos))
+            parts.append((token, *(np.repeat(b.column(k).to_numpy(), size) for k in range(3)), pos))
             held += len(token)
             if held >= CHUNK:
                 yield from flush(parts)
@@ -362,7 +364,7 @@ def _shared(rows: DataFrame) -> DataFrame:
             cols = [c.to_numpy() for c in b.columns]
             if held is not None:
                 cols = [np.concatenate(c) for c in zip(held, cols, strict=True)]
-            key, token, name, n, pos = cols
+            key, token, name, n, core, pos = cols
             if not len(key):
                 continue
             same = key[1:] == key[:-1]
@@ -372,12 +374,12 @@ def _shared(rows: DataFrame) -> DataFrame:
             hit[:-1] |= same
             held, matched = [c[-1:] for c in cols], bool(hit[-1])
             keep = hit[:-1]
-            yield pa.RecordBatch.from_arrays([pa.array(c[:-1][keep]) for c in (token, name, n, pos >> 1)], ["token", "set", "n", "pos"])
+            yield pa.RecordBatch.from_arrays([pa.array(c[:-1][keep]) for c in (token, name, n, core, pos >> 1)], ["token", "set", "n", "core", "pos"])
         if held is not None and matched:
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (held[1], held[2], held[3], held[4] >> 1)], ["token", "set", "n", "pos"])
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (*held[1:5], held[5] >> 1)], ["token", "set", "n", "core", "pos"])
 
-    posts = rows.where("prefix is not null").select("set", "n", "prefix").mapInArrow(spread, "key long, token long, set long, n long, pos long")
-    return posts.repartition("key").sortWithinPartitions("key").mapInArrow(meet, "token long, set long, n long, pos long")
+    posts = rows.where("prefix is not null").select("set", "n", "core", "prefix").mapInArrow(spread, "key long, token long, set long, n long, core long, pos long")
+    return posts.repartition("key").sortWithinPartitions("key").mapInArrow(meet, "token long, set long, n long, core long, pos long")
 
 
 def _merged(a: DataFrame, b: DataFrame, on: str) -> DataFrame:
@@ -432,9 +434,10 @@ def _similar(docs: DataFrame, shingle: int, similarity: float, id_col: str, text
     """Rows (id, th, set), distinct sets (set, least) and links of sets that connect all pairs as similar as wanted.
 
     All pairs that are proposed are compared on whole sets. The BK-trees propose texts of near
-    fingerprints. Each set that shares a shingle of its prefix with others is compared with the least
-    and the greatest one that has it, so that large groups are linked without all their pairs. Then
-    all pairs that share a shingle and are still apart are compared: two sets as similar as wanted
+    fingerprints. Each set that shares a shingle of its prefix with others is compared with two that
+    have it, the one whose shingles are the most common and the one of the greatest name, so that
+    large groups are linked without all their pairs: near copies of one text differ more from each
+    other than from the one that differs least from it. Then all pairs that share a shingle and are still apart are compared: two sets as similar as wanted
     share one, so none is missed.
     """
     small_batches(docs.sparkSession, 500)
@@ -451,9 +454,11 @@ def _similar(docs: DataFrame, shingle: int, similarity: float, id_col: str, text
     may = F.expr(f"{1 + similarity!r} * least(n - pos, n2 - pos2) >= {similarity!r} * (n + n2) - 1e-6")
     pair = (F.least("set", "set2").alias("a"), F.greatest("set", "set2").alias("b"))
     named2 = lambda d: d.select("token", *[F.col(c).alias(f"{c}2") for c in d.columns if c != "token"])
-    ends = settle(met.groupBy("token").agg(F.min("set").alias("lo"), F.max("set").alias("hi")).where("lo < hi"), "similar-ends")
+    central = F.expr("max_by(set, shiftleft(core, 40) | (set & 1099511627775))")  # ties by the set's low bits
+    ends = met.groupBy("token").agg(central.alias("central"), F.min("set").alias("lo"), F.max("set").alias("hi")).where("lo < hi")
+    ends = settle(ends.select("token", "central", "hi"), "similar-ends")
     some = settle(_merged(met, ends, "token"), "similar-some")
-    tips = named2(some.where("set = lo or set = hi").select("token", "set", "n", "pos"))
+    tips = named2(some.where("set = central or set = hi").select("token", "set", "n", "pos"))
     tips = _merged(some, tips, "token").where("set <> set2").where(may).select(*pair)
     tried = settle(tips.union(same).union(near.select(F.least("x", "y"), F.greatest("x", "y"))).distinct(), "similar-tried")
     found = verify(tried)

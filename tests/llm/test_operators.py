@@ -165,6 +165,22 @@ def test_similar_crowded(spark):
     assert len(pairs) == 2 and sum(pairs) <= 40 * 400
 
 
+def test_similar_star(spark):
+    """Copies that are near one text and not near each other are linked through that text, without a comparison of all their pairs."""
+    import glob
+
+    from paperlane.llm.shared import scratch_dir
+
+    base = _text(300)
+    rows = [(0, base)] + [(i, _worn(base, 4 + i % 2)) for i in range(1, 400)] + [(1000 + i, _text(60)) for i in range(50)]
+    assert max(_jaccard(rows[i][1], rows[i + 1][1]) for i in range(1, 20)) < 0.8
+    before = set(glob.glob(f"{scratch_dir(spark)}/similar-*"))
+    got = {r.doc_id: r.component_id for r in simhash.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {got[i] for i in range(400)} == {0} and all(got[1000 + i] == 1000 + i for i in range(50))
+    pairs = [spark.read.parquet(f).count() for f in set(glob.glob(f"{scratch_dir(spark)}/similar-*")) - before if "similar-rest" in f or "similar-tried" in f]
+    assert len(pairs) == 2 and sum(pairs) <= 10 * 400, pairs
+
+
 def test_keep_first_rows(spark):
     """Null and repeated ids: one row of each group stays, and every row that is no copy."""
     t = [_text(80) for _ in range(9)]
