@@ -8,7 +8,8 @@ encoding is not, token for token, that of its parts, the join grows: it takes in
 sides, whole, and is encoded and compared again, until all joins agree or the text is one span.
 
 A core is made of its words' encodings, each word being encoded once (`units` gives cores to the
-library whole instead). That is exact where neither normaliser nor splitter carries anything over
+library whole instead). New words go to the library TOGETHER at a time, with a sign of one token
+between them; where the parts found are not as many as the words, each is encoded alone. That is exact where neither normaliser nor splitter carries anything over
 an ASCII blank and no added token holds one, which the windows check at every join.
 
 What is kept lives in the Python worker, is bounded by entries, and serves all its tasks. There is
@@ -23,7 +24,6 @@ from __future__ import annotations
 
 import hashlib
 import os
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,12 +33,14 @@ from pyspark.sql import functions as F
 
 from .shared import small_batches
 
-WINDOW = 16
+WINDOW, TOGETHER = 16, 64
+STOP = "\x01"
 KINDS = {"n_tokens": (pa.int64(), "long"), "ids": (pa.list_(pa.int32()), "array<int>"), "decoded": (pa.string(), "string"), "ids_sha256": (pa.string(), "string"), "decoded_sha256": (pa.string(), "string")}
 
 _blank = np.zeros(256, bool)
 _blank[[9, 10, 11, 12, 13, 32]] = True
-_word_end = re.compile(rb"([a-z])([.,])(?=[\t-\r ])")
+_letter = np.zeros(256, bool)
+_letter[97:123] = True
 _gear = np.random.Generator(np.random.PCG64(11)).integers(0, 2**32, 256, dtype=np.uint32)
 
 
@@ -51,7 +53,11 @@ def folded(data: bytes) -> bytes:
     """
     if b"<|" in data or b"\xcc" in data or b"\xcd" in data:
         return data
-    return _word_end.sub(rb"\1 \2", data.lower())
+    data = data.lower()
+    b = np.frombuffer(data, np.uint8)
+    at = np.flatnonzero((b[1:-1] == 46) | (b[1:-1] == 44)) + 1
+    at = at[_letter[b[at - 1]] & _blank[b[at + 1]]]
+    return np.insert(b, at, 32).tobytes() if len(at) else data
 
 
 def cuts(data: bytes, bits: int = 9) -> np.ndarray:
@@ -110,6 +116,7 @@ class ChunkEncoder:
         self.chunks: dict[bytes, tuple[int, str, str]] = {}
         self.joins: dict[bytes, bool] = {}
         self.silent = False  # whether any word gave no token
+        self.stop = self.plain([STOP])[0]
         self.counts = dict.fromkeys(("cores", "encoded_cores", "joins", "encoded_joins", "grown_joins"), 0)
 
     def plain(self, texts: list[str]) -> list[tuple[int, str, str]]:
@@ -128,9 +135,25 @@ class ChunkEncoder:
         n, ids, texts = zip(*parts, strict=True)
         return sum(n), " ".join(ids), " ".join(texts)
 
+    def _apart(self, words: list[str]) -> list[tuple[int, str, str]]:
+        """The words' own encodings, many words being encoded together with STOP between them."""
+        one, number, sign = self.stop
+        parts = [words[i : i + TOGETHER] for i in range(0, len(words), TOGETHER)]
+        some = [p for p in parts if one == 1 and not any(STOP in w for w in p)]
+        whole = dict(zip(map(id, some), self.plain([f" {STOP} ".join(p) for p in some]), strict=True))
+        out = []
+        for p in parts:
+            _, ids, text = whole.get(id(p), (0, "", ""))
+            ids, texts = ids.split(f" {number} "), text.split(f" {sign} ")
+            if len(ids) == len(texts) == len(p) and ids[0] and id(p) in whole:
+                out += zip([i.count(" ") + 1 for i in ids], ids, texts, strict=True)
+            else:  # a word without tokens, or with the sign
+                out += self.plain(p)
+        return out
+
     def _learn(self, met: set[bytes]) -> None:
         fresh = list(met.difference(self.words))
-        found = self.plain([w.decode() for w in fresh])
+        found = self._apart([w.decode() for w in fresh])
         self.silent = self.silent or not all(e[0] for e in found)
         self.words.update(zip(fresh, found, strict=True))
 

@@ -231,6 +231,32 @@ def test_bpe_reuse():
     assert e.counts["encoded_cores"] - first["encoded_cores"] <= 20 * 3 and e.counts["encoded_joins"] - first["encoded_joins"] <= 20 * 4
 
 
+def test_bpe_words_together():
+    """New words go to the library many at a time, with the results that they have alone, those without tokens and those with the sign between them too."""
+
+    class Counted(bpe.ChunkEncoder):
+        given = 0
+
+        def plain(self, texts):
+            self.given += len(texts)
+            return super().plain(texts)
+
+    e = Counted(public_tokenizers.path("word_bpe_49k.json"))
+    words = [f"w{random.random()}" for _ in range(3000)]
+    text = " ".join(words)
+    before = e.given
+    got = e.encode([text])
+    assert e.given - before < len(words) / 4 and got == e.plain([text])
+    odd = [*words[:100], "\x85", "a\x01b", "\x01", *words[100:200], "\xa0", "n't...", "<|endoftext|>", "ÉA"]
+    for some in (odd, odd[::-1], ["\x85"], ["\x01"], []):
+        assert e._apart(some) == [x for w in some for x in e.plain([w])]
+        assert e.encode([" ".join(some)]) == e.plain([" ".join(some)])
+    for s in (b"", b".", b"Ab.", b"ab. ", b"A1. b, C\xc3\xa9, d.\te..  f.,\n"):
+        import re
+
+        assert bpe.folded(s) == re.sub(rb"([a-z])([.,])(?=[\t-\r ])", rb"\1 \2", s.lower())
+
+
 def test_bpe_joins_grow():
     """With an encoder that carries over blanks, joins grow until they agree with the whole text."""
     import re
