@@ -293,3 +293,14 @@ def test_answers_as_columns(spark):
     d = spark.createDataFrame([('x {"data": {"a": "null"}, "evidence": [{"quote": "q"}]}',), (None,), ("niets",)], "t string")
     got = d.select(A.finished_json(F.col("t")).alias("f"), A.checked(F.col("t"), {"required": []}).alias("c")).collect()
     assert json.loads(got[0].f) == {"data": {"a": None}, "evidence": {"a": []}} and got[1].f is None and got[2].f is None and got[1].c == "no_object"
+
+
+def test_requests_of_equal_text_fail_alike(spark, tmp_path):
+    """Messages of one worker with the same text each time out where nothing is asked again (llm_batch)."""
+    import __spark_entry__ as entry
+
+    rows = [(k, 0, "user", "zeven.." if k % 2 else "een antwoord") for k in range(8)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").coalesce(1).write.parquet(f"{tmp_path}/conversations.parquet")
+    got = lambda name: {(r.conv_id % 2, r.n, r.error, r.attempts) for r in entry.queries()[name](spark, str(tmp_path)).collect()}
+    assert got("llm_batch") == {(0, 12, None, 1), (1, None, "timeout", 1)}
+    assert got("llm_request") == {(0, 12, None, 1), (1, 7, None, 2)}
