@@ -1,7 +1,11 @@
 """Chunk scores and selection on worked cases."""
 
+import contextlib
+import io
+
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from paperlane.operators import candidates as C
 from paperlane.operators import relevance as L
 
@@ -66,3 +70,36 @@ def test_rejected_candidates(spark):
     assert [(x.value, x.reason) for x in r.rejected] == [("INV-2", None), ("factuur", "regex_mismatch"), ("INV-3", "value_not_in_evidence")]
     r = C.resolve(spark.createDataFrame(rows[1:], schema), 2025).first()
     assert r.value is None and [x.value for x in r.rejected] == ["INV-2", "factuur", "INV-3"]
+
+
+def plan(d) -> str:
+    with contextlib.redirect_stdout(out := io.StringIO()):
+        d.explain("extended")
+    return out.getvalue().split("== Physical Plan ==")[1]
+
+
+def test_filters_work_nothing_out_again(spark):
+    """A filter on a result is not moved below the columns that it reads (fx_candidate_score, fx_same_line)."""
+    for name in ("fx_candidate_score", "fx_same_line"):
+        assert "Filter " not in plan(entry.queries()[name](spark, "/root/testdata/sf0.001"))
+
+
+def test_same_line(spark):
+    fields = [L.Field("aantal", "Aantal", "number"), L.Field("naam", "Naam")]
+    rows = [(1, "Aantal: 1.500 Naam: een twee drie vier vijf zes"), (2, "naam - een  twee drie vier vijf zes zeven AANTAL: veel"), (3, "Naam: : ;"), (4, None), (5, "Naam: Aantal: 7")]
+    got = L.same_line(spark.createDataFrame(rows, "id int, t string"), fields, 2025).collect()
+    assert sorted((r.id, r.field, r.value) for r in got) == [(1, "aantal", "1500"), (1, "naam", "een twee drie vier vijf zes"), (5, "aantal", "7")]
+
+
+def test_places(spark):
+    at = lambda text, labels: spark.createDataFrame([(text,)], "t string").select(L.places(F.col("t"), L.place_pattern(labels))).first()[0]
+    assert at("Part part \U0001f600PART, Parts", ["Part", "part"]) == [0, 5, 11]
+    # A control character is no place.
+    assert at("a\x01b Part", ["Part"]) == [4]
+    assert at("bouw jaar bouw", ["bouw", "bouw jaar"]) == [0, 10] and at("niets", ["Part"]) == []
+
+
+def test_chunk_scores_read_a_chunk_once(spark):
+    """What several points need is worked out once: each name's places are sought in one expression of the plan (fx_chunk_score, fx_chunk_select)."""
+    d = L.scored(chunks(spark), [L.Field("ref", "Referentie")], 2025)
+    assert plan(d).lower().count("breferentie") == 1
