@@ -7,6 +7,7 @@ per type, so that a text is read once for all types and never exploded.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -107,28 +108,35 @@ def field_detected(text: Column, key: str, label: str, regex: str | None = None)
 def _unique_best(options: list[tuple[Column, Column, str]]) -> Column:
     """The slug of the greatest score of at least 1, if no other reaches it."""
     scores = F.array_compact(F.array(*[F.when(ok & (s >= 1), F.struct(s.alias("score"), F.lit(slug).alias("slug"))) for ok, s, slug in options]))
-    top = F.array_max(F.transform(scores, lambda x: x["score"]))
-    best = F.filter(scores, lambda x: x["score"] == top)
-    return F.when(F.size(best) == 1, F.get(best, 0)["slug"])
+    alone = lambda x: F.get(x, F.lit(0))["score"] > F.coalesce(F.get(x, F.lit(1))["score"], F.lit(0))
+    # Bound to a name, so that each score is worked out once.
+    return F.transform(F.array(F.sort_array(scores, False)), lambda x: F.when(alone(x), F.get(x, F.lit(0))["slug"]))[0]
+
+
+def _with_low(text: Column, of: Callable[[Column, Column], Column]) -> Column:
+    """A function of a text and the text in lower case, which is made once."""
+    return F.transform(F.array(F.struct(text.alias("text"), F.lower(text).alias("low"))), lambda x: of(x["text"], x["low"]))[0]
 
 
 def deterministic(text: Column, types: list[Hints], required_fields: dict[str, list[tuple]] | None = None) -> Column:
     """Keywords count 1, patterns 3, required fields 2. All required keywords and fields must be there, and no veto; a unique best wins."""
-    low = F.lower(text)
-    options = []
-    for h in types:
-        ok = (_hits(low, h.required) == len(h.required)) & (_hits(low, h.vetoes) == 0)
-        score = F.lit(len(h.required)) + 3 * _matches(text, h.patterns) + _hits(low, h.optional)
-        for f in (required_fields or {}).get(h.slug, []):
-            ok, score = ok & field_detected(text, *f), score + 2
-        options.append((ok, score, h.slug))
-    return _unique_best(options)
+
+    def of(text: Column, low: Column) -> Column:
+        options = []
+        for h in types:
+            ok = (_hits(low, h.required) == len(h.required)) & (_hits(low, h.vetoes) == 0)
+            score = F.lit(len(h.required)) + 3 * _matches(text, h.patterns) + _hits(low, h.optional)
+            for f in (required_fields or {}).get(h.slug, []):
+                ok, score = ok & field_detected(text, *f), score + 2
+            options.append((ok, score, h.slug))
+        return _unique_best(options)
+
+    return _with_low(text, of)
 
 
 def pure_deterministic(text: Column, types: list[Hints]) -> Column:
     """The variant in which not every keyword need occur."""
-    low = F.lower(text)
-    return _unique_best([(_hits(low, h.vetoes) == 0, _hits(low, h.required) + 3 * _matches(text, h.patterns) + _hits(low, h.optional), h.slug) for h in types])
+    return _with_low(text, lambda text, low: _unique_best([(_hits(low, h.vetoes) == 0, _hits(low, h.required) + 3 * _matches(text, h.patterns) + _hits(low, h.optional), h.slug) for h in types]))
 
 
 def matched_hints(text: Column, winner: Column, types: list[Hints]) -> Column:
