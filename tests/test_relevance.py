@@ -6,8 +6,10 @@ import io
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from paperlane.functions import text as T
 from paperlane.operators import candidates as C
 from paperlane.operators import relevance as L
+from paperlane.operators import rules as R
 
 FIELDS = [L.Field("bouwjaar", "Bouwjaar", "number"), L.Field("oppervlakte", "Oppervlakte (m2)", "number"), L.Field("status", "Status", "enum", ("open", "dicht")), L.Field("ref", "Referentie", "string", (), r"INV-\d+")]
 ROWS = [
@@ -103,3 +105,26 @@ def test_chunk_scores_read_a_chunk_once(spark):
     """What several points need is worked out once: each name's places are sought in one expression of the plan (fx_chunk_score, fx_chunk_select)."""
     d = L.scored(chunks(spark), [L.Field("ref", "Referentie")], 2025)
     assert plan(d).lower().count("breferentie") == 1
+
+
+def test_prompts_read_a_chunk_once(spark):
+    """The normal form of a chunk is not made again for each field (fx_prompt_pack), nor its labels' places sought again (fx_clip)."""
+    d = chunks(spark).withColumn("page", F.lit(0))
+    fields = [L.Field(k, k) for k in ("aantal", "naam", "straat", "plaats")]
+    made = lambda n: plan(L.pack_prompt(d, fields[:n], 2025)).count("THEN translate(")
+    assert made(2) == made(4)
+    assert plan(L.clipped(d, [L.Field("iban", "IBAN", "iban")], 2025)).lower().count("biban") == 1
+
+
+def test_normal_form_of_rare_signs(spark):
+    signs = ["€ 5 ½", "“Straße” – £3 …", "ａｂｃ é", "\U0001d54f\u0301 ﬁ €", "abc•d"]
+    got = spark.createDataFrame([(s,) for s in signs], "t string").select("t", T.search_text(F.col("t")).alias("n")).collect()
+    assert [r.n for r in got] == [T.plain(r.t) for r in got]
+
+
+def test_best_type_is_worked_out_once(spark):
+    """Each type's score is made once (cls_deterministic); a shared best has no winner."""
+    types = [R.parse_hints("a", "kw:woord\nre:x\\d"), R.parse_hints("b", "kw:ander"), R.parse_hints("c", "iets")]
+    d = spark.createDataFrame([(1, "Woord en ander"), (2, "woord X1 ander"), (3, "IETS"), (4, "niets van dit al"), (5, None), (6, "leeg")], "id int, t string").select("id", R.deterministic(F.col("t"), types).alias("slug"))
+    assert {r.id: r.slug for r in d.collect()} == {1: None, 2: "a", 3: "c", 4: "c", 5: None, 6: None}
+    assert plan(d).count("woord") == 1
