@@ -304,3 +304,21 @@ def test_requests_of_equal_text_fail_alike(spark, tmp_path):
     got = lambda name: {(r.conv_id % 2, r.n, r.error, r.attempts) for r in entry.queries()[name](spark, str(tmp_path)).collect()}
     assert got("llm_batch") == {(0, 12, None, 1), (1, None, "timeout", 1)}
     assert got("llm_request") == {(0, 12, None, 1), (1, 7, None, 2)}
+
+
+def test_parts_of_many_files_are_packed_once():
+    """Archives are what zipfile reads, with parts short and long, and what all workbooks have is packed once (src_xlsx)."""
+    import io
+    import zipfile
+
+    from paperlane.sources import office
+
+    office.xlsx_bytes({"x": [], "leeg": []})
+    before = office._short.cache_info().misses
+    b = office.xlsx_bytes({"Blad é": [("a", None, True, 2.5), ("\r", 3)], "leeg": []})
+    assert office._short.cache_info().misses - before == 2  # the sheet and the workbook
+    assert office.xlsx_text(b) == "Sheet: Blad é\na\t\tTrue\t2.5\n\r\t3\t\t\n\nSheet: leeg\n\n"
+    long = "é" * 5000
+    with zipfile.ZipFile(io.BytesIO(office._archive({"né.xml": long, "b": ""}))) as z:
+        assert z.testzip() is None and z.namelist() == ["né.xml", "b"] and z.read("né.xml").decode() == long and z.read("b") == b""
+    assert office._column("AB12") == 28 and office._column("") == 0 and office._column("a1") == 0
